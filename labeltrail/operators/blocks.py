@@ -120,11 +120,6 @@ def block_size(dim: int, rows: int = BLOCK_ROWS) -> int:
 
 def _assign(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot ``cell`` and distance ``pd`` for every point."""
-    if len(pivots) == 1:
-        pivot = F.array(*[F.lit(float(x)) for x in pivots[0]])
-        gap = F.zip_with("vec", pivot, lambda x, y: (x - y) * (x - y))
-        far = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x))
-        return points.select("*", F.lit(0).alias("cell"), far.alias("pd"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,6 +147,8 @@ def _to_pivots(vec: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def pick_pivots(points: DataFrame, rows: int, block_rows: int) -> np.ndarray:
     """Up to ``MAX_PIVOTS`` member vectors in hash order; all other rows stay in play."""
     wanted = max(1, min(MAX_PIVOTS, math.ceil(rows / block_rows)))
+    if wanted == 1:
+        return np.zeros((1, 0))
     chosen = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
     return np.unique(np.array([list(r.vec) for r in chosen], dtype=np.float64), axis=0)
 
@@ -166,22 +163,23 @@ def make_cells(
 
     Further columns travel with their row into the kernels.
     """
-    first = points.select(F.size("vec").alias("d")).first()
-    if first is None:
+    shape = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if shape.n == 0:
         raise ValueError("no vectors to search or cluster")
-    block_rows = block_rows or block_size(first.d)
+    block_rows = block_rows or block_size(shape.d)
     if pivots is None:
-        pivots = pick_pivots(points, points.count(), block_rows)
-    assigned = _assign(points, pivots)
-    if len(pivots) > 1:
-        assigned = cut(assigned, "cells")
-
+        pivots = pick_pivots(points, shape.n, block_rows)
     size = len(pivots)
     radius, count = np.zeros(size), np.zeros(size, dtype=np.int64)
-    for row in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("r")).collect():
-        radius[row.cell], count[row.cell] = row.r, row.n
     near = np.full((size, min(near_k, NEAR_LIST)), np.inf)
-    if size > 1:
+    if size == 1:
+        # All queries meet the only cell, so it needs no bounds.
+        assigned = points.withColumn("cell", F.lit(0))
+        count[0] = shape.n
+    else:
+        assigned = cut(_assign(points, pivots), "cells")
+        for row in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("r")).collect():
+            radius[row.cell], count[row.cell] = row.r, row.n
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("pd"))
         closest = assigned.select("cell", "pd", rank.alias("r")).filter(F.col("r") <= near.shape[1])
         for row in closest.collect():
