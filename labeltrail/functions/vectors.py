@@ -31,5 +31,9 @@ def norm(vec: str | Column) -> Column:
 def l2_normalize(vec: str | Column) -> Column:
     """Unit vector; a zero vector stays zero."""
     vec = as_double(vec)
-    size = norm(vec)
-    return F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec)
+    # The length is bound to a lambda variable, or it would be taken again per element.
+    scaled = F.transform(
+        F.array(norm(vec)),
+        lambda size: F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec),
+    )
+    return F.get(scaled, F.lit(0))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labeltrail.operators.ngrams import ngram_text
+from labeltrail.scratch import cut
 
 SHARD_CAPACITY = 100_000
 BROADCAST_BYTES = 32 << 20
@@ -69,7 +70,7 @@ def build_filter(
 ) -> BloomFilter:
     """Filter over the distinct n-grams; capacity is their number."""
     check_error_rate(error_rate)
-    keys = ngrams.select("ngram").distinct().select(ngram_text("ngram").alias("key"))
+    keys = cut(ngrams.select("ngram").distinct().select(ngram_text("ngram").alias("key")), "keys")
     capacity = keys.count()
     if capacity == 0:
         raise ValueError("a filter needs at least one n-gram")
@@ -102,7 +103,8 @@ def build_filter(
         .agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("pairs"))
         .select("shard", F.transform("pairs", lambda p: p["bits"]).alias("words"))
     )
-    return BloomFilter(sizes.join(words, "shard"), capacity, error_rate, hashes, shards)
+    table = cut(sizes.join(words, "shard"), "filter")
+    return BloomFilter(table, capacity, error_rate, hashes, shards)
 
 
 def check_ngrams(

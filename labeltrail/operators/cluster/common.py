@@ -80,11 +80,20 @@ def neighbor_distances(reps: DataFrame) -> DataFrame:
     return copied.unionByName(others.select(F.col("qid").alias("id"), "d", F.lit(1).cast("bigint").alias("w")))
 
 
-def median_neighbor_distance(reps: DataFrame) -> float:
-    """Median distance to the nearest other row over all rows."""
-    value = column_median(cut(neighbor_distances(reps), "neighbors"), "d", "w")
+def median_neighbor_distance(reps: DataFrame, zero_eps: str = "raise") -> float:
+    """Median distance to the nearest other row over all rows.
+
+    It is 0 when more than half of the rows have a copy. Then this raises, or with
+    ``zero_eps='positive_median'`` takes the median over the rows without one.
+    """
+    found = cut(neighbor_distances(reps), "neighbors")
+    value = column_median(found, "d", "w")
     if value is None:
         raise ValueError("neighbour distances need at least two rows")
+    if value == 0.0 and zero_eps == "positive_median":
+        value = column_median(found.filter("d > 0"), "d", "w") or 0.0
+    if value <= 0.0:
+        raise ValueError("eps is 0: over half of the rows are copies; see zero_eps")
     return value
 
 

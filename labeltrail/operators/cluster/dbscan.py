@@ -8,12 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.functions.quantile import column_median
 from labeltrail.operators.blocks import Block, make_cells, meet, reach_within, within
 from labeltrail.operators.cluster.common import (
     NOISE,
     median_neighbor_distance,
-    neighbor_distances,
     rank_labels,
     total_weight,
 )
@@ -25,20 +23,6 @@ def min_samples_for(n: int, alpha: float) -> int:
     return max(3, int(math.log(n) * alpha))
 
 
-def radius_for(reps: DataFrame, alpha: float, zero_eps: str = "raise") -> float:
-    """Median nearest-neighbour distance over ``alpha``.
-
-    It is 0 when more than half of the rows have a copy. Then this raises, or with
-    ``zero_eps='positive_median'`` takes the median over the other rows.
-    """
-    base = median_neighbor_distance(reps)
-    if base == 0.0 and zero_eps == "positive_median":
-        base = column_median(neighbor_distances(reps).filter("d > 0"), "d", "w") or 0.0
-    if base <= 0.0:
-        raise ValueError("eps is 0: over half of the rows are copies; see zero_eps")
-    return base / alpha
-
-
 def _count_kernel(eps: float):
     def kernel(q: Block, b: Block):
         near = within(q.vec, b.vec, eps)
@@ -122,4 +106,6 @@ def dbscan(reps: DataFrame, eps: float, min_samples: int, block_rows: int | None
 
 
 def parameters(reps: DataFrame, alpha: float, zero_eps: str = "raise") -> tuple[float, int]:
-    return radius_for(reps, alpha, zero_eps), min_samples_for(total_weight(reps), alpha)
+    """Radius and neighbour count that follow from the rows and ``alpha``."""
+    eps = median_neighbor_distance(reps, zero_eps) / alpha
+    return eps, min_samples_for(total_weight(reps), alpha)

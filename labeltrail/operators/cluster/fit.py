@@ -76,7 +76,7 @@ def cluster(
         facts.update(found)
 
     labels = cut(labels, "labels")
-    labeled = reps.join(labels, "id")
+    labeled = cut(reps.join(labels, "id"), "labeled")
     spread = cut(spread_labels(points, reps, labels), "labels")
     clusters, noise = count_labels(spread)
     facts.update(n_clusters=clusters)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,19 +36,19 @@ def _shift_kernel(bandwidth: float):
         count = weight.sum(axis=1)
         hit = count > 0
         sums = (weight @ b.vec)[hit]
-        return {"id": q["id"][hit], "n": count[hit].astype(np.int64), "total": list(sums)}
+        return {
+            "id": q["id"][hit], "vec": list(q.vec[hit]), "n": count[hit].astype(np.int64), "total": list(sums)
+        }
 
     return kernel
 
 
-def _sum_vectors(parts: DataFrame) -> DataFrame:
-    """Sum of the partial vectors per seed; each block pair gave at most one."""
-    spread = parts.select("id", "n", F.posexplode("total").alias("pos", "x"))
-    sums = spread.groupBy("id", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return sums.groupBy("id").agg(
-        F.max("n").alias("n"), F.transform(ordered, lambda p: p["x"]).alias("total")
-    ).select("id", "n", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+def _means(parts: DataFrame) -> DataFrame:
+    """Mean of the rows in reach of each seed, and how far the seed moves to it."""
+    total = vector_to_array(Summarizer.sum(array_to_vector("total")))
+    sums = parts.groupBy("id").agg(F.first("vec").alias("vec"), F.sum("n").alias("n"), total.alias("total"))
+    moved = sums.select("id", "vec", "n", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+    return moved.withColumn("step", F.sqrt(squared_distance("vec", "mean")))
 
 
 def _dominated_kernel(bandwidth: float):
@@ -107,12 +109,9 @@ def meanshift(
     for round_number in range(MAX_ROUNDS + 1):
         parts = meet(
             moving, cells, reach_within(bandwidth), _shift_kernel(bandwidth),
-            "id bigint, n bigint, total array<double>",
-        )
-        step = F.sqrt(squared_distance("vec", "mean"))
-        moved = cut(
-            moving.join(_sum_vectors(parts), "id").withColumn("step", step), "shift"
+            "id bigint, vec array<double>, n bigint, total array<double>",
         )
+        moved = cut(_means(parts), "shift")
         still = (F.col("step") <= MOVE_SHARE * bandwidth) | F.lit(round_number == MAX_ROUNDS)
         done = moved.filter(still).select("id", F.col("mean").alias("vec"), "n")
         resting = done if resting is None else resting.unionByName(done)

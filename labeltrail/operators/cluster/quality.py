@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from labeltrail.functions.vectors import dot, l2_normalize, norm, squared_distance
 from labeltrail.operators.blocks import Block, distances, make_cells, meet, reach_all
 from labeltrail.operators.cluster.common import NOISE
+from labeltrail.scratch import cut
 
 
 def _sums_kernel(q: Block, b: Block):
@@ -87,7 +88,7 @@ def cluster_radius(vectors: DataFrame, labels: DataFrame, metric: str = "cosine"
     """
     cosine = metric == "cosine"
     vec = l2_normalize("embedding") if cosine else F.col("embedding").cast("array<double>")
-    rows = vectors.select("idx", vec.alias("vec")).join(labels, "idx")
+    rows = cut(vectors.select("idx", vec.alias("vec")).join(labels, "idx"), "labeled")
     means = rows.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n"),
         vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean"),

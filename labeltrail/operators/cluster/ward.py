@@ -80,7 +80,7 @@ def ward(reps: DataFrame, threshold: float, block_rows: int | None = None) -> Da
             "partners",
         )
         mutual = choice.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
-        pairs = cut(mutual.select("lo", "hi"), "merges")
+        pairs = mutual.select("lo", "hi")
         if pairs.isEmpty():
             break
         links = pairs if links is None else links.unionByName(pairs)

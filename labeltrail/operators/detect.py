@@ -44,7 +44,7 @@ def classify(
         .join(centroids.select(*facts), "cluster_id", "left")
         .select("base_idx", "n", *facts)
     )
-    return decide(queries, lookup(hits, cut(table, "hit-facts"), "base_idx", "n"), class_threshold, distance_to)
+    return decide(queries, lookup(hits, table, "base_idx", "n"), class_threshold, distance_to)
 
 
 def decide(

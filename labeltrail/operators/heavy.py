@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labeltrail.scratch import cut
+
 HEAVY_KEYS_LIMIT = 2_000
 
 
@@ -15,7 +17,9 @@ def lookup(
 
     Keys that hold more than 1/``limit`` of all rows, so fewer than ``limit`` of
     them, are broadcast and their rows never move; the others take a hash join.
+    ``right`` is written once, as it is read several times; ``left`` is read twice.
     """
+    right = cut(right, "lookup")
     total = right.agg(F.sum(weight)).first()[0] or 0
     heavy = right.filter(F.col(weight) * limit > total)
     light = right.filter(F.col(weight) * limit <= total)

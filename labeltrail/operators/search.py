@@ -73,7 +73,7 @@ def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:
     if metric != "cosine":
         return as_double(vec)
     unit = l2_normalize(vec)
-    extra = F.when(norm(unit) > 0, 0.0).otherwise(1.0) if is_base else F.lit(0.0)
+    extra = F.when(norm(as_double(vec)) > 0, 0.0).otherwise(1.0) if is_base else F.lit(0.0)
     return F.concat(unit, F.array(extra))
 
 
