@@ -390,6 +390,11 @@ def meanshift_labels(spark, sf):
     return fit.cluster(fx.folded_vectors(spark, sf), "meanshift", 2.0, score="none").labels
 
 
+def hdbscan_labels(spark, sf):
+    run = fit.cluster(fx.folded_vectors(spark, sf), "hdbscan", 2.0, score="none")
+    return run.labels
+
+
 def sweep_alpha(spark, sf):
     return fit.sweep(fx.folded_vectors(spark, sf), ["dbscan"], [0.5, 0.7])
 
@@ -541,7 +546,7 @@ _QUERIES: tuple[Query, ...] = (
     vec_topk_where_post, vec_ivf, vec_ivf_all_lists, vec_normalize, vec_info, collection_roundtrip,
     collection_search, cluster_radius, cluster_radius_l2, knn_eps, nearest_other, pair_median,
     dbscan_labels, cluster_collection, silhouette_exact, silhouette_squared, kmeans_labels, ward_labels,
-    meanshift_labels, sweep_alpha, trace_rows, cluster_counts, cluster_summary, cluster_indices,
+    meanshift_labels, hdbscan_labels, sweep_alpha, trace_rows, cluster_counts, cluster_summary, cluster_indices,
     cluster_topn, largest_cluster_head, cluster_stats, refine_mapping, refine_stats, refine_flatten,
     mapping_roundtrip, mapping_json_roundtrip, classify, classify_counts, classify_summary,
     classify_top_clusters, run_roundtrip, detect_e2e, study, study_sizes,

@@ -28,7 +28,8 @@ BLOCK_BYTES = 8 << 20
 NEAR_LIST = 64
 _SLACK = 1e-9  # relative room for rounding in pruning bounds
 
-Reach = Callable[[np.ndarray, np.ndarray, "Cells"], np.ndarray]
+# reach(vectors, their distances to the pivots, cells, further query columns) -> mask
+Reach = Callable[[np.ndarray, np.ndarray, "Cells", pa.RecordBatch], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -195,7 +196,7 @@ def make_cells(
     return Cells(blocks, pivots, radius, count, subs, near, block_rows)
 
 
-def reach_all(vec: np.ndarray, far: np.ndarray, cells: Cells) -> np.ndarray:
+def reach_all(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
     """Every cell: for sums and counts over all pairs."""
     return np.ones(far.shape, dtype=bool)
 
@@ -203,13 +204,23 @@ def reach_all(vec: np.ndarray, far: np.ndarray, cells: Cells) -> np.ndarray:
 def reach_within(eps: float) -> Reach:
     """Cells that may hold a vector no farther than ``eps``."""
 
-    def run(vec: np.ndarray, far: np.ndarray, cells: Cells) -> np.ndarray:
+    def run(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
         slack = _SLACK * (1.0 + far)
         return far - cells.radius[None, :] <= eps + slack
 
     return run
 
 
+def reach_bound(column: str) -> Reach:
+    """Cells that may hold a vector no farther than the query's own bound."""
+
+    def run(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
+        bound = rows.column(column).to_numpy(zero_copy_only=False)
+        return far - cells.radius[None, :] <= bound[:, None] + _SLACK * (1.0 + far)
+
+    return run
+
+
 def reach_nearest(k: int) -> Reach:
     """Cells that may hold one of the ``k`` nearest vectors.
 
@@ -218,7 +229,7 @@ def reach_nearest(k: int) -> Reach:
     cell's radius.
     """
 
-    def run(vec: np.ndarray, far: np.ndarray, cells: Cells) -> np.ndarray:
+    def run(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
         width = cells.near.shape[1]
         tops = [far + cells.near[None, :, j] for j in range(width)]
         weights = [np.ones_like(far)] * width
@@ -237,7 +248,7 @@ def reach_nearest(k: int) -> Reach:
 def reach_probes(n: int) -> Reach:
     """The ``n`` cells with the nearest pivots: an approximate search."""
 
-    def run(vec: np.ndarray, far: np.ndarray, cells: Cells) -> np.ndarray:
+    def run(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
         order = np.argsort(far, axis=1, kind="stable")[:, :n]
         mask = np.zeros(far.shape, dtype=bool)
         np.put_along_axis(mask, order, True, axis=1)
@@ -260,7 +271,8 @@ def _targets(queries: DataFrame, cells: Cells, reach: Reach) -> DataFrame:
             for start in range(0, len(vec), 1024):
                 part = vec[start : start + 1024]
                 far = _to_pivots(part, bounds.pivots)
-                row, cell = np.nonzero(reach(part, far, bounds) & (bounds.count > 0)[None, :])
+                rows = batch.slice(start, len(part))
+                row, cell = np.nonzero(reach(part, far, bounds, rows) & (bounds.count > 0)[None, :])
                 taken = batch.take(pa.array(row + start))
                 yield pa.RecordBatch.from_arrays(
                     [*taken.columns, pa.array(cell.astype(np.int32))],
@@ -328,7 +340,7 @@ def meet(
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
     # The types that kernels return.
-    names = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(),
+    names = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(),
              "array<double>": pa.list_(pa.float64())}
     fields = [field.strip().split(" ", 1) for field in ddl.split(",")]
     return pa.schema([(name, names[kind.strip()]) for name, kind in fields])

@@ -28,9 +28,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(smallest.select("hi", F.col("m").alias("lo")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    mark = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), mark).first())
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every edge goes straight to a root: one edge up at most, none above it."""
+    ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    degree = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return degree.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,14 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     )
     current = cut(links.distinct(), "links")
-    state = _state(current)
-    while True:
-        following = cut(_small_star(_large_star(current)).distinct(), "links")
-        following_state = _state(following)
-        current = following
-        if following_state == state:
-            break
-        state = following_state
+    while not _is_done(current):
+        current = cut(_small_star(_large_star(current)).distinct(), "links")
     stars = current.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
     roots = current.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
     return stars.unionByName(roots)

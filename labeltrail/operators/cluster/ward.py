@@ -24,7 +24,7 @@ def _reach_merge(threshold: float):
     the threshold in plain distance.
     """
 
-    def run(vec, far, cells):
+    def run(vec, far, cells, rows):
         return far - cells.radius[None, :] <= threshold + 1e-9 * (1.0 + far)
 
     return run

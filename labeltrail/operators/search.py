@@ -33,8 +33,11 @@ def collapse(points: DataFrame) -> DataFrame:
     ).select("id", "vec", "w")
 
 
-def nearest_kernel(k: int):
-    """Kernel: the ``k`` nearest base rows of each query in a block pair."""
+def nearest_kernel(k: int, carry: str | None = None):
+    """Kernel: the ``k`` nearest base rows of each query in a block pair.
+
+    ``carry`` names a base column to hand on with each hit.
+    """
 
     def kernel(q: Block, b: Block) -> dict[str, np.ndarray]:
         out, room = squares(q.vec, b.vec)
@@ -44,10 +47,13 @@ def nearest_kernel(k: int):
         exact = exact_squares(q.vec, b.vec, rows, cols)
         ids = b["id"][cols]
         order = np.lexsort((ids, exact, rows))
-        rows, ids, exact = rows[order], ids[order], exact[order]
+        rows, cols, ids, exact = rows[order], cols[order], ids[order], exact[order]
         start = np.searchsorted(rows, np.arange(len(q.vec)))
         keep = np.arange(len(rows)) - start[rows] < k
-        return {"qid": q["id"][rows[keep]], "bid": ids[keep], "d2": exact[keep]}
+        hits = {"qid": q["id"][rows[keep]], "bid": ids[keep], "d2": exact[keep]}
+        if carry is not None:
+            hits[carry] = b[carry][cols[keep]]
+        return hits
 
     return kernel
 
@@ -58,10 +64,10 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+def nearest(queries: DataFrame, cells: Cells, k: int, carry: str | None = None) -> DataFrame:
     """``qid, bid, d2, rank`` of the ``k`` nearest base vectors of ``queries(id, vec)``."""
-    hits = meet(queries, cells, reach_nearest(k), nearest_kernel(k), "qid bigint, bid bigint, d2 double")
-    return _best(hits, k)
+    schema = "qid bigint, bid bigint, d2 double" + (f", {carry} bigint" if carry else "")
+    return _best(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema), k)
 
 
 def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:

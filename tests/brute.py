@@ -80,3 +80,75 @@ def silhouette(x, labels):
         b = min(d[i, labels == other].mean() for other in set(labels) if other != labels[i])
         scores.append((b - a) / max(a, b))
     return float(np.mean(scores))
+
+
+def hdbscan(x, min_size, min_samples):
+    """Labels (as roots) and probabilities from components at every threshold."""
+    d = pairwise(x)
+    core = np.sort(d, axis=1)[:, min_samples]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    np.fill_diagonal(reach, np.inf)
+    group = list(range(len(x)))  # component of each row, merged as the threshold rises
+    node = {}  # component -> cluster
+    leave, parent, sizes = {}, {}, {}
+    for m in np.unique(reach[np.isfinite(reach)]):
+        old, todo, new = group[:], set(range(len(x))), {}
+        adjacent = reach <= m
+        while todo:
+            stack, seen = [todo.pop()], set()
+            while stack:
+                i = stack.pop()
+                seen.add(i)
+                near = {int(k) for k in np.nonzero(adjacent[i])[0]} & todo
+                todo -= near
+                stack.extend(near)
+            for i in seen:
+                group[i] = min(seen)
+            new[min(seen)] = seen
+        fresh = {}
+        for root, rows in new.items():
+            inner = {node[c] for c in {old[i] for i in rows} if c in node}
+            if len(rows) < min_size:
+                continue
+            name = inner.pop() if len(inner) == 1 else len(sizes) + 1000
+            for child in inner - {name}:
+                parent[child] = (name, m)
+            sizes[name] = len(rows)
+            for i in rows:
+                leave.setdefault(i, (m, name))
+            fresh[root] = name
+        node = fresh
+    birth = {c: 1 / parent[c][1] if c in parent else 0.0 for c in sizes}
+    own = {c: 0.0 for c in sizes}
+    death = {c: 0.0 for c in sizes}
+    below = {c: [k for k, (p, _) in parent.items() if p == c] for c in sizes}
+    count = {c: sum(1 for _, n in leave.values() if n == c) for c in sizes}
+
+    def total(c):
+        return count[c] + sum(total(k) for k in below[c])
+
+    for m, c in leave.values():
+        own[c] += 1 / m - birth[c]
+        death[c] = max(death[c], 1 / m)
+    for child, (c, m) in parent.items():
+        own[c] += total(child) * (1 / m - birth[c])
+        death[c] = max(death[c], 1 / m)
+
+    def best(c):
+        if not below[c]:
+            return own[c], {c}
+        parts = [best(k) for k in below[c]]
+        inner = sum(p[0] for p in parts)
+        if inner > own[c] or c not in parent:
+            return inner, set().union(*[p[1] for p in parts])
+        return own[c], {c}
+
+    tops = [c for c in sizes if c not in parent]
+    chosen = best(tops[0])[1] - set(tops) if tops else set()
+    labels, share = np.full(len(x), -1), np.zeros(len(x))
+    for i, (m, c) in leave.items():
+        while c not in chosen and c in parent:
+            c = parent[c][0]
+        if c in chosen:
+            labels[i], share[i] = c, min(1 / m, death[c]) / death[c]
+    return labels, share

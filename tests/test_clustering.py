@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import brute
-from labeltrail.operators.cluster import common, dbscan, fit, meanshift, quality, ward
+from labeltrail.operators.cluster import common, dbscan, fit, hdbscan, meanshift, quality, ward
 from labeltrail.operators.cluster.components import components
 
 
@@ -114,8 +114,9 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert roots == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
 
 
-@pytest.mark.parametrize("method", ["kmeans", "dbscan", "agglomerative", "meanshift"])
+@pytest.mark.parametrize("method", ["kmeans", "dbscan", "hdbscan", "agglomerative", "meanshift"])
 def test_fit_gives_labels_and_facts(spark, data, method):
+    data = data[:100]
     run = fit.cluster(table(spark, data), method, 1.0)
     rows = run.labels.orderBy("idx").collect()
     labels = np.array([r.cluster_id for r in rows])
@@ -138,3 +139,18 @@ def test_sweep_has_a_row_per_setting(spark, data):
     rows = fit.sweep(table(spark, data[:60]), ["dbscan"], [0.5, 1.0], score="none").orderBy("alpha").collect()
     assert [(r.method, r.alpha) for r in rows] == [("dbscan", 0.5), ("dbscan", 1.0)]
     assert rows[0].eps == pytest.approx(2 * rows[1].eps)
+
+
+@pytest.mark.parametrize("block_rows,part_edges", [(None, 100_000), (24, 12)])
+def test_hdbscan_equals_thresholds(spark, data, block_rows, part_edges):
+    x = data[:90].copy()
+    x[50:53] = x[7]  # four copies
+    points, reps = reps_of(spark, x)
+    rows = hdbscan.hdbscan(reps, 6, 4, block_rows, part_edges)
+    at = {tuple(r.vec): (r.cluster_id, r.probability) for r in reps.join(rows, "id").collect()}
+    got = [at[tuple(float(v) for v in row)] for row in x]
+    labels, share = brute.hdbscan(x, 6, 4)
+    assert len(set(labels)) > 2
+    assert brute.same_partition([g[0] for g in got], labels.tolist())
+    assert [g[0] == -1 for g in got] == (labels == -1).tolist()
+    assert np.allclose([g[1] for g in got], share, atol=1e-9)
