@@ -38,11 +38,14 @@ def text_filter(line: str | Column, keep_prefixes: tuple[str, ...] | None) -> Co
     line = _col(line)
     if keep_prefixes is None:
         return line
-    keys = F.regexp_extract_all(line, F.lit(PAIR_PATTERN), F.lit(1))
-    values = F.regexp_extract_all(line, F.lit(PAIR_PATTERN), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    kept = F.filter(pairs, lambda p: _any_prefix(p["k"], tuple(keep_prefixes)))
-    return F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), " ")
+    pairs = F.regexp_extract_all(line, F.lit(PAIR_PATTERN), F.lit(0))
+    kept = F.filter(pairs, lambda pair: _any_prefix(pair, tuple(f'"{p}' for p in keep_prefixes)))
+    # A pair has exactly four quotes: the key lies after the first, the value after the third.
+    written = F.transform(
+        F.transform(kept, lambda pair: F.split(pair, '"')),
+        lambda parts: F.concat(F.get(parts, F.lit(1)), F.lit("="), F.get(parts, F.lit(3))),
+    )
+    return F.array_join(written, " ")
 
 
 @F.pandas_udf(T.StringType())

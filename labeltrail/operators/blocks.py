@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,13 +34,13 @@ Reach = Callable[[np.ndarray, np.ndarray, "Cells", pa.RecordBatch], np.ndarray]
 
 @dataclass(frozen=True)
 class Cells:
-    """Base vectors packed as ``blocks(cell, sub, members)`` with per-cell bounds.
+    """Base vectors packed as ``blocks(block, members)`` with per-cell bounds.
 
     ``radius`` is the largest member distance to the pivot, ``near`` the smallest
     few, ``count`` the members and ``subs`` the blocks of each cell.
     """
 
-    blocks: DataFrame
+    blocks: DataFrame | None
     pivots: np.ndarray
     radius: np.ndarray
     count: np.ndarray
@@ -187,10 +187,10 @@ def make_cells(
             near[row.cell, row.r - 1] = row.pd
     subs = np.maximum(1, np.ceil(count / block_rows)).astype(int)
 
-    sub_count = F.get(F.array(*[F.lit(int(s)) for s in subs]), F.col("cell"))
+    place = F.pmod(F.xxhash64("id", F.lit("sub")), _per_cell(subs)).cast("int")
     blocks = (
-        assigned.withColumn("sub", F.pmod(F.xxhash64("id", F.lit("sub")), sub_count).cast("int"))
-        .groupBy("cell", "sub")
+        assigned.withColumn("block", _per_cell(subs.cumsum() - subs) + place)
+        .groupBy("block")
         .agg(F.collect_list(F.struct(*points.columns)).alias("members"))
     )
     return Cells(blocks, pivots, radius, count, subs, near, block_rows)
@@ -257,30 +257,64 @@ def reach_probes(n: int) -> Reach:
     return run
 
 
-def _targets(queries: DataFrame, cells: Cells, reach: Reach) -> DataFrame:
-    """One row per query and cell it has to meet."""
-    if len(cells.pivots) == 1:
-        return queries.withColumn("cell", F.lit(0))
-    bounds = Cells(None, cells.pivots, cells.radius, cells.count, cells.subs, cells.near, cells.block_rows)
+def _reached(batch: pa.RecordBatch, bounds: Cells, reach: Reach) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of a batch and the cells they have to meet, some rows at a time."""
+    vec = matrix(batch.column("vec"))
+    for start in range(0, len(vec), 1024):
+        part = vec[start : start + 1024]
+        far = _to_pivots(part, bounds.pivots)
+        mask = reach(part, far, bounds, batch.slice(start, len(part))) & (bounds.count > 0)[None, :]
+        row, cell = np.nonzero(mask)
+        yield row + start, cell.astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _query_packs(queries: DataFrame, cells: Cells, reach: Reach) -> tuple[DataFrame, int]:
+    """Queries packed for the blocks they have to meet: ``block, asking``, and the pairs.
+
+    Which cells a query meets is worked out twice, once for the counts that size the
+    packs, as that costs less than keeping a copy of the query for each cell.
+    """
+    if reach is reach_all or len(cells.pivots) == 1:
+        packs = max(1, math.ceil(queries.count() / cells.block_rows))
+        packed = _pack(queries, ["pack"], F.lit(packs))
+        every = F.sequence(F.lit(0), F.lit(int(cells.subs.sum()) - 1))
+        return packed.select(F.explode(every).alias("block"), "asking"), packs * int(cells.subs.sum())
+
+    bounds = replace(cells, blocks=None)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec = matrix(batch.column("vec"))
-            if len(vec) == 0:
-                continue
-            for start in range(0, len(vec), 1024):
-                part = vec[start : start + 1024]
-                far = _to_pivots(part, bounds.pivots)
-                rows = batch.slice(start, len(part))
-                row, cell = np.nonzero(reach(part, far, bounds, rows) & (bounds.count > 0)[None, :])
-                taken = batch.take(pa.array(row + start))
+            for _, cell in _reached(batch, bounds, reach):
+                found, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["cell", "n"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, cell in _reached(batch, bounds, reach):
+                taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(cell.astype(np.int32))],
-                    names=[*taken.schema.names, "cell"],
+                    [*taken.columns, pa.array(cell)], names=[*taken.schema.names, "cell"]
                 )
 
+    asked = np.zeros(len(cells.pivots), dtype=np.int64)
+    for row in queries.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        asked[row.cell] = row.n
+    packs = np.maximum(1, np.ceil(asked / cells.block_rows)).astype(int)
     schema = T.StructType(queries.schema.fields + [T.StructField("cell", T.IntegerType())])
-    return cut(queries.mapInArrow(run, schema), "targets")
+    packed = _pack(queries.mapInArrow(spread, schema), ["cell", "pack"], _per_cell(packs), queries.columns)
+    first = _per_cell(cells.subs.cumsum() - cells.subs)
+    blocks = F.sequence(first, first + _per_cell(cells.subs) - 1)
+    pairs = int((packs * cells.subs)[asked > 0].sum())
+    return packed.select(F.explode(blocks).alias("block"), "asking"), pairs
+
+
+def _per_cell(values: np.ndarray) -> Column:
+    return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
+
+
+def _pack(rows: DataFrame, keys: list[str], packs: Column, columns: list[str] | None = None) -> DataFrame:
+    numbered = rows.withColumn("pack", F.pmod(F.xxhash64("id", F.lit("pack")), packs))
+    return numbered.groupBy(*keys).agg(F.collect_list(F.struct(*(columns or rows.columns))).alias("asking"))
 
 
 def meet(
@@ -296,29 +330,13 @@ def meet(
     ``schema`` or None.
     """
     spark = queries.sparkSession
-    targets = _targets(queries, cells, reach)
-    size = len(cells.pivots)
-    asked = np.zeros(size, dtype=np.int64)
-    for row in targets.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        asked[row.cell] = row.n
-    packs = np.maximum(1, np.ceil(asked / cells.block_rows)).astype(int)
-
-    def per_cell(values: np.ndarray):
-        return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
-
-    packed = (
-        targets.withColumn("pack", F.pmod(F.xxhash64("id", F.lit("pack")), per_cell(packs)))
-        .groupBy("cell", "pack")
-        .agg(F.collect_list(F.struct(*queries.columns)).alias("asking"))
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), per_cell(cells.subs) - 1)))
-    )
+    packed, pairs = _query_packs(queries, cells, reach)
     # A fixed number of tasks: the work grows with pairs, not with the bytes that
     # adaptive coalescing would go by.
-    pairs = int((packs * cells.subs)[asked > 0].sum())
     tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs))
     joined = (
-        packed.repartition(tasks, "cell", "sub")
-        .join(cells.blocks.repartition(tasks, "cell", "sub"), ["cell", "sub"])
+        packed.repartition(tasks, "block")
+        .join(cells.blocks.repartition(tasks, "block"), "block")
         .select("asking", "members")
     )
 

@@ -112,10 +112,10 @@ def sequence_labels(classified: DataFrame, unknown_label: int = NOISE) -> DataFr
 
 
 def check_sequence(
-    seq: DataFrame, bloom: BloomFilter, n: int, keys: tuple[str, ...] = (), dense: bool = False
+    seq: DataFrame, bloom: BloomFilter, n: int, keys: tuple[str, ...] = ()
 ) -> DataFrame:
     """N-grams of ``seq(idx, label)`` with ``is_member``; misses start an anomaly."""
-    return check_ngrams(bloom, label_ngrams(seq, n, keys=keys, dense=dense))
+    return check_ngrams(bloom, label_ngrams(seq, n, keys=keys))
 
 
 def anomalies(checked: DataFrame) -> DataFrame:

@@ -18,13 +18,18 @@ def ngram_text(ngram: str | Column) -> Column:
     return F.concat(F.lit("("), body, tail)
 
 
+def _gapless_start(rows: DataFrame, pos: str) -> int | None:
+    """Smallest position if the unique positions have no gap."""
+    ends = rows.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    return ends.lo if ends.n and ends.hi - ends.lo + 1 == ends.n else None
+
+
 def label_ngrams(
     seq: DataFrame,
     n: int,
     label: str = "label",
     pos: str = "idx",
     keys: tuple[str, ...] = (),
-    dense: bool = False,
     bucket_rows: int = 8192,
 ) -> DataFrame:
     """All n-grams of a label sequence in steps of one: ``start_idx, ngram``.
@@ -32,17 +37,18 @@ def label_ngrams(
     The sequence is global unless ``keys`` are given. Positions are cut into
     equal buckets and the first n-1 rows of a bucket are copied to the one before,
     so each bucket yields its n-grams alone: one shuffle, and no long sequence or
-    busy key ends up in one task. ``dense`` says that ``pos`` is already 0..L-1
-    in the wanted order (only without ``keys``).
+    busy key ends up in one task. ``pos`` must be unique; where it has gaps, or with
+    ``keys``, rows are numbered anew first.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     columns = list(dict.fromkeys([*keys, pos, label]))
     rows = seq.select(*columns)
-    if dense and not keys:
-        rows = rows.withColumn("_pos", F.col(pos))
-    else:
+    first = None if keys else _gapless_start(rows, pos)
+    if first is None:
         rows = with_position(rows, [*keys, pos], "_pos")
+    else:
+        rows = rows.withColumn("_pos", F.col(pos) - first)
 
     width = max(bucket_rows, n)
     own = F.floor(F.col("_pos") / width).cast("bigint")

@@ -120,9 +120,7 @@ def search(
     points = base.select(
         F.col("idx").cast("bigint").alias("id"), _search_vector("embedding", metric, True).alias("vec")
     )
-    # Only the ``wanted`` first copies of equal vectors can ever be among the best.
-    copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    points = cut(points.withColumn("_copy", copy).filter(F.col("_copy") <= wanted).drop("_copy"), "base")
+    points = cut(_first_copies(points, wanted), "base")
     asked = queries.select(
         F.col("qid").cast("bigint").alias("id"), _search_vector("embedding", metric, False).alias("vec")
     )
@@ -157,6 +155,14 @@ def search(
     return flat.select("qid", "rank", "idx", F.col("d2").alias("distance"), F.sqrt("d2").alias("l2"))
 
 
+def _first_copies(points: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of equal vectors: no others can be among the ``k`` best."""
+    if k == 1:
+        return collapse(points).select("id", "vec")
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    return points.withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy")
+
+
 def _matches(where: dict[str, str]) -> Column:
     test = F.lit(True)
     for key, value in where.items():

@@ -136,8 +136,12 @@ def flatten(refined: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def write_mapping(traced: DataFrame, path: str, data: str = "raw", max_rows: int = 1_000_000) -> None:
-    """Mapping as a table ``cluster_id, idx, data``, one folder per cluster."""
-    traced.select("cluster_id", "idx", F.col(data).alias("data")).write.option(
+    """Mapping as a table ``cluster_id, idx, data``, one folder per cluster.
+
+    Ranges of (cluster, position) give small clusters few files and split large ones.
+    """
+    rows = traced.select("cluster_id", "idx", F.col(data).alias("data"))
+    rows.repartitionByRange("cluster_id", "idx").write.option(
         "maxRecordsPerFile", max_rows
     ).partitionBy("cluster_id").mode("overwrite").parquet(path)
 

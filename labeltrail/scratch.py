@@ -31,8 +31,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/labeltrail/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/labeltrail/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; frames built on them end here."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from labeltrail.scratch import clear
+
+    clear(session)
     session.stop()

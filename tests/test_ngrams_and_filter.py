@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from labeltrail.operators import bloom, ngrams
 from labeltrail.operators.position import split_by_position, with_position
@@ -23,8 +24,10 @@ def found(df):
 def test_ngrams_equal_the_sliding_window(spark, n, bucket):
     labels = [random.Random(1).choice([-1, 0, 1, 2]) for _ in range(100)]
     seq = sequence(spark, labels).repartition(5)
-    assert found(ngrams.label_ngrams(seq, n, dense=True, bucket_rows=bucket)) == brute(labels, n)
     assert found(ngrams.label_ngrams(seq, n, bucket_rows=bucket)) == brute(labels, n)
+    gapped = seq.withColumn("idx", F.col("idx") * 3 + 5)
+    want = [(3 * i + 5, gram) for i, gram in brute(labels, n)]
+    assert found(ngrams.label_ngrams(gapped, n, bucket_rows=bucket)) == want
 
 
 def test_ngrams_per_key_do_not_cross_keys(spark):
