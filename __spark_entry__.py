@@ -30,8 +30,9 @@ _DIGITS = 6
 
 
 def _r(column: str | Column, name: str | None = None) -> Column:
+    """Rounded column; minus zero becomes zero."""
     name = name or column
-    return F.round(column, _DIGITS).alias(name)
+    return (F.round(column, _DIGITS) + F.lit(0.0)).alias(name)
 
 
 def _components(df: DataFrame, key: str, vec: str = "embedding") -> DataFrame:
@@ -396,7 +397,10 @@ def hdbscan_labels(spark, sf):
 
 
 def sweep_alpha(spark, sf):
-    return fit.sweep(fx.folded_vectors(spark, sf), ["dbscan"], [0.5, 0.7])
+    rows = fit.sweep(fx.folded_vectors(spark, sf), ["dbscan"], [0.5, 0.7])
+    return rows.select(
+        "method", "alpha", "n_clusters", "n_noise", _r("silhouette_score"), _r("eps"), "min_samples"
+    )
 
 
 # --- tracing --------------------------------------------------------------------------

@@ -75,9 +75,10 @@ def sq(a: str, b: str) -> str:
 
 FOLD = """raw3 AS (SELECT idx, [list_sum(e[1:21]), list_sum(e[22:42]), list_sum(e[43:64])] AS v FROM emb),
  fold AS (SELECT idx, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS e FROM raw3)"""
+ALPHA = 0.5
 NN = f"""pairs AS (SELECT a.idx AS i, b.idx AS j, sqrt({sq('a.e', 'b.e')}) AS d FROM fold a JOIN fold b ON a.idx <> b.idx),
  nn AS (SELECT i, min(d) AS d FROM pairs GROUP BY i),
- par AS (SELECT quantile_cont(d, 0.5) / 0.5 AS eps, greatest(3, CAST(floor(ln(count(*)) * 0.5) AS BIGINT)) AS ms FROM nn)"""
+ par AS (SELECT quantile_cont(d, 0.5) / {ALPHA} AS eps, greatest(3, CAST(floor(ln(count(*)) * {ALPHA}) AS BIGINT)) AS ms FROM nn)"""
 DBSCAN = f"""WITH RECURSIVE {EMB}, {FOLD}, {NN},
  near AS MATERIALIZED (SELECT i, j FROM pairs, par WHERE d <= eps),
  core AS MATERIALIZED (SELECT f.idx AS i FROM fold f LEFT JOIN near n ON n.i = f.idx GROUP BY f.idx
@@ -168,6 +169,21 @@ def sizes(prefix: str, source: tuple[int, ...]) -> str:
     return f"WITH {prefix}, {ctes} {selects}"
 
 
+def sweep_row(alpha: float) -> str:
+    """Facts of one DBSCAN run, silhouette without noise."""
+    labels = DBSCAN.replace(f"/ {ALPHA} AS eps", f"/ {alpha} AS eps").replace(f"* {ALPHA})", f"* {alpha})")
+    return f"""SELECT * FROM ({labels},
+ kept AS (SELECT f.idx, f.e, l.cluster_id AS c FROM fold f JOIN labels l USING (idx) WHERE l.cluster_id <> -1),
+ size AS (SELECT c, count(*) AS n FROM kept GROUP BY c),
+ sums AS (SELECT a.idx, a.c AS own, b.c AS other, sum(sqrt({sq('a.e', 'b.e')})) AS t FROM kept a CROSS JOIN kept b GROUP BY ALL),
+ sides AS (SELECT idx, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a,
+  min(CASE WHEN own <> other THEN t / n END) AS b FROM sums JOIN size ON size.c = sums.other GROUP BY idx)
+ SELECT 'dbscan' AS method, CAST({alpha} AS DOUBLE) AS alpha, (SELECT count(*) FROM size) AS n_clusters,
+  (SELECT count(*) FROM labels WHERE cluster_id = -1) AS n_noise,
+  (SELECT round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) FROM sides) AS silhouette_score,
+  round(eps, 6) AS eps, ms AS min_samples FROM par)"""
+
+
 ORACLES = {
     "ngram_per_user": f"""WITH {SEQ} SELECT * FROM (SELECT user_id, idx AS start_idx, {gram(3)} AS ngram FROM seq
  WINDOW w AS (PARTITION BY user_id ORDER BY idx)) WHERE ngram IS NOT NULL""",
@@ -267,6 +283,7 @@ ORACLES = {
  sides AS (SELECT idx, max(CASE WHEN own = other THEN t / (n - 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b
   FROM sums JOIN size ON size.label = sums.other GROUP BY idx)
  SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM sides""",
+    "sweep_alpha": sweep_row(0.5) + " UNION ALL " + sweep_row(0.7),
     "trace_rows": f"WITH {LOG} SELECT idx, raw, cluster_id FROM log WHERE cluster_id = 3",
     "cluster_counts": f"WITH {LOG} SELECT cluster_id, count(*) AS cnt FROM log GROUP BY cluster_id",
     "cluster_summary": SUMMARY,

@@ -199,5 +199,5 @@ def test_queries_have_sql_or_say_why(spark):
     names, sql = set(entry.queries()), set(entry.oracle_sql())
     assert sql <= names
     assert names - sql == {
-        "vec_ivf", "kmeans_labels", "ward_labels", "meanshift_labels", "hdbscan_labels", "sweep_alpha"
+        "vec_ivf", "kmeans_labels", "ward_labels", "meanshift_labels", "hdbscan_labels"
     }
