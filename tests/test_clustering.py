@@ -30,12 +30,11 @@ def data():
     return x
 
 
-@pytest.mark.parametrize("block_rows", [16, None])
-def test_dbscan_equals_the_scan(spark, data, block_rows):
+@pytest.mark.parametrize("block_rows,eps,min_samples", [(32, 0.3, 3), (None, 0.6, 8)])
+def test_dbscan_equals_the_scan(spark, data, block_rows, eps, min_samples):
     points, reps = reps_of(spark, data)
-    for eps, min_samples in ((0.3, 3), (0.6, 8)):
-        got = labels_of(points, reps, dbscan.dbscan(reps, eps, min_samples, block_rows))
-        assert (got == brute.dbscan(data, eps, min_samples)).all()
+    got = labels_of(points, reps, dbscan.dbscan(reps, eps, min_samples, block_rows))
+    assert (got == brute.dbscan(data, eps, min_samples)).all()
 
 
 def test_dbscan_counts_the_bound_and_the_row_itself(spark):
@@ -60,16 +59,16 @@ def test_mostly_copies_raise_or_use_the_others(spark):
     assert dbscan.parameters(reps, 1.0, "positive_median")[0] == 2.0
 
 
-@pytest.mark.parametrize("block_rows", [16, None])
-def test_ward_equals_one_by_one_merges(spark, data, block_rows):
-    x = data[:70]
+@pytest.mark.parametrize("block_rows,threshold", [(16, 0.8), (None, 3.0)])
+def test_ward_equals_one_by_one_merges(spark, data, block_rows, threshold):
+    x = data[:60].copy()
+    x[40:45] = x[7]
     points, reps = reps_of(spark, x)
-    for threshold in (0.8, 3.0):
-        got = labels_of(points, reps, ward.ward(reps, threshold, block_rows))
-        assert (got == brute.ward(x, threshold)).all()
+    got = labels_of(points, reps, ward.ward(reps, threshold, block_rows))
+    assert (got == brute.ward(x, threshold)).all()
 
 
-@pytest.mark.parametrize("block_rows", [16, None])
+@pytest.mark.parametrize("block_rows", [48, None])
 def test_meanshift_equals_one_by_one(spark, data, block_rows):
     points, reps = reps_of(spark, data)
     got = labels_of(points, reps, meanshift.meanshift(reps, 1.2, block_rows=block_rows))
@@ -116,7 +115,7 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 @pytest.mark.parametrize("method", ["kmeans", "dbscan", "hdbscan", "agglomerative", "meanshift"])
 def test_fit_gives_labels_and_facts(spark, data, method):
-    data = data[:100]
+    data = data[:70]
     run = fit.cluster(table(spark, data), method, 1.0)
     rows = run.labels.orderBy("idx").collect()
     labels = np.array([r.cluster_id for r in rows])
@@ -141,7 +140,7 @@ def test_sweep_has_a_row_per_setting(spark, data):
     assert rows[0].eps == pytest.approx(2 * rows[1].eps)
 
 
-@pytest.mark.parametrize("block_rows,part_edges", [(None, 100_000), (24, 12)])
+@pytest.mark.parametrize("block_rows,part_edges", [(None, 100_000), (32, 20)])
 def test_hdbscan_equals_thresholds(spark, data, block_rows, part_edges):
     x = data[:90].copy()
     x[50:53] = x[7]  # four copies
