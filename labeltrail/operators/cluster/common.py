@@ -116,7 +116,7 @@ def pair_distance_median(reps: DataFrame) -> float | None:
         weight = (q["w"][:, None] * b["w"][None, :])[mask]
         return d[d > 0], weight[d > 0]
 
-    def histogram(lo: float, hi: float, bins: int) -> dict[int, int]:
+    def histogram(lo: float, hi: float, bins: int) -> dict[int, tuple[int, float, float]]:
         width = bin_width(lo, hi, bins) or np.inf
 
         def kernel(q: Block, b: Block):
@@ -125,18 +125,27 @@ def pair_distance_median(reps: DataFrame) -> float | None:
             place[d < lo], place[d > hi] = -1, bins
             keys, inverse = np.unique(place, return_inverse=True)
             sums = np.zeros(len(keys), dtype=np.int64)
+            low, high = np.full(len(keys), np.inf), np.full(len(keys), -np.inf)
             np.add.at(sums, inverse, weight)
-            return {"b": keys, "n": sums}
+            np.minimum.at(low, inverse, d)
+            np.maximum.at(high, inverse, d)
+            return {"b": keys, "n": sums, "low": low, "high": high}
 
-        return {r.b: r.n for r in run(kernel, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()}
+        found = run(kernel, "b bigint, n bigint, low double, high double").groupBy("b").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
+        return {r.b: (r.n, r.low, r.high) for r in found.collect()}
 
-    def values(lo: float, hi: float) -> list[tuple[float, int]]:
+    def values(lo: float, hi: float) -> tuple[int, list[tuple[float, int]]]:
         def kernel(q: Block, b: Block):
             d, weight = halves(q, b)
             inside = (d >= lo) & (d <= hi)
-            return {"v": d[inside], "n": weight[inside]}
+            # One row with value -1 holds the count below.
+            below = int(weight[d < lo].sum())
+            return {"v": np.append(d[inside], -1.0), "n": np.append(weight[inside], below)}
 
         rows = run(kernel, "v double, n bigint").groupBy("v").agg(F.sum("n").alias("n")).collect()
-        return sorted((r.v, r.n) for r in rows)
+        below = sum(r.n for r in rows if r.v < 0)
+        return below, sorted((r.v, r.n) for r in rows if r.v >= 0)
 
-    return exact_median(histogram, values, 0.0, top)
+    return exact_median(histogram, values, 0.0, top, room=1e-12 * top)
