@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -557,11 +558,22 @@ _QUERIES: tuple[Query, ...] = (
 )
 
 
+def _llm() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none if that subpackage is not there."""
+    if importlib.util.find_spec("labeltrail.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return {}, {}
+    import corpus_pipeline
+    from labeltrail.llm.queries import ORACLES, QUERIES
+
+    own = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | own
+
+
 def queries() -> dict[str, Query]:
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: query for query in _QUERIES} | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle import ORACLES
 
-    return dict(ORACLES)
+    return ORACLES | _llm()[1]
