@@ -560,11 +560,14 @@ _QUERIES: tuple[Query, ...] = (
 
 def _llm() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of the training-data operators; none if that subpackage is not there."""
-    if importlib.util.find_spec("labeltrail.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+    if importlib.util.find_spec("labeltrail.llm") is None:
         return {}, {}
-    import corpus_pipeline
     from labeltrail.llm.queries import ORACLES, QUERIES
 
+    if importlib.util.find_spec("corpus_pipeline") is None:
+        return QUERIES, ORACLES
+    import corpus_pipeline
+
     own = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | own
 
