@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from labeltrail.llm.bpe_codec import op8_bpe_codec
+from labeltrail.llm.language_id import op2_language_id
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op7_token_files, op8_bpe_codec)
+_ALL = (op2_language_id, op7_token_files, op8_bpe_codec)
 
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
