@@ -23,9 +23,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, Cache, list_array, map_arrow, table, whole_text
+from labeltrail.llm.common import Batches, Cache, list_array, map_arrow, slices, table, whole_text
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+_DECODED_ROWS = 500
 #: Strings that stand for bytes in byte-level vocabularies: printable Latin-1 is kept, the others follow from 256 on.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
@@ -210,15 +211,17 @@ def _with_column(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.Recor
 
 def _encode_part(batches: Batches, path: str, out: str) -> Iterator[pa.RecordBatch]:
     encode = codec(path).encode
-    for batch in batches:
+    for batch in slices(batches):
         yield _with_column(batch, list_array(list(map(encode, batch.column(0).to_pylist()))), out)
 
 
 def _decode_part(batches: Batches, path: str, out: str) -> Iterator[pa.RecordBatch]:
     decode = codec(path).decode
     for batch in batches:
-        ids = pc.fill_null(batch.column(0), pa.scalar([], batch.column(0).type))
-        yield _with_column(batch, decode(ids), out)
+        for first in range(0, batch.num_rows, _DECODED_ROWS):
+            part = batch.slice(first, _DECODED_ROWS)
+            ids = pc.fill_null(part.column(0), pa.scalar([], part.column(0).type))
+            yield _with_column(part, decode(ids), out)
 
 
 def _mapped(df: DataFrame, task, source, kind: str, path: str, out: str) -> DataFrame:

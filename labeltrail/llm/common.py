@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,22 @@ def map_arrow(df: DataFrame, task: Callable[..., Iterable[pa.RecordBatch]], sche
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Batches, column: int = 0, most: int = 2_000_000) -> Batches:
+    """The batches cut so that ``column`` has at most about ``most`` bytes in each, and one row at least.
+
+    A batch has as many rows as Spark likes; what a task makes of it would be several times its size.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        begin = 0
+        for end in ends:
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def record_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A batch of the given schema from arrays, lists or numpy arrays."""
     arrays = [
