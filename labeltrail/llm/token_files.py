@@ -34,12 +34,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, list_array, map_arrow, record_batch
+from labeltrail.llm.common import Batches, list_array, map_arrow, record_batch, slices
 from labeltrail.scratch import cut, new_path
 
 BLOCK = 128
 PERCENTILE = 90
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _LANES = 4
 _ROWS = BLOCK // _LANES
 _MAGIC = b"PFORIDS1"
@@ -296,7 +296,7 @@ def _write_part(batches: Batches, path: str, tokenizer: str, end_id: int | None)
     encode, writer = _encoder(tokenizer), None
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
     name = f"{path.rstrip('/')}/{uuid.uuid4().hex}.ids"
-    for batch in batches:
+    for batch in slices(batches, 1):
         if batch.num_rows:
             writer = writer or FileWriter(name)
             writer.add(batch.column(0).to_pylist(), [i + end for i in encode(batch.column(1).to_pylist())])
@@ -351,7 +351,7 @@ def write_tokens(
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    ordered = own.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = cut(map_arrow(ordered, _write_part, _MANIFEST, path, tokenizer, end_id), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
