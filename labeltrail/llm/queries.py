@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from labeltrail.llm.bpe_codec import op8_bpe_codec
 from labeltrail.llm.language_id import op2_language_id
+from labeltrail.llm.secret_scan import op4_secret_scan
 from labeltrail.llm.simhash import op10_simhash
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op2_language_id, op7_token_files, op8_bpe_codec, op10_simhash)
+_ALL = (op2_language_id, op4_secret_scan, op7_token_files, op8_bpe_codec, op10_simhash)
 
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
