@@ -7,10 +7,11 @@ from labeltrail.llm.html_text import op9_html_text
 from labeltrail.llm.language_id import op2_language_id
 from labeltrail.llm.secret_scan import op4_secret_scan
 from labeltrail.llm.simhash import op10_simhash
+from labeltrail.llm.substring_dedup import op5_substring_dedup
 from labeltrail.llm.token_counts import op6_token_counts
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op2_language_id, op4_secret_scan, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash)
+_ALL = (op2_language_id, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash)
 
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
