@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from labeltrail.llm.bpe_codec import op8_bpe_codec
 from labeltrail.llm.decontaminate import op1_decontaminate
+from labeltrail.llm.embedding_dedup import op3_embedding_dedup
 from labeltrail.llm.html_text import op9_html_text
 from labeltrail.llm.language_id import op2_language_id
 from labeltrail.llm.secret_scan import op4_secret_scan
@@ -12,7 +13,7 @@ from labeltrail.llm.substring_dedup import op5_substring_dedup
 from labeltrail.llm.token_counts import op6_token_counts
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op1_decontaminate, op2_language_id, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash)
+_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash)
 
 QUERIES = {query.__name__: query for query in _ALL}
 ORACLES: dict[str, str] = {}
