@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ _FOOTER = struct.Struct("<QQQ8s")
 _HEAD = struct.Struct("<IBB")
 _READ_BLOCKS = 8_192
 _TIGHT_SPACES = re.compile(r"(?<=\S) (?=\S)")
+_SIGNS = ".,;:!?%$&#*|()"
 _WIDE_SPACE = re.compile(r"\s\s")
 
 
@@ -81,29 +83,50 @@ class WordEncoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     @staticmethod
     def _words(text: str) -> list[str]:
-        parts = _TIGHT_SPACES.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        """The parts of a text; all but the first are without the space before them."""
+        return _TIGHT_SPACES.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
+
+    def _learn(self, words: set[str]) -> None:
+        """Make the ids of these words, with a space before each, known."""
+        known, before = self.known, self.before
+        new = words.difference(known)
+        again = new.intersection(before)
+        for w in again:
+            known[w] = before[w]
+        alone, parted = [], []
+        for w in new.difference(again):
+            body = w.rstrip(_SIGNS)
+            if len(body) < len(w) and body.isalpha():  # the pre-tokenizer cuts between letters and signs
+                parted.append((w, body, w[len(body) :]))
+            else:
+                alone.append(w)
+        if parted:
+            self._learn({body for _, body, _ in parted})
+            signs = list({s for _, _, s in parted}.difference(self.signs))
+            self.signs.update(zip(signs, self._encode(signs)))
+            for w, body, s in parted:
+                known[w] = known[body] + self.signs[s]
+        known.update(zip(alone, self._encode([" " + w for w in alone])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed ids, unsigned 32-bit little-endian, of each text."""
         if not self.by_words:
             return self._encode(texts)
         if len(self.known) > self.limit:
-            self.before, self.known = self.known, {}
+            self.before, self.known, self.signs = self.known, {}, {}
         words = [self._words(t) for t in texts]
-        new = set(itertools.chain.from_iterable(words)).difference(self.known)
-        again = {w: self.before[w] for w in new if w in self.before}
-        self.known.update(again)
-        unseen = list(new.difference(again))
-        self.known.update(zip(unseen, self._encode(unseen)))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        firsts = self._encode([w.pop(0) for w in words])
+        self._learn(set(itertools.chain.from_iterable(words)))
+        ids = self.known.__getitem__
+        return [first + b"".join(map(ids, w)) for first, w in zip(firsts, words)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -296,7 +319,7 @@ def _write_part(batches: Batches, path: str, tokenizer: str, end_id: int | None)
     encode, writer = _encoder(tokenizer), None
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
     name = f"{path.rstrip('/')}/{uuid.uuid4().hex}.ids"
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, 4_000_000):
         if batch.num_rows:
             writer = writer or FileWriter(name)
             writer.add(batch.column(0).to_pylist(), [i + end for i in encode(batch.column(1).to_pylist())])
