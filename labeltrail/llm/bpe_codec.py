@@ -15,15 +15,15 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, Cache, list_array, map_arrow, slices, table, whole_text
+from labeltrail.llm.common import Batches, Cache, ddl, list_array, map_arrow, numbered, place, slices, table, whole_text
 
 CACHE_WORDS = 250_000
 _DECODED_ROWS = 500
@@ -205,30 +205,31 @@ def codec(path: str) -> BpeCodec:
     return _codecs[path]
 
 
-def _with_column(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*batch.schema.names[1:], name])
+def _with_column(batch: pa.RecordBatch, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*batch.schema.names[1:], "out"])
 
 
-def _encode_part(batches: Batches, path: str, out: str) -> Iterator[pa.RecordBatch]:
+def _encode_part(batches: Batches, path: str) -> Iterator[pa.RecordBatch]:
     encode = codec(path).encode
     for batch in slices(batches):
-        yield _with_column(batch, list_array(list(map(encode, batch.column(0).to_pylist()))), out)
+        yield _with_column(batch, list_array(list(map(encode, batch.column(0).to_pylist()))))
 
 
-def _decode_part(batches: Batches, path: str, out: str) -> Iterator[pa.RecordBatch]:
+def _decode_part(batches: Batches, path: str) -> Iterator[pa.RecordBatch]:
     decode = codec(path).decode
     for batch in batches:
         for first in range(0, batch.num_rows, _DECODED_ROWS):
             part = batch.slice(first, _DECODED_ROWS)
             ids = pc.fill_null(part.column(0), pa.scalar([], part.column(0).type))
-            yield _with_column(part, decode(ids), out)
+            yield _with_column(part, decode(ids))
 
 
-def _mapped(df: DataFrame, task, source, kind: str, path: str, out: str) -> DataFrame:
+def _mapped(df: DataFrame, task, source: Callable[[str], Column], column: str, kind: str, path: str, out: str) -> DataFrame:
     if out in df.columns:
         raise ValueError(f"there is a column {out} already; name the new one with out=")
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], f"`{out}` {kind}"])
-    return map_arrow(df.select(source.alias("_in"), *[F.col(f"`{c}`") for c in df.columns]), task, schema, path, out)
+    own = numbered(df)
+    found = map_arrow(own.select(source(place(df, column)).alias("in"), *own.columns), task, f"{ddl(own)}, out {kind}", path)
+    return found.toDF(*df.columns, out)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -237,7 +238,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     Other columns stay, whatever their names; a column named ``out`` already raises.
     Rows stay rows: copies and empty tables need nothing special.
     """
-    return _mapped(df, _encode_part, whole_text(text), "array<int>", path, out)
+    return _mapped(df, _encode_part, whole_text, text, "array<int>", path, out)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -245,7 +246,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     A null or empty list gives the empty text; null and unknown ids in a list are left out.
     """
-    return _mapped(df, _decode_part, F.col(ids).cast("array<int>"), "string", path, out)
+    return _mapped(df, _decode_part, lambda c: F.col(c).cast("array<int>"), ids, "string", path, out)
 
 
 def digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

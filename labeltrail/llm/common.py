@@ -24,6 +24,20 @@ def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with columns c0, c1, ..., so that no name of its own clashes with one that is added."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def place(df: DataFrame, column: str) -> str:
+    """Name in ``numbered(df)`` of a column."""
+    return f"c{df.columns.index(column)}"
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def map_arrow(df: DataFrame, task: Callable[..., Iterable[pa.RecordBatch]], schema: str, *args) -> DataFrame:
     """``mapInArrow`` of a module-level function ``task(batches, *args)`` over each partition.
 

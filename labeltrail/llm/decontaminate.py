@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, map_arrow, record_batch, slices, table, whole_text
+from labeltrail.llm.common import Batches, ddl, map_arrow, numbered, place, record_batch, slices, table, whole_text
 from labeltrail.llm.word_windows import run_hashes, word_hashes
 
 SHINGLE = 5
@@ -123,6 +123,7 @@ class ItemIndex:
 _PAIRS = pa.schema([
     ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64()), ("containment", pa.float64()),
 ])
+_PAIRS_DDL = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
 
 
 def _search_part(batches: Batches, items: list[tuple[int | None, str]], containment: float) -> Iterator[pa.RecordBatch]:
@@ -148,12 +149,11 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
 
 def _searched(docs: DataFrame, items: DataFrame, containment: float, item_id: str, item_text: str) -> DataFrame:
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), whole_text(item_text).alias("text"))
-    ddl = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
     found = None
     for block in _blocks(wanted):
-        part = map_arrow(docs, _search_part, ddl, block, containment)
+        part = map_arrow(docs, _search_part, _PAIRS_DDL, block, containment)
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], ddl)
+    return found if found is not None else docs.sparkSession.createDataFrame([], _PAIRS_DDL)
 
 
 def find_items(
@@ -182,12 +182,11 @@ def _clean_part(batches: Batches, items: list[tuple[int | None, str]], containme
 def remove_contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns; rows without a text stay."""
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), whole_text("text").alias("text"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(whole_text(text).alias("_text"), *columns)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    own = numbered(docs)
+    found = own.select(whole_text(place(docs, text)).alias("text"), *own.columns)
     for block in _blocks(wanted):
-        own = map_arrow(own, _clean_part, ddl, block, containment)
-    return own.select(*columns)
+        found = map_arrow(found, _clean_part, ddl(found), block, containment)
+    return found.select(*own.columns).toDF(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, map_arrow, record_batch, table, whole_text
+from labeltrail.llm.common import Batches, ddl, map_arrow, numbered, place, record_batch, table, whole_text
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -233,7 +233,7 @@ def _predict_part(batches: Batches, net: Network, schema: pa.Schema) -> Iterator
             data = np.frombuffer(body if body is not None else b"", np.uint8)
             windows = window_places(offsets)
             mean = np.zeros((batch.num_rows, len(net.languages)))
-            total = np.full(batch.num_rows, 1e-9)
+            total = np.zeros(batch.num_rows)
             for a in range(0, len(windows[0]), _HELD):
                 text, start, length = (x[a : a + _HELD] for x in windows)
                 codes = window_codes(data, start, length)
@@ -241,7 +241,7 @@ def _predict_part(batches: Batches, net: Network, schema: pa.Schema) -> Iterator
                 total += np.bincount(text, weight, batch.num_rows)
                 for k, p in enumerate(net.probabilities(codes, tables).T):
                     mean[:, k] += np.bincount(text, p * weight, batch.num_rows)
-            mean /= total[:, None]
+            mean /= np.maximum(total, 1e-9)[:, None]
             lettered = np.asarray(batch.column(1).to_pylist(), bool)
             pred = np.where(lettered, mean.argmax(axis=1), -1)
             score = np.where(lettered, mean.max(axis=1), 0.0).clip(0, 1)
@@ -258,13 +258,20 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text: str = "text")
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    own = docs.select(
-        whole_text(text).alias("_text"), whole_text(text).rlike("\\p{L}").alias("_lettered"), *[F.col(f"`{c}`") for c in keep]
-    )
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
-    arrow = pa.schema([*to_arrow_schema(kept), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
-    ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields], "lang_pred string", "score double"])
-    return map_arrow(own, _predict_part, ddl, net, arrow)
+    own = numbered(docs)
+    kept = own.select(*[place(docs, c) for c in keep])
+    words = whole_text(place(docs, text))
+    lettered = own.select(words.alias("text"), words.rlike("\\p{L}").alias("lettered"), *kept.columns)
+    arrow = pa.schema([*to_arrow_schema(kept.schema), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
+    columns = ", ".join(filter(None, [ddl(kept), "lang_pred string, score double"]))
+    return map_arrow(lettered, _predict_part, columns, net, arrow).toDF(*keep, "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the network can tell, with their columns."""
+    own = numbered(docs)
+    found = predict(own, net, own.columns, place(docs, text))
+    return found.filter(F.col("lang_pred") != UNKNOWN).select(*own.columns).toDF(*docs.columns)
 
 
 def is_held_out(doc_id: str = "doc_id"):

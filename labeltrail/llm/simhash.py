@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, map_arrow, record_batch, slices, table, whole_text
+from labeltrail.llm.common import Batches, map_arrow, numbered, place, record_batch, slices, table, whole_text
 from labeltrail.operators.cluster.components import components
 from labeltrail.scratch import cut
 
@@ -113,8 +113,9 @@ def _groups(prints: DataFrame, group_limit: int) -> DataFrame:
             break
         done.append(rows.join(large, ["mask", "key"], "left_anti"))
         finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(p)) for p in parts_of(m)]))])
-        rows = cut(dealt(rows.join(large, ["mask", "key"], "left_semi"), finer[F.col("mask")]), "finer")
-        masks = [p for m in masks for p in parts_of(m)]
+        # one mask can be reached by several ways
+        rows = cut(dealt(rows.join(large, ["mask", "key"], "left_semi"), finer[F.col("mask")]).distinct(), "finer")
+        masks = sorted({p for m in masks for p in parts_of(m)})
     for part in done:
         rows = rows.unionByName(part)
     return rows
@@ -283,28 +284,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat that id count as one document, of which the first by text stays. A group without
     any id keeps its first row by text.
     """
+    own, doc_id, text = numbered(docs), place(docs, "doc_id"), place(docs, "text")
+    rest = [c for c in own.columns if c not in (doc_id, text)]
     found = near_duplicates(docs)
-    kept = cut(
-        found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "kept"
-    )
-    by_id = docs.join(kept, "doc_id")
-    plain = by_id.filter("_rows = 1").select(*docs.columns)
-    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    repeated = by_id.filter("_rows > 1").withColumn("_place", F.row_number().over(first)).filter("_place = 1").select(*docs.columns)
+    kept = cut(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    by_id = own.join(kept, doc_id)
+    order = Window.partitionBy(doc_id).orderBy(text, *rest)  # a few rows: those that repeat an id
+    repeated = by_id.filter("rows > 1").withColumn("at", F.row_number().over(order)).filter("at = 1")
+    chosen = by_id.filter("rows = 1").select(*own.columns).unionByName(repeated.select(*own.columns))
     lone = found.filter("component_id is null").select("fp", "root").distinct()
-    if lone.isEmpty():
-        return plain.unionByName(repeated)
-    nameless = docs.filter("doc_id is null").select(*docs.columns)
-    texts = nameless.groupBy(whole_text("text").alias("_text")).agg(F.count(F.lit(1)).alias("_n"))
-    prints = texts.select("_text").withColumn("_key", F.xxhash64("_text"))
-    hashed = fingerprints(prints, "_key", "_text").select(F.col("doc_id").alias("_key"), "fp")
-    per_root = prints.join(hashed, "_key").join(lone, "fp").groupBy("root").agg(F.min("_text").alias("_text"))
-    order = Window.partitionBy("_text").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    firsts = (
-        nameless.withColumn("_text", whole_text("text")).join(per_root.select("_text"), "_text")
-        .withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
-    )
-    return plain.unionByName(repeated).unionByName(firsts)
+    if not lone.isEmpty():
+        nameless = own.filter(F.col(doc_id).isNull()).withColumn("words", whole_text(text))
+        texts = nameless.select("words").distinct().withColumn("key", F.xxhash64("words"))
+        prints = fingerprints(texts, "key", "words").select(F.col("doc_id").alias("key"), "fp")
+        first_text = texts.join(prints, "key").join(lone, "fp").groupBy("root").agg(F.min("words").alias("words"))
+        order = Window.partitionBy("words").orderBy(*rest)
+        firsts = nameless.join(first_text.select("words"), "words").withColumn("at", F.row_number().over(order)).filter("at = 1")
+        chosen = chosen.unionByName(firsts.select(*own.columns))
+    return chosen.toDF(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
