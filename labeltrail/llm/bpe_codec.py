@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from labeltrail.llm.common import Batches, Cache, ddl, list_array, map_arrow, numbered, place, slices, table, whole_text
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 _DECODED_ROWS = 500
 #: Strings that stand for bytes in byte-level vocabularies: printable Latin-1 is kept, the others follow from 256 on.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -205,14 +205,21 @@ def codec(path: str) -> BpeCodec:
     return _codecs[path]
 
 
-def _with_column(batch: pa.RecordBatch, column: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*batch.schema.names[1:], "out"])
+def _with_columns(batch: pa.RecordBatch, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], "out", "text_out"][: len(columns) + len(batch.columns) - 1])
 
 
 def _encode_part(batches: Batches, path: str) -> Iterator[pa.RecordBatch]:
     encode = codec(path).encode
     for batch in slices(batches):
-        yield _with_column(batch, list_array(list(map(encode, batch.column(0).to_pylist()))))
+        yield _with_columns(batch, list_array(list(map(encode, batch.column(0).to_pylist()))))
+
+
+def _encode_decode_part(batches: Batches, path: str) -> Iterator[pa.RecordBatch]:
+    own = codec(path)
+    for batch in slices(batches):
+        ids = list_array(list(map(own.encode, batch.column(0).to_pylist())))
+        yield _with_columns(batch, ids, own.decode(ids))
 
 
 def _decode_part(batches: Batches, path: str) -> Iterator[pa.RecordBatch]:
@@ -221,15 +228,15 @@ def _decode_part(batches: Batches, path: str) -> Iterator[pa.RecordBatch]:
         for first in range(0, batch.num_rows, _DECODED_ROWS):
             part = batch.slice(first, _DECODED_ROWS)
             ids = pc.fill_null(part.column(0), pa.scalar([], part.column(0).type))
-            yield _with_column(part, decode(ids))
+            yield _with_columns(part, decode(ids))
 
 
-def _mapped(df: DataFrame, task, source: Callable[[str], Column], column: str, kind: str, path: str, out: str) -> DataFrame:
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already; name the new one with out=")
+def _mapped(df: DataFrame, task, source: Callable[[str], Column], column: str, kind: str, path: str, *out: str) -> DataFrame:
+    if set(out) & set(df.columns):
+        raise ValueError(f"there is a column {' or '.join(out)} already; name the new one with out=")
     own = numbered(df)
     found = map_arrow(own.select(source(place(df, column)).alias("in"), *own.columns), task, f"{ddl(own)}, out {kind}", path)
-    return found.toDF(*df.columns, out)
+    return found.toDF(*df.columns, *out)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -241,6 +248,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     return _mapped(df, _encode_part, whole_text, text, "array<int>", path, out)
 
 
+def encode_decode(df: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one Python worker, which holds the vocabulary once."""
+    return _mapped(df, _encode_decode_part, whole_text, text, "array<int>, text_out string", path, out, decoded)
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of each id list in ``out``: token strings joined by one space, special ones too.
 
@@ -252,8 +264,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def digest(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, decode, and reduce both to ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
     own = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ids = encode(own, path).select("doc_id", "ids")
-    return decode(ids, path).select(
+    return encode_decode(own, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
