@@ -31,7 +31,7 @@ from labeltrail.scratch import cut
 
 WINDOW = 50
 SHARD_WINDOWS = 20_000
-TASK_WINDOWS = 200_000  # windows streamed through a copy of a shard
+TASK_WINDOWS = 20_000  # windows streamed through a copy of a shard
 
 
 class SuffixAutomaton:
@@ -268,12 +268,13 @@ def repeated_spans(
 
     anchors = (
         signs.join(firsts, "words_sha256").filter("doc_id = first_doc")
-        .select("words_sha256", "doc_id", "alt", F.explode("anchors").alias("anchor"))
+        .select("doc_id", "alt", F.explode("anchors").alias("anchor"))
     )
     shared = cut(
         anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "shared"
     )
-    asked = anchors.join(shared, "anchor").groupBy("doc_id", "alt", "words_sha256").agg(F.collect_set("anchor").alias("anchors"))
+    asked = anchors.join(shared, "anchor").groupBy("doc_id", "alt").agg(F.collect_set("anchor").alias("anchors"))
+    asked = asked.join(firsts.withColumnRenamed("first_doc", "doc_id"), ["doc_id", "alt"])
     found = own.join(asked, "doc_id").select("doc_id", "alt", "words_sha256", "text", "anchors")
     suspects = cut(map_arrow(
         found, _suspect_part,
