@@ -64,12 +64,14 @@ def traced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_log(spark: SparkSession, sf_dir: str) -> str:
-    """The log as text files in event order, with a cut line after each signup, a
-    number after each click and a blank line after each purchase."""
+    """The log as text files in event order, with a cut line after each signup, a number after each click, a
+    blank line after each purchase, an event with a doubled key after each error and one with text behind it after each view."""
     after = (
         F.when(F.col("event_type") == "signup", F.concat(F.lit('{"eventId": '), F.col("event_id").cast("string"), F.lit(", ")))
         .when(F.col("event_type") == "click", F.col("event_id").cast("string"))
         .when(F.col("event_type") == "purchase", F.lit("  "))
+        .when(F.col("event_type") == "error", F.concat(F.lit('{"eventName": "x", "eventName": "d'), F.col("event_id").cast("string"), F.lit('", "n": NaN}')))
+        .when(F.col("event_type") == "view", F.lit('{"eventName": "c"} junk'))
     )
     lines = table(spark, sf_dir, "events").select(
         "event_id", F.posexplode(F.array(event_line(), after)).alias("part", "value")

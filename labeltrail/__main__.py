@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from labeltrail.config import RunConfig
-from labeltrail.operators.detect import anomalies, class_counts, match_summary
+from labeltrail.operators.detect import anomalies, class_counts, class_summary, match_summary, top_assigned_clusters
+from labeltrail.operators.ngrams import top_ngrams
 from labeltrail.plans.runs import detect, train
 from labeltrail.scratch import clear
 from labeltrail.sources.events import read_events
@@ -31,27 +32,41 @@ def _arguments() -> argparse.Namespace:
     part.add_argument("--keep-prefixes", type=RunConfig.parse_prefixes, default=defaults.keep_prefixes)
     part.add_argument("--zero-eps", default=defaults.zero_eps)
     part.add_argument("--score", default="none")
-    steps.choices["detect"].add_argument("-o", "--output", help="folder for the anomalies")
+    part.add_argument("--bandwidth-rows", type=int, default=defaults.bandwidth_rows)
+    part.add_argument("--top-n", type=int, default=defaults.top_n_clusters)
+    part.add_argument("--shuffle", action="store_true", help="read the events in a seeded random order")
+    steps.choices["detect"].add_argument("-o", "--output", required=True, help="folder for classes, counts, anomalies and rejects")
     return parser.parse_args()
 
 
 def main() -> None:
     given = _arguments()
     spark = SparkSession.builder.appName("labeltrail").getOrCreate()
-    events = read_events(spark, given.path).events
+    log = read_events(spark, given.path, shuffle=given.step == "train" and given.shuffle)
+    events = log.events
+    print(f"{log.rejects.count()} lines are no events")
     if given.step == "train":
         config = RunConfig(
             clustering_method=given.method, clustering_alpha=given.alpha, ngram_size=given.n,
             bloom_error_rate=given.error_rate, class_threshold=given.threshold,
-            keep_prefixes=given.keep_prefixes, zero_eps=given.zero_eps,
+            keep_prefixes=given.keep_prefixes, zero_eps=given.zero_eps, bandwidth_rows=given.bandwidth_rows,
+            top_n_clusters=given.top_n, shuffle=given.shuffle,
         )
-        save_model(spark, train(events, config, score=given.score), given.model)
+        model = train(events, config, score=given.score)
+        save_model(spark, model, given.model)
+        top_ngrams(model.ngrams, config.top_n_clusters).write.mode("overwrite").json(f"{given.model}/top-ngrams")
+        log.rejects.write.mode("overwrite").json(f"{given.model}/rejects")
     else:
-        found = detect(events, load_model(spark, given.model))
-        class_counts(found.classified).show()
-        match_summary(found.checked).show()
-        if given.output:
-            anomalies(found.checked).write.mode("overwrite").json(given.output)
+        model = load_model(spark, given.model)
+        found = detect(events, model)
+        tables = {
+            "classified": found.classified, "class-counts": class_counts(found.classified),
+            "class-summary": class_summary(found.classified),
+            "top-clusters": top_assigned_clusters(found.classified, model.config.top_n_clusters),
+            "checked-summary": match_summary(found.checked), "anomalies": anomalies(found.checked), "rejects": log.rejects,
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").json(f"{given.output}/{name}")
     clear(spark)
 
 

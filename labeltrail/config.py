@@ -10,7 +10,6 @@ DEFAULT_KEEP_PREFIXES = ("processName", "eventName", "syscall", "args", "executa
 
 @dataclass(frozen=True)
 class RunConfig:
-    model_name: str = "hashed-tokens"
     clustering_method: str = "dbscan"
     clustering_alpha: float = 1.0
     clustering_seed: int = 42
@@ -22,6 +21,7 @@ class RunConfig:
     class_threshold: float = 0.5
     embedding_dim: int = 64
     zero_eps: str = "raise"
+    bandwidth_rows: int | None = None
 
     @staticmethod
     def parse_prefixes(text: str) -> tuple[str, ...]:

@@ -48,34 +48,110 @@ def text_filter(line: str | Column, keep_prefixes: tuple[str, ...] | None) -> Co
     return F.array_join(written, " ")
 
 
+def _parsed(line: str):
+    """What Python's parser reads; None if it refuses the line."""
+    try:
+        return json.loads(line)
+    except (ValueError, RecursionError):
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def _rewrite_json(lines: pd.Series) -> pd.Series:
-    return lines.map(
-        lambda s: None if s is None else json.dumps(json.loads(s), ensure_ascii=False),
-        na_action="ignore",
-    )
+    def written(line: str | None) -> str | None:
+        value = None if line is None else _parsed(line)
+        return None if value is None else json.dumps(value, ensure_ascii=False)
+
+    return lines.map(written)
+
+
+@F.pandas_udf(T.StringType())
+def _python_kind(lines: pd.Series) -> pd.Series:
+    def kind(line: str | None) -> str | None:
+        if line is None:
+            return None
+        try:
+            return OBJECT if isinstance(json.loads(line), dict) else NOT_OBJECT
+        except (ValueError, RecursionError):
+            return MALFORMED
+
+    return lines.map(kind)
+
+
+OBJECT, NOT_OBJECT, MALFORMED = "object", "not an object", "malformed"
+
+
+def line_kind(line: str | Column) -> Column:
+    """Whether a line is a JSON object, as Python's parser sees it.
+
+    Spark's parser takes text after the value, so a line counts as an object only if it parses inside
+    an array of one element and inside an object. Python decides on the lines that are refused there, such
+    as those with doubled keys or ``NaN``; all others stay inside the JVM.
+    """
+    line = _col(line)
+    element = F.schema_of_variant(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
+    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), "$[1]", "variant").isNull()
+    value = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
+    plain = F.coalesce(element.startswith("ARRAY<OBJECT") & alone & value, F.lit(False))
+    return F.when(plain, F.lit(OBJECT)).otherwise(_python_kind(F.when(~plain, line)))
 
 
 def rewrite_json(line: str | Column) -> Column:
-    """The line parsed and written again, with escapes such as ``\\u003c`` resolved."""
+    """The line parsed and written again, with escapes such as ``\\u003c`` resolved; null if it does not parse."""
     return _rewrite_json(_col(line))
 
 
+#: What rewriting can change in a string pair: escapes with two spellings, a blank before a colon.
+_TWO_SPELLINGS = r'\\u|\\/|"\s+:'
+
+
 def event_text(
     line: str | Column, keep_prefixes: tuple[str, ...] | None, exact: bool = True
 ) -> Column:
     """Text of an event line.
 
-    ``exact`` rewrites the line first, in Arrow batches. Without it the raw line is
-    searched inside the JVM; both agree for lines without ``\\u`` escapes, doubled
-    keys or a blank before a colon.
+    ``exact`` gives the text of the line as Python's JSON writer writes it. Only lines that it could change
+    go through Arrow to be rewritten: all of them without prefixes, otherwise those with ``\\u`` or ``\\/``
+    escapes, a blank before a colon, or a form that Spark's parser refuses (doubled keys, ``NaN``). Without ``exact`` the
+    raw line is searched. A line that does not parse has no exact text.
     """
-    return text_filter(rewrite_json(line) if exact else line, keep_prefixes)
+    line = _col(line)
+    if not exact:
+        return text_filter(line, keep_prefixes)
+    if keep_prefixes is None:
+        return rewrite_json(line)
+    needs = line.rlike(_TWO_SPELLINGS) | F.try_parse_json(line).isNull()
+    return text_filter(F.when(needs, rewrite_json(F.when(needs, line))).otherwise(line), keep_prefixes)
+
+
+def _spaced(value: Column) -> Column:
+    """Compact JSON with a blank after each comma and colon outside strings, as Python's writer has it."""
+    marked = F.regexp_replace(value, r'("(?:[^"\\]|\\.)*+"|[^",:]++)([,:]?)', "$1$2\u0001")
+    for sign in (",", ":"):
+        marked = F.replace(marked, F.lit(f"{sign}\u0001"), F.lit(f"{sign} "))
+    return F.replace(marked, F.lit("\u0001"), F.lit(""))
 
 
 def fields(line: str | Column) -> Column:
-    """Top-level fields in document order; nested values as their JSON text."""
-    return F.from_json(_col(line), _FIELD_MAP)
+    """Top-level fields in document order; nested values as the text of Python's JSON writer.
+
+    Of a doubled key the last value counts.
+    """
+    line = _col(line)
+    texts = F.map_entries(F.from_json(line, _FIELD_MAP))
+    kinds = F.map_values(F.from_json(line, "map<string,variant>"))
+    names = F.transform(kinds, F.schema_of_variant)
+
+    def entry(pair: Column) -> Column:
+        text, kind = pair["e"]["value"], pair["n"]
+        written = F.when(kind.rlike("^(OBJECT|ARRAY)"), _spaced(text)).when(kind == "DOUBLE", F.trim(text, F.lit('"'))).otherwise(text)
+        return F.struct(pair["e"]["key"].alias("key"), written.alias("value"))  # Spark quotes NaN
+
+    entries = F.transform(F.arrays_zip(texts.alias("e"), names.alias("n")), entry)
+    keys = F.transform(texts, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    doubled = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.map_from_entries(F.when(doubled, last).otherwise(entries))
 
 
 def field_or_default(field_map: str | Column, name: str, default: str = MISSING) -> Column:

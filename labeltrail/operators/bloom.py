@@ -14,12 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labeltrail.operators.heavy import lookup
 from labeltrail.operators.ngrams import ngram_text
 from labeltrail.scratch import cut
 
 SHARD_CAPACITY = 100_000
 BROADCAST_BYTES = 32 << 20
-PROBE_SALTS = 16
 _SHARD_SEED = -1
 
 
@@ -107,45 +107,58 @@ def build_filter(
     return BloomFilter(table, capacity, error_rate, hashes, shards)
 
 
+def _probe(bloom: BloomFilter, counted: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``is_member`` to distinct n-grams.
+
+    A filter below ``broadcast_bytes`` goes to every executor, a larger one is joined by shard. The bit
+    tests are written out one by one: they stay in generated code, so no row gets a copy of its shard.
+    """
+    probes = counted.withColumn("_key", ngram_text("ngram")).withColumn("shard", _shard(F.col("_key"), bloom.shards))
+    small = bloom.size_bytes <= broadcast_bytes
+    joined = probes.join(F.broadcast(bloom.table) if small else bloom.table, "shard")
+    hit = F.lit(True)
+    for i in range(bloom.hashes):
+        place = F.pmod(F.xxhash64("_key", F.lit(i)), F.col("m"))
+        word = F.get("words", F.shiftright(place, 6).cast("int"))
+        hit = hit & (F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return joined.select(*counted.columns, hit.alias("is_member"))
+
+
+def _counted(ngrams: DataFrame) -> DataFrame:
+    return ngrams.groupBy("ngram").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def check_ngrams(
     bloom: BloomFilter | None, ngrams: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Add ``is_member`` to every n-gram row, in one pass.
+    """Add ``is_member`` to every n-gram row.
 
-    A filter below ``broadcast_bytes`` goes to every executor. A larger one is
-    joined by shard, each shard copied under ``PROBE_SALTS`` salts so that a
-    frequent n-gram is spread over as many tasks.
+    Each distinct n-gram is probed once; the answers go back to the rows by a look-up
+    that frequent n-grams do not bring out of balance.
     """
     if bloom is None:
         raise ValueError("no filter: build or load one first")
-    key = ngram_text("ngram")
-    probes = ngrams.withColumn("_key", key).withColumn("shard", _shard(F.col("_key"), bloom.shards))
-    if bloom.size_bytes <= broadcast_bytes:
-        joined = probes.join(F.broadcast(bloom.table), "shard")
-    else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in ngrams.columns]), F.lit(PROBE_SALTS))
-        spread = bloom.table.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PROBE_SALTS - 1).cast("bigint")))
-        )
-        joined = probes.withColumn("_salt", salt).join(spread, ["shard", "_salt"])
-    hit = F.forall(
-        _places(F.col("_key"), bloom.hashes, F.col("m")),
-        lambda p: F.getbit(F.get("words", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1,
+    answers = _probe(bloom, _counted(ngrams), broadcast_bytes)
+    return lookup(ngrams, answers, "ngram", "_n").select(*ngrams.columns, "is_member")
+
+
+def _known(known: DataFrame, counted: DataFrame) -> DataFrame:
+    """Add ``is_known`` to distinct n-grams."""
+    distinct_known = known.select("ngram").distinct().withColumn("_hit", F.lit(True))
+    return counted.join(distinct_known, "ngram", "left").select(
+        *counted.columns, F.coalesce("_hit", F.lit(False)).alias("is_known")
     )
-    return joined.select(*ngrams.columns, hit.alias("is_member"))
 
 
 def exact_membership(known: DataFrame, ngrams: DataFrame) -> DataFrame:
     """Add ``is_known``: whether the n-gram is among the known ones, exactly."""
-    distinct_known = known.select("ngram").distinct().withColumn("_hit", F.lit(True))
-    return ngrams.join(distinct_known, "ngram", "left").select(
-        *ngrams.columns, F.coalesce("_hit", F.lit(False)).alias("is_known")
-    )
+    answers = _known(known, _counted(ngrams))
+    return lookup(ngrams, answers, "ngram", "_n").select(*ngrams.columns, "is_known")
 
 
 def unseen_ngrams(known: DataFrame, ngrams: DataFrame) -> DataFrame:
-    """Rows whose n-gram was never seen, by anti join."""
-    return ngrams.join(known.select("ngram").distinct(), "ngram", "left_anti").select(*ngrams.columns)
+    """Rows whose n-gram was never seen."""
+    return exact_membership(known, ngrams).filter(~F.col("is_known")).drop("is_known")
 
 
 def filter_quality(bloom: BloomFilter, known: DataFrame, test: DataFrame) -> DataFrame:
@@ -156,7 +169,7 @@ def filter_quality(bloom: BloomFilter, known: DataFrame, test: DataFrame) -> Dat
     """
     # Tests collapse to distinct n-grams with counts before they meet the filter.
     counted = test.groupBy("ngram").agg(F.count(F.lit(1)).alias("cnt"))
-    flags = exact_membership(known, check_ngrams(bloom, counted))
+    flags = _known(known, _probe(bloom, counted))
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("cnt")).otherwise(0)), F.lit(0))

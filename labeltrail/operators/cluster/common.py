@@ -42,9 +42,10 @@ def distinct_vectors(points: DataFrame) -> DataFrame:
 
 
 def spread_labels(points: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of distinct vectors back to every position."""
-    table = reps.join(labels, "id").select("vec", "w", "cluster_id")
-    return lookup(points, table, "vec", "w").select(F.col("id").alias("idx"), "cluster_id")
+    """Labels, or other columns of distinct vectors, back to every position."""
+    told = [c for c in labels.columns if c != "id"]
+    table = reps.join(labels, "id").select("vec", "w", *told)
+    return lookup(points, table, "vec", "w").select(F.col("id").alias("idx"), *told)
 
 
 def total_weight(reps: DataFrame) -> int:

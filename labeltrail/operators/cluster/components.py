@@ -13,17 +13,21 @@ def _smallest(edges: DataFrame, key: str, other: str) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a vertex is linked to its smallest neighbour."""
+    """Every larger neighbour of a vertex is linked to its smallest neighbour.
+
+    The smallest neighbours are written first: a join of two plain tables is one whose
+    busy keys (the centre of a star has all its edges) Spark splits over several tasks.
+    """
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    smallest = _smallest(both, "u", "v").select("u", F.least("m", "u").alias("m"))
+    smallest = cut(_smallest(both, "u", "v").select("u", F.least("m", "u").alias("m")), "smallest")
     return both.filter("v > u").join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a vertex, and itself, is linked to the smallest."""
-    smallest = _smallest(edges, "hi", "lo")
+    smallest = cut(_smallest(edges, "hi", "lo"), "smallest")
     moved = edges.join(smallest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(smallest.select("hi", F.col("m").alias("lo")))
 
@@ -47,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
     )
     current = cut(links.distinct(), "links")
     while not _is_done(current):
-        current = cut(_small_star(_large_star(current)).distinct(), "links")
+        current = cut(_small_star(cut(_large_star(current), "large")).distinct(), "links")
     stars = current.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
     roots = current.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
     return stars.unionByName(roots)

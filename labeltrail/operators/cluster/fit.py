@@ -35,12 +35,14 @@ def cluster(
     seed: int = 42,
     zero_eps: str = "raise",
     score: str = "exact",
+    bandwidth_rows: int | None = None,
 ) -> Clustering:
     """Cluster ``vectors(idx, embedding)``.
 
     Parameters of a method follow from the number of rows, the distances and
     ``alpha``. ``score`` picks the silhouette: ``exact`` measures all pairs of
-    distinct vectors, ``squared`` is linear, ``none`` leaves it out.
+    distinct vectors, ``squared`` is linear, ``none`` leaves it out. Mean shift sets its
+    bandwidth by all rows, or by a sample of ``bandwidth_rows``.
     """
     if method not in METHODS:
         raise ValueError(f"unknown clustering method {method!r}, expected one of {METHODS}")
@@ -71,7 +73,7 @@ def cluster(
         labels = _ward.ward(reps, middle / alpha)
         facts.update(distance_threshold=middle / alpha)
     else:
-        labels, found = _fit_meanshift(points, reps, alpha, seed)
+        labels, found = _fit_meanshift(points, reps, alpha, seed, bandwidth_rows)
         facts.update(found)
 
     labels = cut(labels, "labels")
@@ -83,7 +85,7 @@ def cluster(
     if has_noise:
         facts.update(n_noise=noise)
     facts["silhouette_score"] = _score(labeled, clusters, has_noise, score)
-    return Clustering(spread, facts, extras)
+    return Clustering(spread, facts, None if extras is None else spread_labels(points, reps, extras))
 
 
 def _score(labeled: DataFrame, clusters: int, drop_noise: bool, score: str) -> float | None:
@@ -96,19 +98,25 @@ def _score(labeled: DataFrame, clusters: int, drop_noise: bool, score: str) -> f
     return silhouette_squared(labeled.filter("cluster_id <> -1") if drop_noise else labeled)
 
 
-def _fit_meanshift(points: DataFrame, reps: DataFrame, alpha: float, seed: int) -> tuple[DataFrame, dict]:
-    """Binned seeds first; twice the bandwidth with all rows as seeds next; one cluster last."""
-    bandwidth = _meanshift.bandwidth_for(points, alpha, seed)
+def _fit_meanshift(
+    points: DataFrame, reps: DataFrame, alpha: float, seed: int, bandwidth_rows: int | None
+) -> tuple[DataFrame, dict]:
+    """Binned seeds first; if no seed has a row in reach, twice the bandwidth with all rows as seeds next, one cluster last."""
+    facts: dict = {}
+    bandwidth = _meanshift.bandwidth_for(points, reps, alpha, seed, bandwidth_rows)
+    one_cluster = reps.select("id", F.lit(0).alias("cluster_id"))
+    if bandwidth is None:
+        return one_cluster, {"note": "all rows are equal: one cluster"}
+    facts["bandwidth"] = bandwidth
     try:
-        return _meanshift.meanshift(reps, bandwidth), {"bandwidth": bandwidth}
-    except ValueError:
-        bandwidth *= 2
+        return _meanshift.meanshift(reps, bandwidth, facts=facts), facts
+    except _meanshift.NoMode:
+        facts.update(bandwidth=2 * bandwidth, note="bandwidth was doubled")
     try:
-        labels = _meanshift.meanshift(reps, bandwidth, bin_seeding=False)
-        return labels, {"bandwidth": bandwidth, "note": "bandwidth was doubled"}
-    except ValueError:
-        labels = reps.select("id", F.lit(0).alias("cluster_id"))
-        return labels, {"bandwidth": bandwidth, "note": "all rows in one cluster"}
+        return _meanshift.meanshift(reps, 2 * bandwidth, bin_seeding=False, facts=facts), facts
+    except _meanshift.NoMode:
+        facts["note"] = "all rows in one cluster"
+        return one_cluster, facts
 
 
 INFO_FIELDS = {

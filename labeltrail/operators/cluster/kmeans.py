@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STARTS = 10  # fixed value: number of starts, best cost kept
+ROUNDS = 300  # fixed value: most rounds of one start
 
 
 def clusters_for(n: int, alpha: float) -> int:
     return max(2, int(int(math.sqrt(n)) * alpha))
 
 
-def kmeans(reps: DataFrame, k: int, seed: int = 42, starts: int = STARTS) -> tuple[DataFrame, dict]:
-    """Labels of distinct weighted vectors, with inertia and centers of the best start."""
+def kmeans(reps: DataFrame, k: int, seed: int = 42, starts: int = STARTS, rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
+    """Labels of distinct weighted vectors, with inertia and centers of the best start.
+
+    ``note`` tells if the best start still moved in the last of its ``rounds``.
+    """
     ready = reps.select(
         "id", array_to_vector("vec").alias("features"), F.col("w").cast("double").alias("weight")
     ).persist()
     best: KMeansModel | None = None
     for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, initMode="k-means||", weightCol="weight").fit(ready)
+        model = KMeans(k=k, seed=seed + start, initMode="k-means||", weightCol="weight", maxIter=rounds).fit(ready)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     labels = best.transform(ready).select("id", F.col("prediction").alias("cluster_id"))
@@ -32,4 +36,6 @@ def kmeans(reps: DataFrame, k: int, seed: int = 42, starts: int = STARTS) -> tup
         "inertia": best.summary.trainingCost,
         "centers": [center.tolist() for center in best.clusterCenters()],
     }
+    if best.summary.numIter >= rounds:
+        facts["note"] = f"stopped after {rounds} rounds"
     return labels, facts

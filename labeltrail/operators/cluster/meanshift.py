@@ -15,18 +15,22 @@ from labeltrail.operators.position import with_position
 from labeltrail.operators.search import collapse, nearest
 from labeltrail.scratch import cut
 
-SAMPLE_ROWS = 500  # fixed value: rows that set the bandwidth
 MAX_ROUNDS = 300  # fixed value
 MOVE_SHARE = 1e-3  # fixed value: a seed rests when it moves less than this share of the bandwidth
 
 
-def bandwidth_for(points: DataFrame, alpha: float, seed: int = 42) -> float:
-    """Median positive distance in a seeded sample of up to 500 rows, over ``alpha``."""
-    sample = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE_ROWS)
-    base = pair_distance_median(cut(collapse(sample), "bandwidth-sample"))
-    if base is None:
-        raise ValueError("bandwidth needs at least two different vectors")
-    return max(base / alpha, base * 0.1)
+class NoMode(ValueError):
+    """No row lies within the bandwidth of any seed."""
+
+
+def bandwidth_for(
+    points: DataFrame, reps: DataFrame, alpha: float, seed: int = 42, rows: int | None = None
+) -> float | None:
+    """Median positive distance over ``alpha``, of all rows or of a seeded sample of ``rows``; None if all are equal."""
+    if rows is not None:
+        reps = cut(collapse(points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(rows)), "bandwidth-sample")
+    base = pair_distance_median(reps)
+    return None if base is None else max(base / alpha, base * 0.1)
 
 
 def _shift_kernel(bandwidth: float):
@@ -91,9 +95,13 @@ def _distinct_modes(modes: DataFrame, bandwidth: float) -> DataFrame:
 
 
 def meanshift(
-    reps: DataFrame, bandwidth: float, bin_seeding: bool = True, block_rows: int | None = None
+    reps: DataFrame, bandwidth: float, bin_seeding: bool = True, block_rows: int | None = None,
+    facts: dict | None = None, rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
-    """Labels of distinct weighted vectors by the nearest mode."""
+    """Labels of distinct weighted vectors by the nearest mode.
+
+    ``facts`` gets a note if seeds still moved after the last of the ``rounds``.
+    """
     cells = make_cells(reps, block_rows=block_rows)
     seeds = reps.select("vec")
     if bin_seeding:
@@ -106,13 +114,16 @@ def meanshift(
             seeds = bins
     moving = cut(with_position(seeds, ["vec"], "id").select("id", "vec"), "seeds")
     resting: DataFrame | None = None
-    for round_number in range(MAX_ROUNDS + 1):
+    for round_number in range(rounds + 1):
         parts = meet(
             moving, cells, reach_within(bandwidth), _shift_kernel(bandwidth),
             "id bigint, vec array<double>, n bigint, total array<double>",
         )
         moved = cut(_means(parts), "shift")
-        still = (F.col("step") <= MOVE_SHARE * bandwidth) | F.lit(round_number == MAX_ROUNDS)
+        rested = F.col("step") <= MOVE_SHARE * bandwidth
+        if round_number == rounds and facts is not None and not moved.filter(~rested).isEmpty():
+            facts["note"] = f"seeds still moved after {rounds} rounds"
+        still = rested | F.lit(round_number == rounds)
         done = moved.filter(still).select("id", F.col("mean").alias("vec"), "n")
         resting = done if resting is None else resting.unionByName(done)
         moving = moved.filter(~still).select("id", F.col("mean").alias("vec"))
@@ -120,7 +131,7 @@ def meanshift(
             break
     modes = _distinct_modes(cut(resting, "resting"), bandwidth)
     if modes is None:
-        raise ValueError("no row within the bandwidth of any seed")
+        raise NoMode("no row within the bandwidth of any seed")
     hits = nearest(reps.select("id", "vec"), make_cells(modes.select("id", "vec")), 1)
     labels = hits.select(F.col("qid").alias("id"), F.col("bid").alias("root"))
     return rank_labels(labels)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from labeltrail.scratch import cut
 
@@ -51,6 +52,12 @@ def head_sample(df: DataFrame, n: int, key: str = "idx") -> DataFrame:
 def split_by_position(
     df: DataFrame, share: float = 0.8, pos: str = "start_idx"
 ) -> tuple[DataFrame, DataFrame]:
-    """First ``floor(share * rows)`` positions, and the rest."""
+    """First ``floor(share * rows)`` rows by position, and the rest.
+
+    Positions may start anywhere, have gaps and repeat (n-grams of several keys); rows of one position
+    are told apart by their other columns.
+    """
+    plain = [f.name for f in df.schema.fields if f.name != pos and not isinstance(f.dataType, (MapType, VariantType))]
+    ranked = with_position(df, [pos, *plain], "_rank")
     cutoff = int(df.count() * share)
-    return df.filter(F.col(pos) < cutoff), df.filter(F.col(pos) >= cutoff)
+    return ranked.filter(F.col("_rank") < cutoff).drop("_rank"), ranked.filter(F.col("_rank") >= cutoff).drop("_rank")

@@ -24,6 +24,7 @@ from labeltrail.scratch import cut
 
 METRICS = ("cosine", "flat", "ivf")
 IVF_LISTS = 100  # fixed value: number of inverted lists
+IVF_ROUNDS = 300  # most rounds of the k-means behind them
 
 
 def collapse(points: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:
     return F.concat(unit, F.array(extra))
 
 
-def ivf_centers(points: DataFrame, seed: int = 42) -> np.ndarray:
+def ivf_centers(points: DataFrame, seed: int = 42, rounds: int = IVF_ROUNDS) -> np.ndarray:
     """Centres of up to 100 inverted lists by k-means."""
     k = min(IVF_LISTS, points.count())
-    trainer = KMeans(k=k, seed=seed, featuresCol="features", maxIter=10)
+    trainer = KMeans(k=k, seed=seed, featuresCol="features", maxIter=rounds)
     model = trainer.fit(points.select(array_to_vector("vec").alias("features")))
     return np.array(model.clusterCenters())
 
@@ -101,13 +102,14 @@ def search(
     nprobe: int = 1,
     seed: int = 42,
     block_rows: int | None = None,
+    centers: np.ndarray | None = None,
 ) -> DataFrame:
     """Top-k of ``base(idx, embedding[, metadata])`` for each of ``queries(qid, embedding)``.
 
     Returns ``qid, rank, idx`` with ``similarity`` and ``distance`` for cosine
     (1 - similarity), or squared ``distance`` and ``l2`` otherwise. ``where`` tests
     metadata entries for equality: ``pre`` before the search, ``post`` among the 3k
-    nearest, which may leave fewer than k. An empty base raises.
+    nearest, which may leave fewer than k. ``centers`` sets the inverted lists of ``ivf``. An empty base raises.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
@@ -127,7 +129,7 @@ def search(
     distinct = cut(collapse(asked), "queries")
 
     if metric == "ivf":
-        cells = make_cells(points, block_rows=block_rows, pivots=ivf_centers(points, seed))
+        cells = make_cells(points, block_rows=block_rows, pivots=ivf_centers(points, seed) if centers is None else centers)
         hits = meet(
             distinct, cells, reach_probes(nprobe), nearest_kernel(wanted), "qid bigint, bid bigint, d2 double"
         )

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from labeltrail.operators.cluster.common import NOISE
 from labeltrail.operators.ngrams import label_ngrams
 from labeltrail.operators.position import with_position
+from labeltrail.scratch import cut
 
 
 def match_sequence(events: DataFrame, labels: DataFrame, data: str = "raw") -> DataFrame:
-    """``idx, cluster_id, data``; sequences of unequal length raise."""
+    """``idx, cluster_id, data``; sequences of unequal length or with other positions raise."""
     n_events, n_labels = events.count(), labels.count()
     if n_events != n_labels:
         raise ValueError(f"{n_events} events do not fit {n_labels} labels")
-    return _match(events, labels, data)
+    matched = cut(_match(events, labels, data), "matched")
+    n_matched = matched.count()
+    if n_matched != n_events:
+        raise ValueError(f"{n_matched} of {n_events} events have a label at their position")
+    return matched
 
 
 def _match(events: DataFrame, labels: DataFrame, data: str) -> DataFrame:
@@ -25,10 +30,10 @@ def _match(events: DataFrame, labels: DataFrame, data: str) -> DataFrame:
 
 
 def match_shorter(events: DataFrame, labels: DataFrame, data: str = "raw") -> DataFrame:
-    """The same over the length of the shorter sequence."""
-    length = min(events.count(), labels.count())
-    inside = F.col("idx") < length
-    return _match(events.filter(inside), labels.filter(inside), data)
+    """The same over the length of the shorter sequence; both are numbered from 0 without gaps first."""
+    first = with_position(events.select(F.col("idx").alias("_at"), data), ["_at"], "idx")
+    second = with_position(labels.select(F.col("idx").alias("_at"), "cluster_id"), ["_at"], "idx")
+    return _match(first, second, data)
 
 
 def labels_from_mapping(mapping: DataFrame, renumber_noise: bool = True, gap_label: int = 0) -> DataFrame:

@@ -24,12 +24,13 @@ def cluster_rows(traced: DataFrame, cluster_id: int) -> DataFrame:
 
 
 def cluster_summary(traced: DataFrame, data: str = "raw") -> DataFrame:
-    """Rows, first position and first row of every cluster."""
-    return traced.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min("idx").alias("first_idx"),
-        F.min_by(data, "idx").alias("sample_data"),
-    )
+    """Rows, first position and first row of every cluster.
+
+    Positions are aggregated alone; the text is fetched for the first ones only.
+    """
+    firsts = traced.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cnt"), F.min("idx").alias("first_idx"))
+    rows = traced.select(F.col("idx").alias("first_idx"), F.col(data).alias("sample_data"))
+    return firsts.join(rows, "first_idx").select("cluster_id", "cnt", "first_idx", "sample_data")
 
 
 def cluster_indices(labels: DataFrame, chunk: int = INDEX_CHUNK) -> DataFrame:
@@ -113,20 +114,23 @@ def refined_statistics(refined: DataFrame) -> DataFrame:
 
 def refined_samples(refined: DataFrame) -> DataFrame:
     """First refined row of every cluster."""
-    return refined.groupBy("cluster_id").agg(F.min_by("filtered", "idx").alias("sample_data"))
+    firsts = refined.groupBy("cluster_id").agg(F.min("idx").alias("idx"))
+    return firsts.join(refined.select("idx", F.col("filtered").alias("sample_data")), "idx").drop("idx")
 
 
-def field_names(refined: DataFrame, limit: int = 5_000) -> list[str]:
-    """All field names seen, sorted; more than ``limit`` cannot become columns."""
+def field_names(refined: DataFrame) -> list[str]:
+    """All field names seen, sorted."""
     names = refined.select(F.explode(F.map_keys("filtered")).alias("name")).distinct()
-    found = sorted(row.name for row in names.limit(limit + 1).collect())
-    if len(found) > limit:
-        raise ValueError(f"over {limit} field names; keep the map form instead")
-    return found
+    return sorted(row.name for row in names.collect())
+
+
+def flatten_long(refined: DataFrame) -> DataFrame:
+    """A row for each field: ``cluster_id, index, name, value``. Any number of names is fine."""
+    return refined.select("cluster_id", F.col("idx").alias("index"), F.explode("filtered").alias("name", "value"))
 
 
 def flatten(refined: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Wide table: cluster, position, then one column per field name."""
+    """Wide table: cluster, position, then one column for each of ``names``, or of all names found."""
     names = field_names(refined) if names is None else names
     return refined.select(
         "cluster_id",

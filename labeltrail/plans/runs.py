@@ -40,7 +40,7 @@ def cluster_collection(vectors: DataFrame, config: RunConfig, score: str = "exac
     """Labels, facts and radii of a vector collection."""
     run = cluster(
         vectors, config.clustering_method, config.clustering_alpha, config.clustering_seed,
-        config.zero_eps, score,
+        config.zero_eps, score, config.bandwidth_rows,
     )
     centroids = cut(cluster_radius(vectors, run.labels), "centroids")
     facts = {k: v for k, v in run.info.items() if k != "centers"}

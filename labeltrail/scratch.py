@@ -6,29 +6,17 @@ statistics, and pins values that depend on how rows were partitioned.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_roots: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Only a local-mode session without that setting gets a temporary folder; a
-    cluster has to name a shared one.
+    Where it is unset, tables go below the warehouse, which is shared too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="labeltrail-")
-    return _local_roots[context.applicationId]
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def _session_folder(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labeltrail.functions.text import event_text
+from labeltrail.functions.text import OBJECT, event_text, line_kind
 from labeltrail.operators.position import shuffle_rows, with_position
 
 
@@ -35,13 +35,9 @@ def sort_lines(lines: DataFrame, order_by: list[str]) -> EventLog:
     Lines that are not JSON, or JSON but no object, are the rejects. Positions
     count the surviving lines only.
     """
-    checked = lines.withColumn(
-        "_kind", F.schema_of_variant(F.try_parse_json("raw"))
-    ).filter(F.col("raw").rlike(r"\S"))
-    is_object = F.coalesce(F.col("_kind").startswith("OBJECT"), F.lit(False))
-    survivors = with_position(checked.filter(is_object).drop("_kind"), order_by, "idx")
-    reason = F.when(F.col("_kind").isNull(), "malformed").otherwise("not an object")
-    rejects = checked.filter(~is_object).select("raw", reason.alias("reason"))
+    checked = lines.filter(F.col("raw").rlike(r"\S")).withColumn("_kind", line_kind("raw"))
+    survivors = with_position(checked.filter(F.col("_kind") == OBJECT).drop("_kind"), order_by, "idx")
+    rejects = checked.filter(F.col("_kind") != OBJECT).select("raw", F.col("_kind").alias("reason"))
     return EventLog(survivors.drop(*order_by), rejects)
 
 

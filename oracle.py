@@ -56,6 +56,9 @@ def text(line: str, prefixes: tuple[str, ...]) -> str:
 
 
 UNESCAPED = r"replace(raw, '\u003c', '<')"
+# Lines of the written log that are events: those of the log, and one with a doubled key after each error.
+LINES = f"""lines AS (SELECT idx, 0 AS part, raw, {text('raw', ('processName', 'eventName'))} AS text FROM log UNION ALL
+ SELECT idx, 1, '{{"eventName": "x", "eventName": "d' || idx || '", "n": NaN}}', 'eventName=d' || idx FROM log WHERE event_type = 'error')"""
 PREFIXES = ("processName", "eventName", "syscall", "args", "executable", "returnValue")
 
 SYSCALL_NA = "CASE WHEN event_type = 'view' THEN 'N/A' WHEN value > 150 THEN NULL ELSE 'sys_' || event_type END"
@@ -221,12 +224,12 @@ ORACLES = {
  SELECT idx, 'text', text FROM meta UNION ALL SELECT idx, 'processName', p FROM meta UNION ALL
  SELECT idx, 'eventName', e FROM meta UNION ALL SELECT idx, 'syscall', s FROM meta UNION ALL
  SELECT idx, 'eventId', CAST(idx AS VARCHAR) FROM meta UNION ALL SELECT idx, 'data_type', 'normal' FROM meta""",
-    "log_scan": f"""WITH {LOG} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, raw,
- {text('raw', ('processName', 'eventName'))} AS text, 'normal' AS data_type FROM log""",
+    "log_scan": f"""WITH {LOG}, {LINES} SELECT row_number() OVER (ORDER BY idx, part) - 1 AS idx, raw, text, 'normal' AS data_type FROM lines""",
     "log_rejects": """SELECT raw, reason, count(*) AS cnt FROM (
  SELECT '{"eventId": ' || event_id || ', ' AS raw, 'malformed' AS reason FROM events WHERE event_type = 'signup' UNION ALL
- SELECT CAST(event_id AS VARCHAR), 'not an object' FROM events WHERE event_type = 'click') GROUP BY raw, reason""",
-    "log_raw_scan": f"WITH {LOG} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, raw FROM log",
+ SELECT CAST(event_id AS VARCHAR), 'not an object' FROM events WHERE event_type = 'click' UNION ALL
+ SELECT '{"eventName": "c"} junk', 'malformed' FROM events WHERE event_type = 'view') GROUP BY raw, reason""",
+    "log_raw_scan": f"WITH {LOG}, {LINES} SELECT row_number() OVER (ORDER BY idx, part) - 1 AS idx, raw FROM lines",
     "sample_head": f"WITH {LOG} SELECT idx, raw FROM log ORDER BY idx LIMIT 32",
     "shuffle_keeps_rows": f"""WITH {LOG} SELECT count(*) AS cnt, CAST(sum(idx) AS BIGINT) AS idx_sum,
  CAST(sum(idx * (CAST('0x' || substr(md5(raw), 1, 8) AS BIGINT) % 1009)) AS BIGINT) AS row_check FROM log""",
@@ -298,13 +301,13 @@ ORACLES = {
  SELECT cluster_id, idx, 'eventName', event_type FROM log UNION ALL
  SELECT cluster_id, idx, 'syscall', CASE WHEN value > 150 THEN NULL ELSE 'sys_' || event_type END FROM log WHERE event_type <> 'view' UNION ALL
  SELECT cluster_id, idx, 'returnValue', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) FROM log UNION ALL
- SELECT cluster_id, idx, 'args', '[{{"name":"k","value":"' || replace(props, '"', '\"') || '"}}]' FROM log UNION ALL
- SELECT cluster_id, idx, 'executable', '{{"path":"/bin/' || event_type || '"}}' FROM log UNION ALL
+ SELECT cluster_id, idx, 'args', '[{{"name": "k", "value": "' || replace(props, '"', '\"') || '"}}]' FROM log UNION ALL
+ SELECT cluster_id, idx, 'executable', '{{"path": "/bin/' || event_type || '"}}' FROM log UNION ALL
  SELECT cluster_id, idx, 'executableTag', 'a<b' FROM log WHERE event_type = 'error'""",
     "refine_stats": statistics("CASE WHEN value > 150 THEN NULL ELSE 'sys_' || event_type END", "event_type <> 'view'"),
     "refine_flatten": rf"""WITH {LOG} SELECT cluster_id, idx AS index,
- '[{{"name":"k","value":"' || replace(props, '"', '\"') || '"}}]' AS args, event_type AS "eventName",
- '{{"path":"/bin/' || event_type || '"}}' AS executable,
+ '[{{"name": "k", "value": "' || replace(props, '"', '\"') || '"}}]' AS args, event_type AS "eventName",
+ '{{"path": "/bin/' || event_type || '"}}' AS executable,
  CASE WHEN event_type = 'error' THEN 'a<b' END AS "executableTag", 'u' || user_id AS "processName",
  CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS "returnValue",
  CASE WHEN value > 150 OR event_type = 'view' THEN NULL ELSE 'sys_' || event_type END AS syscall FROM log""",

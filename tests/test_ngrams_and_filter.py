@@ -120,3 +120,20 @@ def test_exact_membership_and_self_check(spark):
 def test_split_by_position(spark):
     first, rest = split_by_position(table_of(spark, [(i,) for i in range(11)]), 0.8)
     assert (first.count(), rest.count()) == (8, 3)
+
+
+def test_split_by_position_with_offset_gaps_and_repeats(spark):
+    first, rest = split_by_position(spark.range(100, 150).withColumnRenamed("id", "start_idx"), 0.8)
+    assert (first.count(), rest.count()) == (40, 10) and first.agg({"start_idx": "max"}).first()[0] == 139
+    first, rest = split_by_position(spark.range(20).selectExpr("id div 2 * 7 as start_idx", "id as other"), 0.75)
+    assert (first.count(), rest.count()) == (15, 5)
+
+
+def test_membership_with_one_frequent_ngram(spark):
+    rows = [(i, "(0, 1)" if i % 10 else f"({i}, {i + 1})") for i in range(400)]
+    grams = spark.createDataFrame([(i, [int(x) for x in g.strip("()").split(",")]) for i, g in rows], "start_idx long, ngram array<int>")
+    known = grams.filter("start_idx % 20 <> 0")
+    checked = bloom.check_ngrams(bloom.build_filter(known, 1e-6), grams).collect()
+    exact = {r["start_idx"]: r["is_known"] for r in bloom.exact_membership(known, grams).collect()}
+    assert len(checked) == 400 and all(r["is_member"] == exact[r["start_idx"]] for r in checked)
+    assert bloom.unseen_ngrams(known, grams).count() == 19 == sum(not v for v in exact.values())

@@ -43,7 +43,7 @@ def test_default_is_for_absence_only(spark):
         tx.field_or_default("f", "a").alias("a"), tx.field_or_default("f", "b").alias("b"),
         tx.field_or_default("f", "c").alias("c"), tx.keep_fields("f", ("a",)).alias("kept"),
     ).first()
-    assert (row.a, row.b, row.c, row.kept) == (None, "N/A", '{"x":[1,2]}', {"a": None})
+    assert (row.a, row.b, row.c, row.kept) == (None, "N/A", '{"x": [1, 2]}', {"a": None})
 
 
 def test_metadata_is_a_map_of_text(spark):
@@ -84,3 +84,30 @@ def test_scan_drops_blank_and_sets_aside_bad_lines(spark, tmp_path):
 def test_missing_file_raises(spark, tmp_path):
     with pytest.raises(Exception):
         read_events(spark, str(tmp_path / "none.json")).events.count()
+
+
+LINES = [
+    '{"a":"x","a":"y"}', '{"a":"c"} junk', '{"a":"g"}{"a":"h"}', '{"a":1},{"b":2}', '{"a":1}] junk [1', '{"a":1}, "b":{"c":2}', '{"v":NaN}',
+    '[1]', "3", '"x"', "null", "{", "{}", '{"a":"\\/b","c":"\\u003c"}', '{"k" : "v"}', '  {"a":{"b":[1,"x,y:z\\"",{}]}} ', '{"a":"t\tb"}', '{"a":-Infinity, "b": 1.5}',
+]
+
+
+def _kind(line):
+    try:
+        return "object" if isinstance(json.loads(line), dict) else "not an object"
+    except ValueError:
+        return "malformed"
+
+
+def test_lines_count_as_python_reads_them(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "i int, raw string")
+    rows = df.select("i", tx.line_kind("raw").alias("kind"), tx.event_text("raw", None).alias("text"), tx.fields("raw").alias("f")).orderBy("i").collect()
+    assert [r.kind for r in rows] == [_kind(x) for x in LINES]
+    for line, row in zip(LINES, rows):
+        if row.kind == "object":
+            value = json.loads(line)
+            assert row.text == json.dumps(value, ensure_ascii=False)
+            written = {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in value.items()}
+            assert row.f == written
+        elif row.kind == "malformed":
+            assert row.text is None

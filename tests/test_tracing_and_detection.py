@@ -81,7 +81,11 @@ def test_matching(spark, log, labels, tmp_path):
     assert [(r.idx, r.cluster_id) for r in matched.orderBy("idx").collect()] == list(enumerate(LABELS))
     with pytest.raises(ValueError):
         sequence.match_sequence(log, labels.filter("idx < 3"))
+    with pytest.raises(ValueError):  # as many labels, at other positions
+        sequence.match_sequence(log, labels.withColumn("idx", labels["idx"] + 2))
     assert sequence.match_shorter(log, labels.filter("idx < 3")).count() == 3
+    gapped = sequence.match_shorter(log.filter("idx <> 1"), labels.withColumn("idx", labels["idx"] * 3))
+    assert [(r.idx, r.cluster_id) for r in gapped.orderBy("idx").collect()] == list(enumerate(LABELS[:4]))
     for fmt in ("parquet", "json"):
         sequence.write_matched(matched, str(tmp_path / fmt), fmt)
         again = sequence.read_matched(spark, str(tmp_path / fmt), fmt)
@@ -196,8 +200,8 @@ def test_prefix_list_keeps_empty_parts():
 def test_queries_have_sql_or_say_why(spark):
     import __spark_entry__ as entry
 
-    names, sql = set(entry.queries()), set(entry.oracle_sql())
-    assert sql <= names
+    names, sql = {q.__name__ for q in entry._QUERIES}, set(entry.oracle_sql())
+    assert sql <= set(entry.queries())
     assert names - sql == {
         "vec_ivf", "kmeans_labels", "ward_labels", "meanshift_labels", "hdbscan_labels"
     }
