@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +135,23 @@ def match_truncate(spark, sf):
     return sequence.match_shorter(log, labels)
 
 
+def match_gapped(spark, sf):
+    """Events without the purchases against the statuses of every third order: both sequences have gaps."""
+    log = fx.event_log(spark, sf).filter("get_json_object(raw, '$.eventName') <> 'purchase'")
+    orders = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(
+        F.col("o_orderkey").alias("idx"), F.expr("instr('FOP', o_orderstatus) - 1").cast("int").alias("cluster_id")
+    )
+    return sequence.match_shorter(log, orders)
+
+
+def split_offset(spark, sf):
+    """The 80/20 split where positions start at 100 and have gaps, and keys share them."""
+    found = ngrams.label_ngrams(fx.label_sequence(spark, sf), 3, keys=("user_id",))
+    grams = found.select((F.col("start_idx") * 3 + 100).alias("start_idx"), "user_id", ngrams.ngram_text("ngram").alias("ngram"))
+    known, test = position.split_by_position(grams, 0.8)
+    return known.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+
+
 def _gapped_mapping(spark, sf):
     """A mapping that lacks the positions of all purchases."""
     return fx.traced_log(spark, sf).filter("get_json_object(raw, '$.eventName') <> 'purchase'")
@@ -286,12 +304,25 @@ def vec_ivf_all_lists(spark, sf):
     return hits.select("qid", "rank", "idx", _r("distance"))
 
 
+def vec_ivf_centers(spark, sf):
+    """Inverted lists around the mean vector of each label, one and three lists probed."""
+    rows = fx.vectors(spark, sf)
+    means = em.mean_pool(rows, "label", "embedding").orderBy("label").collect()  # one row per label
+    centers = np.array([r["embedding"] for r in means])
+    found = [
+        _self_search(spark, sf, k=3, metric="ivf", nprobe=n, centers=centers).select(F.lit(n).alias("nprobe"), "qid", "rank", "idx", _r("distance"))
+        for n in (1, 3)
+    ]
+    return found[0].unionByName(found[1])
+
+
 def vec_normalize(spark, sf):
     scaled = fx.vectors(spark, sf).select(
         "idx", l2_normalize(F.transform(as_double("embedding"), lambda x: x * (F.col("label") - 4))).alias("embedding")
     )
-    return scaled.select("idx", _r(norm("embedding"), "length"), _r(F.get("embedding", F.lit(0)), "first"),
-                         _r(F.get("embedding", F.lit(63)), "last"))
+    return scaled.select("idx", _r(norm("embedding"), "length"), F.posexplode("embedding").alias("pos", "x")).select(
+        "idx", "length", "pos", _r("x")
+    )
 
 
 def vec_info(spark, sf):
@@ -320,18 +351,21 @@ def collection_search(spark, sf):
 # --- clustering -----------------------------------------------------------------------
 
 
+def _centroids(found):
+    """All components of the centroids, with rows and radius."""
+    return found.select("cluster_id", "n", "max_distance", F.posexplode("centroid").alias("pos", "x")).select(
+        "cluster_id", "n", _r("max_distance"), "pos", _r("x")
+    )
+
+
 def cluster_radius(spark, sf):
     rows = fx.vectors(spark, sf)
-    return quality.cluster_radius(rows, fx.labels_of(rows), "cosine").select(
-        "cluster_id", "n", _r(F.get("centroid", F.lit(0)), "first"), _r("max_distance")
-    )
+    return _centroids(quality.cluster_radius(rows, fx.labels_of(rows), "cosine"))
 
 
 def cluster_radius_l2(spark, sf):
     rows = fx.vectors(spark, sf)
-    return quality.cluster_radius(rows, fx.labels_of(rows), "flat").select(
-        "cluster_id", "n", _r(F.get("centroid", F.lit(0)), "first"), _r("max_distance")
-    )
+    return _centroids(quality.cluster_radius(rows, fx.labels_of(rows), "flat"))
 
 
 def _reps(spark, sf, folded=True):
@@ -544,11 +578,11 @@ def study_sizes(spark, sf):
 
 _QUERIES: tuple[Query, ...] = (
     ngram_per_user, ngram_global, ngram_topk, ngram_multi_n, bloom_check, bloom_large, exact_unseen,
-    bloom_quality, seq_anomalies, seq_summary, match_sequence, match_truncate, labels_from_mapping,
+    bloom_quality, seq_anomalies, seq_summary, match_sequence, match_truncate, match_gapped, split_offset, labels_from_mapping,
     train_sequence, text_filter, text_exact, field_extract, metadata_scalar, log_scan, log_rejects,
     log_raw_scan, sample_head, shuffle_keeps_rows, embed_hashed, embed_mean_pool, embed_new_only,
     vec_top1_cosine, vec_topk_cosine, vec_topk_l2, vec_topk_blocks, vec_topk_where_pre,
-    vec_topk_where_post, vec_ivf, vec_ivf_all_lists, vec_normalize, vec_info, collection_roundtrip,
+    vec_topk_where_post, vec_ivf, vec_ivf_all_lists, vec_ivf_centers, vec_normalize, vec_info, collection_roundtrip,
     collection_search, cluster_radius, cluster_radius_l2, knn_eps, nearest_other, pair_median,
     dbscan_labels, cluster_collection, silhouette_exact, silhouette_squared, kmeans_labels, ward_labels,
     meanshift_labels, hdbscan_labels, sweep_alpha, trace_rows, cluster_counts, cluster_summary, cluster_indices,

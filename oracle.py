@@ -207,6 +207,14 @@ ORACLES = {
     "match_truncate": f"""WITH {LOG}, states AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx,
   CAST(instr('FOP', o_orderstatus) - 1 AS INT) AS cluster_id FROM orders)
  SELECT log.idx, states.cluster_id, log.raw AS data FROM log JOIN states ON log.idx = states.idx""",
+    "match_gapped": f"""WITH {LOG}, rows AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS place, raw FROM log WHERE event_type <> 'purchase'),
+ states AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, CAST(instr('FOP', o_orderstatus) - 1 AS INT) AS cluster_id
+  FROM orders WHERE o_orderkey % 3 = 0)
+ SELECT place AS idx, cluster_id, raw AS data FROM rows JOIN states USING (place)""",
+    "split_offset": f"""WITH {SEQ}, per AS (SELECT * FROM (SELECT idx AS start_idx, user_id, {gram(3)} AS ngram FROM seq
+  WINDOW w AS (PARTITION BY user_id ORDER BY idx)) WHERE ngram IS NOT NULL),
+ placed AS (SELECT *, row_number() OVER (ORDER BY start_idx, user_id, ngram) - 1 AS place, count(*) OVER () AS n FROM per)
+ SELECT start_idx * 3 + 100 AS start_idx, user_id, ngram, place >= floor(n * 0.8) AS is_test FROM placed""",
     "labels_from_mapping": f"""WITH {LOG}, mapping AS (SELECT idx, cluster_id FROM log WHERE event_type <> 'purchase'),
  top AS (SELECT max(cluster_id) AS m FROM mapping WHERE cluster_id <> -1),
  named AS (SELECT idx, cluster_id FROM mapping WHERE cluster_id <> -1 UNION ALL
@@ -253,9 +261,17 @@ ORACLES = {
  SELECT qid, rank, idx, round(d2, 6) AS distance FROM kept WHERE rank <= 10""",
     "vec_ivf_all_lists": SELF_L2.replace("{where}", "")
     + " SELECT qid, rank, idx, round(d2, 6) AS distance FROM hits WHERE rank <= 3",
+    "vec_ivf_centers": f"""WITH {EMB}, {RADIUS.replace('{src}', 'emb')},
+ near AS (SELECT e.idx, m.label, row_number() OVER (PARTITION BY e.idx ORDER BY {sq('e.e', 'm.m')}, m.label) AS rn FROM emb e CROSS JOIN mean m),
+ hits AS (SELECT p.n AS nprobe, a.idx AS qid, b.idx AS idx, {sq('qa.e', 'qb.e')} AS d2,
+  row_number() OVER (PARTITION BY p.n, a.idx ORDER BY {sq('qa.e', 'qb.e')}, b.idx) AS rank
+  FROM (VALUES (1), (3)) p(n) JOIN near a ON a.rn <= p.n JOIN near b ON b.rn = 1 AND b.label = a.label
+  JOIN emb qa ON qa.idx = a.idx JOIN emb qb ON qb.idx = b.idx)
+ SELECT nprobe, qid, rank, idx, round(d2, 6) AS distance FROM hits WHERE rank <= 3""",
     "vec_normalize": f"""WITH {EMB}, scaled AS (SELECT idx, list_transform(e, lambda x: x * (label - 4)) AS v FROM emb),
  done AS (SELECT idx, CASE WHEN list_dot_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM scaled)
- SELECT idx, round(sqrt(list_dot_product(v, v)), 6) AS length, round(v[1], 6) + 0.0 AS first, round(v[64], 6) + 0.0 AS last FROM done""",
+ SELECT idx, length, pos, round(x, 6) + 0.0 AS x FROM (SELECT idx, round(sqrt(list_dot_product(v, v)), 6) AS length,
+  unnest(range(0, len(v))) AS pos, unnest(v) AS x FROM done)""",
     "vec_info": """SELECT 'embeddings' AS collection_name, count(*) AS total_embeddings, max(len(embedding))::INT AS embedding_dim,
  'cosine' AS index_type, 'tables' AS persist_directory FROM embeddings""",
     "collection_roundtrip": f"""WITH {EMB}, {UNIT} SELECT 'known_' || (row_number() OVER (ORDER BY idx) - 1) AS id,
@@ -263,10 +279,11 @@ ORACLES = {
     "collection_search": SELF_L2.replace("{where}", "") + """ SELECT qid, rank, 'known_' || idx AS id,
  CAST(label AS VARCHAR) AS label, round(d2, 6) AS distance FROM hits WHERE rank <= 3""",
     "cluster_radius": f"""WITH {EMB}, {UNIT}, {RADIUS_COS.replace('{src}', 'unit')}
- SELECT cluster_id, n, round(first, 6) AS first, round(r, 6) AS max_distance FROM radii""",
-    "cluster_radius_l2": f"""WITH {EMB}, {RADIUS.replace('{src}', 'emb')} SELECT u.label AS cluster_id, count(*) AS n,
- round(any_value(m[1]), 6) AS first, round(max(sqrt({sq('u.e', 'm')})), 6) AS max_distance
- FROM emb u JOIN mean USING (label) GROUP BY u.label""",
+, all_c AS (SELECT label, unnest(range(0, len(c))) AS pos, unnest(c) AS x FROM center)
+ SELECT cluster_id, n, round(r, 6) AS max_distance, pos, round(x, 6) + 0.0 AS x FROM radii JOIN all_c ON label = cluster_id""",
+    "cluster_radius_l2": f"""WITH {EMB}, {RADIUS.replace('{src}', 'emb')} SELECT cluster_id, n, max_distance, pos, round(x, 6) + 0.0 AS x FROM
+ (SELECT u.label AS cluster_id, count(*) AS n, round(max(sqrt({sq('u.e', 'm')})), 6) AS max_distance
+ FROM emb u JOIN mean USING (label) GROUP BY u.label) JOIN (SELECT label, unnest(range(0, len(m))) AS pos, unnest(m) AS x FROM mean) ON label = cluster_id""",
     "knn_eps": f"WITH {EMB}, {FOLD}, {NN} SELECT round(eps, 6) AS eps, CAST(ms AS INT) AS min_samples FROM par",
     "nearest_other": f"""WITH {EMB} SELECT a.idx AS id, round(sqrt(min({sq('a.e', 'b.e')})), 6) AS d
  FROM emb a JOIN emb b ON a.idx <> b.idx GROUP BY a.idx""",
