@@ -54,11 +54,9 @@ def total_weight(reps: DataFrame) -> int:
 
 def rank_labels(members: DataFrame) -> DataFrame:
     """``members(id, root)`` to labels 0, 1, ... by the smallest id of each group."""
-    roots = members.groupBy("root").agg(F.min("id").alias("_first"))
-    numbered = with_position(roots, ["_first"], "_label")
-    return members.join(numbered.select("root", "_label"), "root").select(
-        "id", F.col("_label").cast("int").alias("cluster_id")
-    )
+    roots = members.groupBy("root").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    numbered = with_position(roots, ["_first"], "_label").select("root", "_rows", "_label")
+    return lookup(members, numbered, "root", "_rows").select("id", F.col("_label").cast("int").alias("cluster_id"))
 
 
 def count_labels(labels: DataFrame) -> tuple[int, int]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from labeltrail.functions.vectors import dot, l2_normalize, norm, squared_distance
 from labeltrail.operators.blocks import Block, distances, make_cells, meet, reach_all
 from labeltrail.operators.cluster.common import NOISE
+from labeltrail.operators.heavy import lookup
 from labeltrail.scratch import cut
 
 
@@ -99,7 +100,7 @@ def cluster_radius(vectors: DataFrame, labels: DataFrame, metric: str = "cosine"
     centers = means.select("cluster_id", "n", centroid.alias("centroid"))
     distance = 1.0 - dot("vec", "centroid") if cosine else F.sqrt(squared_distance("vec", "centroid"))
     reach = (
-        rows.join(centers, "cluster_id")
+        lookup(rows, centers, "cluster_id", "n")
         .groupBy("cluster_id")
         .agg(F.greatest(F.max(distance), F.lit(0.0)).alias("max_distance"))
     )

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from labeltrail.scratch import cut
 
 HEAVY_KEYS_LIMIT = 2_000
+BROADCAST_BYTES = 64 << 20
+_FIXED_SIZE = (NumericType, BooleanType, DateType, TimestampType)
+
+
+def _is_small(heavy: DataFrame) -> bool:
+    """Whether the rows, fewer than ``HEAVY_KEYS_LIMIT``, surely fit into a broadcast; measured where values can be long."""
+    long = [f.name for f in heavy.schema.fields if not isinstance(f.dataType, _FIXED_SIZE)]
+    if not long:
+        return True
+    written = F.octet_length(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in long])))
+    return (heavy.agg(F.sum(written)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def lookup(
@@ -17,13 +29,16 @@ def lookup(
 
     Keys that hold more than 1/``limit`` of all rows, so fewer than ``limit`` of
     them, are broadcast and their rows never move; the others take a hash join.
-    ``right`` is written once, as it is read several times; ``left`` is read twice.
+    ``right`` is written once, as it is read several times; ``left`` is read twice. Should the frequent keys
+    carry more than 64 MB, all rows take the join of the two tables, whose busy keys Spark can split.
     """
     right = cut(right, "lookup")
     total = right.agg(F.sum(weight)).first()[0] or 0
     heavy = right.filter(F.col(weight) * limit > total)
     light = right.filter(F.col(weight) * limit <= total)
     payload = [c for c in right.columns if c not in (key, weight)]
+    if not _is_small(heavy.select(key, *payload)):
+        return left.join(right.select(key, *payload), key, "left")
     tagged = left.join(
         F.broadcast(heavy.select(key, F.lit(True).alias("_heavy"), *payload)), key, "left"
     )

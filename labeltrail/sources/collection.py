@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltrail.functions.vectors import as_double, l2_normalize
+from labeltrail.operators.heavy import lookup
 from labeltrail.operators.position import with_position
 from labeltrail.operators.search import METRICS, search
+from labeltrail.scratch import cut
 
 SCHEMA = "id string, idx bigint, embedding array<float>, metadata map<string,string>, metric string"
 
@@ -91,8 +93,10 @@ class Collection:
     def search(self, queries: DataFrame, k: int = 3, **options) -> DataFrame:
         """Top-k with id and metadata of every hit."""
         base = self.rows()
-        hits = search(queries, base, k=k, metric=self.metric, **options)
-        return hits.join(base.select("idx", "id", "metadata"), "idx")
+        hits = cut(search(queries, base, k=k, metric=self.metric, **options), "hits")
+        # One row may be the hit of most queries: its metadata is fetched once.
+        met = hits.groupBy("idx").agg(F.count(F.lit(1)).alias("_n")).join(base.select("idx", "id", "metadata"), "idx")
+        return lookup(hits, met, "idx", "_n")
 
 
 def collection_info(table: DataFrame, name: str, metric: str, path: str = "") -> DataFrame:
