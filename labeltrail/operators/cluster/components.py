@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.scratch import cut
+from labeltrail.scratch import Rounds
 
 
 def _smallest(edges: DataFrame, key: str, other: str) -> DataFrame:
     return edges.groupBy(key).agg(F.min(other).alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rounds: Rounds) -> DataFrame:
     """Every larger neighbour of a vertex is linked to its smallest neighbour.
 
     The smallest neighbours are written first: a join of two plain tables is one whose
@@ -21,13 +21,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    smallest = cut(_smallest(both, "u", "v").select("u", F.least("m", "u").alias("m")), "smallest")
+    smallest = rounds.cut(_smallest(both, "u", "v").select("u", F.least("m", "u").alias("m")), "smallest")
     return both.filter("v > u").join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rounds: Rounds) -> DataFrame:
     """Every smaller neighbour of a vertex, and itself, is linked to the smallest."""
-    smallest = cut(_smallest(edges, "hi", "lo"), "smallest")
+    smallest = rounds.cut(_smallest(edges, "hi", "lo"), "smallest")
     moved = edges.join(smallest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(smallest.select("hi", F.col("m").alias("lo")))
 
@@ -49,9 +49,12 @@ def components(edges: DataFrame) -> DataFrame:
     links = edges.filter("a <> b").select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     )
-    current = cut(links.distinct(), "links")
+    rounds = Rounds(edges.sparkSession)
+    current = rounds.cut(links.distinct(), "links")
     while not _is_done(current):
-        current = cut(_small_star(cut(_large_star(current), "large")).distinct(), "links")
+        rounds.end()
+        large = rounds.cut(_large_star(current, rounds), "large")
+        current = rounds.cut(_small_star(large, rounds).distinct(), "links")
     stars = current.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
     roots = current.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
     return stars.unionByName(roots)

@@ -27,13 +27,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this session; frames built on them end here."""
+def _delete(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; frames built on them end here."""
+    _delete(spark, _session_folder(spark))
+
+
+class Rounds:
+    """Tables of a loop: those of a round are deleted once the next round's are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.before: list[str] = []
+        self.now: list[str] = []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.now.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def end(self) -> None:
+        """The round is over and nothing built on the tables before it is needed any more."""
+        for path in self.before:
+            _delete(self.spark, path)
+        self.before, self.now = self.now, []
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back."""
     spark = df.sparkSession

@@ -153,3 +153,23 @@ def test_hdbscan_equals_thresholds(spark, data, block_rows, part_edges):
     assert brute.same_partition([g[0] for g in got], labels.tolist())
     assert [g[0] == -1 for g in got] == (labels == -1).tolist()
     assert np.allclose([g[1] for g in got], share, atol=1e-9)
+
+
+def test_components_keep_two_rounds_of_tables(spark):
+    from pathlib import Path
+
+    from labeltrail.operators.cluster.components import components
+    from labeltrail.scratch import _session_folder
+
+    chain = spark.range(1, 600).selectExpr("id as a", "id - 1 as b")
+    folder = Path(_session_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found = components(chain)
+    assert found.filter("root <> 0").isEmpty() and found.count() == 600
+    assert len(set(folder.iterdir()) - before) <= 2 * 5
+
+
+def test_labels_of_one_giant_group(spark):
+    members = spark.range(2_000).selectExpr("id", "if(id < 1900, 5, id) as root")
+    labels = {r["id"]: r["cluster_id"] for r in common.rank_labels(members).collect()}
+    assert len(labels) == 2_000 and {labels[i] for i in range(1900)} == {0} and labels[1999] == 100
