@@ -347,11 +347,17 @@ def _read_part(batches: Batches) -> Iterator[pa.RecordBatch]:
 
 
 def _digest_part(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """As ``_read_part``, but the ids stay where they are read."""
     for batch in batches:
-        ids = batch.column(2)
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4", copy=False)
-        crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield record_batch(_DIGEST, [batch.column(0), batch.column(1), np.diff(offsets).astype(np.int64), crc])
+        for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = []
+            for doc, first, ids in FileReader(name):
+                rows.append((doc, before + first, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))))
+                if len(rows) == 10_000:
+                    yield record_batch(_DIGEST, [list(c) for c in zip(*rows)])
+                    rows = []
+            if rows:
+                yield record_batch(_DIGEST, [list(c) for c in zip(*rows)])
 
 
 _MANIFEST = "part int, path string, n_docs long, n_ids long"
@@ -382,10 +388,12 @@ def write_tokens(
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, ids`` of all documents; ``start`` counts the ids of all documents before it."""
+    return map_arrow(_spread(manifest), _read_part, "doc_id long, start long, ids array<int>")
+
 
-    files = manifest.count()
-    spread = manifest.select("path", "start").repartition(max(1, files))
-    return map_arrow(spread, _read_part, "doc_id long, start long, ids array<int>")
+def _spread(manifest: DataFrame) -> DataFrame:
+    """The files, one to a task."""
+    return manifest.select("path", "start").repartition(max(1, manifest.count()))
 
 
 def _doc_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -395,7 +403,7 @@ def _doc_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def token_digest(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of all documents, from the files."""
-    return map_arrow(read_tokens(manifest), _digest_part, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(_spread(manifest), _digest_part, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,8 @@ def test_token_files(spark):
     manifest = token_files.write_tokens(awkward(spark, rows), new_path(spark, "t"), BYTE_BPE, 2)
     got = sorted((tuple(r) for r in token_files.token_digest(manifest).collect()), key=lambda r: r[1])
     assert got == want
+    read = sorted((tuple(r) for r in token_files.read_tokens(manifest).collect()), key=lambda r: r[1])
+    assert [(d, a, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, a, i in read] == want
     none = token_files.write_tokens(empty(spark), new_path(spark, "t"), BYTE_BPE, 2)
     assert token_files.token_digest(none).count() == 0
 
