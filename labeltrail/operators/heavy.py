@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
@@ -13,13 +15,11 @@ BROADCAST_BYTES = 64 << 20
 _FIXED_SIZE = (NumericType, BooleanType, DateType, TimestampType)
 
 
-def _is_small(heavy: DataFrame) -> bool:
-    """Whether the rows, fewer than ``HEAVY_KEYS_LIMIT``, surely fit into a broadcast; measured where values can be long."""
-    long = [f.name for f in heavy.schema.fields if not isinstance(f.dataType, _FIXED_SIZE)]
-    if not long:
-        return True
-    written = F.octet_length(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in long])))
-    return (heavy.agg(F.sum(written)).first()[0] or 0) <= BROADCAST_BYTES
+def _written_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values that can be long, written as text."""
+    long = [f.name for f in df.schema.fields if not isinstance(f.dataType, _FIXED_SIZE)]
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("bigint") for c in long]
+    return reduce(Column.__add__, sizes, F.lit(0).cast("bigint"))
 
 
 def lookup(
@@ -33,11 +33,13 @@ def lookup(
     carry more than 64 MB, all rows take the join of the two tables, whose busy keys Spark can split.
     """
     right = cut(right, "lookup")
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    size = _written_bytes(right)
+    total, longest = right.agg(F.sum(weight), F.max(size)).first()
+    total = total or 0
     heavy = right.filter(F.col(weight) * limit > total)
     light = right.filter(F.col(weight) * limit <= total)
     payload = [c for c in right.columns if c not in (key, weight)]
-    if not _is_small(heavy.select(key, *payload)):
+    if (longest or 0) * limit > BROADCAST_BYTES and (heavy.agg(F.sum(size)).first()[0] or 0) > BROADCAST_BYTES:
         return left.join(right.select(key, *payload), key, "left")
     tagged = left.join(
         F.broadcast(heavy.select(key, F.lit(True).alias("_heavy"), *payload)), key, "left"

@@ -57,7 +57,10 @@ def split_by_position(
     Positions may start anywhere, have gaps and repeat (n-grams of several keys); rows of one position
     are told apart by their other columns.
     """
+    rows, first, last = df.agg(F.count(F.lit(1)), F.min(pos), F.max(pos)).first()
+    cutoff = int(rows * share)
+    if rows and last - first + 1 == rows and df.select(pos).distinct().count() == rows:  # each position once: ranks are known
+        return df.filter(F.col(pos) < first + cutoff), df.filter(F.col(pos) >= first + cutoff)
     plain = [f.name for f in df.schema.fields if f.name != pos and not isinstance(f.dataType, (MapType, VariantType))]
     ranked = with_position(df, [pos, *plain], "_rank")
-    cutoff = int(df.count() * share)
     return ranked.filter(F.col("_rank") < cutoff).drop("_rank"), ranked.filter(F.col("_rank") >= cutoff).drop("_rank")
