@@ -40,7 +40,7 @@ from labeltrail.scratch import cut, new_path
 
 BLOCK = 128
 PERCENTILE = 90
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
 _LANES = 4
 _ROWS = BLOCK // _LANES
 _MAGIC = b"PFORIDS1"
