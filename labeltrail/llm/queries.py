@@ -16,4 +16,33 @@ from labeltrail.llm.token_files import op7_token_files
 _ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash)
 
 QUERIES = {query.__name__: query for query in _ALL}
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
+#: SQL has no hash, tokenizer, network or parser of the others; tests compare those with one-by-one versions.
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": f"""WITH items AS (SELECT item_id, w, least(5, len(w)) AS k FROM
+  (SELECT item_id, {_WORDS.replace('{text}', 'lower(text)')} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE text IS NOT NULL) WHERE len(w) > 0),
+ asked AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items)),
+ docs AS (SELECT doc_id, {_WORDS.replace('{text}', 'lower(text)')} AS w FROM documents WHERE text IS NOT NULL),
+ had AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM
+  (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items))),
+ sizes AS (SELECT item_id, count(*) AS n FROM asked GROUP BY item_id)
+ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_shingles, count(*) / any_value(n) AS containment
+ FROM asked JOIN had USING (k, s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.8 * any_value(n) - 1e-9)""",
+    "op3_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+ roots AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+ degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM roots LEFT JOIN degree USING (vec_id)""",
+    "op5_substring_dedup": f"""WITH docs AS (SELECT doc_id, {_WORDS.replace('{text}', "coalesce(text, '')")} AS w FROM documents),
+ windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS s FROM
+  (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+ firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+ gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (s), range(0, 50) t(k) WHERE f < doc_id),
+ words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM docs),
+ kept AS (SELECT doc_id, count(gone.p) AS n, string_agg(x, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS t
+  FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+ FROM docs LEFT JOIN kept USING (doc_id)""",
+}
