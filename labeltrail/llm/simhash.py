@@ -288,10 +288,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rest = [c for c in own.columns if c not in (doc_id, text)]
     found = near_duplicates(docs)
     kept = cut(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    by_id = own.join(kept, doc_id)
-    order = Window.partitionBy(doc_id).orderBy(text, *rest)  # a few rows: those that repeat an id
-    repeated = by_id.filter("rows > 1").withColumn("at", F.row_number().over(order)).filter("at = 1")
-    chosen = by_id.filter("rows = 1").select(*own.columns).unionByName(repeated.select(*own.columns))
+    by_id = own.join(kept.hint("merge"), doc_id)  # kept ids grow with the corpus: never a broadcast
+    chosen = by_id.filter("rows = 1").select(*own.columns)
+    if not kept.filter("rows > 1").isEmpty():
+        order = Window.partitionBy(doc_id).orderBy(text, *rest)  # a few rows: those that repeat an id
+        repeated = by_id.filter("rows > 1").withColumn("at", F.row_number().over(order)).filter("at = 1")
+        chosen = chosen.unionByName(repeated.select(*own.columns))
     lone = found.filter("component_id is null").select("fp", "root").distinct()
     if not lone.isEmpty():
         nameless = own.filter(F.col(doc_id).isNull()).withColumn("words", whole_text(text))
