@@ -210,6 +210,8 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
+    if re.match("file:/(?!/)", path):  # as Spark writes the warehouse folder
+        path = f"file://{path[5:]}"
     return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
