@@ -254,6 +254,26 @@ def test_near_vectors(spark, block, passes):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared, share", [(0.0, 1.0), (0.8, 1.0), (0.9, 0.4)])
+def test_near_vectors_that_share_a_direction(spark, shared, share):
+    """Planted pairs just above the threshold, where the first ``share`` of a label has the mean cosine ``shared``."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=64))
+    x = rng.normal(size=(3_000, 64))
+    x = unit(x - np.outer(x @ axis, axis))
+    x[: int(share * 3_000)] = np.sqrt(shared) * axis + np.sqrt(1 - shared) * x[: int(share * 3_000)]
+    x = unit(x)
+    away = rng.normal(size=(400, 64))
+    away = unit(away - (away * x[:400]).sum(axis=1, keepdims=True) * x[:400])
+    x = np.concatenate([x, 0.935 * x[:400] + math.sqrt(1 - 0.935**2) * away])
+    wanted = (x @ x.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df, block=32).select("vec_id", "n_links").collect()}
+    assert all(got[k] <= n for k, n in enumerate(wanted.tolist()))
+    assert sum(got.values()) >= embedding_dedup.RECALL * wanted.sum()
+
+
 def test_passes_grow_slowly():
     assert [embedding_dedup.passes_for(n) for n in (1, 5_000, 10**6, 10**9)] == sorted(embedding_dedup.passes_for(n) for n in (1, 5_000, 10**6, 10**9))
     assert embedding_dedup.passes_for(10**9) < 80
