@@ -5,6 +5,7 @@ text, with the number of tags met on the way. Each line's ratio of characters to
 is smoothed by a Gaussian over its neighbours, and a two-means threshold parts lines of content
 from lines of markup. The element that holds the content lines is the article; its text are all its
 lines, short ones too, but for those inside elements that are menus, notices and the like by their tag, role, class or id.
+A class or id, and a form, count only for an element that is no heading, holds no article or main and a minor share of the content.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from labeltrail.llm.common import Batches, map_arrow, record_batch, slices, tabl
 
 SIGMA = 1.0
 _SHARE = 0.5  # of the content's characters that an element needs to be gone into
+_MINOR = 0.5  # of the content's characters that an element named like a menu or notice holds at most
 _MORE = 0.25  # of its characters that its parent may add, as a heading beside the body does
 
 _WORDS = lambda s: frozenset(s.split())
@@ -35,6 +37,8 @@ _BLOCKS = _WORDS(
 )
 _SECTIONS = _WORDS("html body main article section div table tbody tr td center blockquote")
 _ARTICLES = _WORDS("article main")
+_HEADINGS = _WORDS("h1 h2 h3 h4 h5 h6")
+_PROSE = _WORDS("p pre blockquote")  # "notice" says something of these, "notice-period" does not
 #: Elements that a new block ends where their end tag was left out.
 _CLOSED_BY = {t: _WORDS("p") for t in _BLOCKS} | {
     "li": _WORDS("li p"), "dt": _WORDS("dt dd p"), "dd": _WORDS("dt dd p"), "tr": _WORDS("tr td th p"), "td": _WORDS("td th p"),
@@ -51,27 +55,42 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "boilerplate", "in_article", "content", "chars")
+    __slots__ = ("tag", "parent", "dropped", "sure", "named", "boilerplate", "in_article", "holds_article", "content", "chars")
 
     def __init__(self, tag: str, parent: _Element | None, attrs: dict[str, str | None]):
         self.tag, self.parent = tag, parent
         self.content = self.chars = 0
         self.in_article = tag in _ARTICLES or bool(parent and parent.in_article)
+        self.holds_article = False
         self.dropped = tag in _DROPPED or bool(parent and parent.dropped)
-        self.boilerplate = bool(parent and parent.boilerplate) or tag not in ("html", "body") and _is_boilerplate(tag, attrs, self.in_article)
+        self.sure = bool(parent and parent.sure) or tag not in ("html", "body") and _is_boilerplate(tag, attrs, self.in_article)
+        self.named = tag not in ("html", "body") and _is_named(tag, attrs, self.in_article)
+        self.boilerplate = self.sure
+        if tag in _ARTICLES and not self.sure:
+            for e in _above(parent):
+                e.holds_article = True
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
-    if tag in _BOILERPLATE or (tag == "header" and not in_article):
+    """By its tag, its role or as it is hidden."""
+    if tag in _BOILERPLATE and tag != "form" or (tag == "header" and not in_article):
         return True
     if not attrs or tag in _ARTICLES:
         return False
     style = (attrs.get("style") or "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
         return True
-    if (attrs.get("role") or "").lower() in _BOILERPLATE_ROLES:
+    return (attrs.get("role") or "").lower() in _BOILERPLATE_ROLES
+
+
+def _is_named(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    """Likely so by a word of its class or id, or as a form, which may go around a whole page."""
+    if tag == "form":
         return True
-    names = {n.lower() for n in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+    if not attrs or tag in _ARTICLES or tag in _HEADINGS:
+        return False
+    own = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+    names = set(own.lower().split()) if tag in _PROSE else {n.lower() for n in _NAME.findall(own)}
     return bool(names & _BOILERPLATE_NAMES) or ("header" in names and not in_article)
 
 
@@ -108,7 +127,7 @@ class _Lines(HTMLParser):
             pass
         elif tag == "hr":
             self._end_line()
-        elif tag in _BLOCKS or tag in _DROPPED or _is_boilerplate(tag, dict(attrs), True):
+        elif tag in _BLOCKS or tag in _DROPPED or _is_boilerplate(tag, dict(attrs), True) or _is_named(tag, dict(attrs), True):
             self._open(tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
@@ -162,16 +181,41 @@ def _above(element: _Element) -> Iterator[_Element]:
         element = element.parent
 
 
+def _judge_names(lines: list[tuple[_Element, str, int]], core: np.ndarray) -> None:
+    """Mark what is in elements with the names of menus and notices, but for those with an article or much of the content."""
+    free = [k for k, (e, _, _) in enumerate(lines) if not e.sure]
+    if not core[free].any():
+        core = np.ones(len(lines), bool)
+    held: dict[int, int] = {}
+    total = 0
+    for k in free:
+        size = len(lines[k][1]) * bool(core[k])
+        total += size
+        for e in _above(lines[k][0]):
+            held[id(e)] = held.get(id(e), 0) + size
+    gone: dict[int, bool] = {}
+    for line in lines:
+        path = list(_above(line[0]))
+        for e in reversed(path):
+            if id(e) not in gone:
+                own = e.named and not e.holds_article and held.get(id(e), 0) <= _MINOR * total
+                gone[id(e)] = e.boilerplate = e.sure or own or e.parent is not None and gone[id(e.parent)]
+    if free and all(lines[k][0].boilerplate for k in free):  # nothing but such elements: the ratios decide
+        for k in free:
+            lines[k][0].boilerplate = False
+
+
 def main_text(html: str) -> str:
     """Blocks of the article, joined by newlines; empty if there is none."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     lines = parser.lines
+    core = content_lines(np.array([len(t) / max(1, n) for _, t, n in lines]))
+    _judge_names(lines, core)
     open_ = [k for k, (e, _, _) in enumerate(lines) if not e.boilerplate]
     if not open_:
         return ""
-    core = content_lines(np.array([len(t) / max(1, n) for _, t, n in lines]))
     if not core[open_].any():
         core[open_] = True
     total = 0

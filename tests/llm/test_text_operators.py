@@ -280,6 +280,23 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+_BODY = " ".join(["Plain words of the article."] * 20)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    *[(f"<body><nav>Home</nav><div class='{c}'><article><p>{_BODY}</p></article></div></body>", _BODY)
+      for c in ("layout has-sidebar", "no-sidebar", "with-comments", "ad-free")],
+    (f"<form id='aspnetForm'><div><p>{_BODY}</p></div></form>", _BODY),
+    (f"<form id='aspnetForm'><main><p>{_BODY}</p><form><p>Mail</p></form></main></form>", f"{_BODY}"),
+    (f"<article><h2 id='related-work'>Related</h2><p>{_BODY}</p><h3 id='search'>Search</h3><p>{_BODY}</p></article>", f"Related\n{_BODY}\nSearch\n{_BODY}"),
+    (f"<div class='notice'><p>{_BODY}</p><p>{_BODY}</p></div>", f"{_BODY}\n{_BODY}"),
+    (f"<article><p>{_BODY}</p><p class='notice-period'>Three months.</p><p class='notice'>Cookies</p></article>", f"{_BODY}\nThree months."),
+    (f"<article><p>{_BODY}</p><div class='share'>Share it</div></article><div class='sidebar'><p>Other</p></div>", _BODY),
+])
+def test_names_of_boilerplate_spare_content(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages(spark):
     ddl = "page_id long, url string, html string, text string"
     rows = [(1, "u", _PAGE, "x"), (1, "u", _PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "w " * 40_000, "z")]
