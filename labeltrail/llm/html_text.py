@@ -3,7 +3,8 @@
 The standard library's parser streams a page's events into lines, one for each block of
 text, with the number of tags met on the way. Each line's ratio of characters to tags
 is smoothed by a Gaussian over its neighbours, and a two-means threshold parts lines of content
-from lines of markup. The element that holds the content lines is the article; its text are all its
+from lines of markup. The element that holds the content lines is the article, and where the page names one by its
+tag, the outermost such element, widened until all lines are in it that are content by their own ratio or inside an article; its text are all its
 lines, short ones too, but for those inside elements that are menus, notices and the like by their tag, role, class or id.
 A class or id, and a form, count only for an element that is no heading, holds no article or main and a minor share of the content.
 """
@@ -11,6 +12,7 @@ A class or id, and a form, count only for an element that is no heading, holds n
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -211,7 +213,8 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    core = content_lines(np.array([len(t) / max(1, n) for _, t, n in lines]))
+    ratios = np.array([len(t) / max(1, n) for _, t, n in lines])
+    core = content_lines(ratios)
     _judge_names(lines, core)
     open_ = [k for k, (e, _, _) in enumerate(lines) if not e.boilerplate]
     if not open_:
@@ -231,8 +234,15 @@ def main_text(html: str) -> str:
         chosen = None
     else:
         named = [e for e in inner.values() if e.tag in _ARTICLES]
-        chosen = max(named or inner.values(), key=depth)
-        while not named and chosen.parent is not None and chosen.parent.chars <= (1 + _MORE) * chosen.chars:
+        chosen = min(named, key=depth) if named else max(inner.values(), key=depth)
+        # content by its own ratio or inside an article, not only by a neighbour's ratio
+        own = sorted((k for k in open_ if core[k]), key=lambda k: ratios[k])
+        middle = own[int(np.searchsorted(np.cumsum([len(lines[k][1]) for k in own]), total / 2))]
+        needed = [lines[k][0] for k in own if lines[k][0].in_article or ratios[k] >= ratios[middle] / 4]
+        held = Counter(id(e) for x in needed for e in _above(x))
+        while chosen.parent is not None and (
+            named and held[id(chosen)] < len(needed) or chosen.parent.chars <= (1 + _MORE) * chosen.chars and not (named and chosen.parent.tag == "body")
+        ):
             chosen = chosen.parent
     return "\n".join(lines[k][1] for k in open_ if chosen is None or any(e is chosen for e in _above(lines[k][0])))
 

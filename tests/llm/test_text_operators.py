@@ -297,6 +297,15 @@ def test_names_of_boilerplate_spare_content(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<body><nav>Home</nav><main><h1>Headline</h1><p>Lead</p><article><p>{_BODY}</p></article></main><p>Imprint</p></body>", f"Headline\nLead\n{_BODY}"),
+    (f"<main><article><p>{_BODY} {_BODY}</p></article><article><p>Second. {_BODY}</p></article></main>", f"{_BODY} {_BODY}\nSecond. {_BODY}"),
+    (f"<body><div><article><p>{_BODY} {_BODY}</p></article><article><p>Second. {_BODY}</p></article></div><div>Imprint</div></body>", f"{_BODY} {_BODY}\nSecond. {_BODY}"),
+])
+def test_articles_keep_headings_and_siblings(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages(spark):
     ddl = "page_id long, url string, html string, text string"
     rows = [(1, "u", _PAGE, "x"), (1, "u", _PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "w " * 40_000, "z")]
