@@ -251,6 +251,21 @@ def test_secret_assignments(text, values):
     assert [text[s:e] for s, _, e, _ in secret_scan.lexed_spans(text)] == values
 
 
+@pytest.mark.parametrize(("text", "values"), [
+    ('{"client_secret":\n  "Xy7kQ92mZ",\n "user": "bob77x"}', ["Xy7kQ92mZ"]), ('pwd =\n  "Xy7kQ92mZ"', ["Xy7kQ92mZ"]),
+    ('pwd = """Xy7kQ92mZ"""', ["Xy7kQ92mZ"]),
+    ("pwd = \'\'\'\nXy7kQ92mZ\n\'\'\'\nname = 1", ["Xy7kQ92mZ"]), ("pwd: |\n  Xy7kQ92mZ\nname: x", ["Xy7kQ92mZ"]), ("a:\n  pwd: >-\n    Xy7kQ92mZ\n  b: c", ["Xy7kQ92mZ"]),
+    ("pwd:\n  Xy7kQ92mZ\n", ["Xy7kQ92mZ"]), ("pwds:\n  pwd:\n  - Xy7kQ92mZ\n  - 'Zz81kQ92mZ'\n", ["Xy7kQ92mZ", "Zz81kQ92mZ"]),
+    *[(f'pwd = {p}"Xy7kQ92mZ"', ["Xy7kQ92mZ"]) for p in ("b", "f", "r", "u", "Rb")], ('pwd = b"Xy7kQ" + b"92mZa"', ["Xy7kQ", "92mZa"]),
+    ('pwd = ("Xy7kQ92mZ")', ["Xy7kQ92mZ"]), ('pwd = (\n  "Xy7kQ"\n  b"92mZ"\n)', ["Xy7kQ", "92mZ"]), ('passphrase = ["Xy7kQ92mZ", "Zz81kQ92mZ"]', ["Xy7kQ92mZ", "Zz81kQ92mZ"]),
+    ('pwd = "Xy7kQ" +\n  "92mZ"', ["Xy7kQ", "92mZ"]), ("pwd = `\nXy7kQ92mZ\n`", ["Xy7kQ92mZ"]),
+    ('pwds = ["Xy7kQ92mZ"]', ["Xy7kQ92mZ"]),
+    ('credentials = {"name": "bob77xQ9"}', []), ("PWD=\nDB_HOST=foo12Qx\n", []), ("pwd:\nuser: bob77xQ9\n", []), ('pwd = f"{VAULT_2}"', []),
+])
+def test_secret_values_of_other_forms(text, values):
+    assert [text[s:e] for s, _, e, _ in secret_scan.lexed_spans(text)] == values
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = awkward(spark)
     found = secret_scan.redact(df)
