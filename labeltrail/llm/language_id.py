@@ -268,8 +268,13 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text: str = "text")
 
 
 def keep_known(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language the network can tell, with their columns."""
+    """The rows of ``docs`` whose language the network can tell, with their columns.
+
+    These are the rows whose text has a letter; so they stay too if the network has learnt no language.
+    """
     own = numbered(docs)
+    if not net.languages:
+        return own.filter(whole_text(place(docs, text)).rlike("\\p{L}")).toDF(*docs.columns)
     found = predict(own, net, own.columns, place(docs, text))
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*own.columns).toDF(*docs.columns)
 

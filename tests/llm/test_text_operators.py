@@ -191,6 +191,13 @@ def test_language_without_labels_or_with_one(spark):
     assert rows_of(language_id.predict(awkward(spark, [(1, "text", None, None, None)]), one, []), "lang_pred", "score") == [("en", 1.0)]
 
 
+def test_texts_with_letters_stay_if_nothing_was_learnt(spark):
+    docs = awkward(spark, [(1, "some text", None, None, None), (2, "12 34", None, None, None), (3, None, None, None, None), (None, "é", None, None, None)])
+    none = language_id.fit(docs)
+    kept = language_id.keep_known(docs, none)
+    assert none.languages == [] and kept.columns == docs.columns and rows_of(kept, "doc_id") == [(None,), (1,)]
+
+
 def test_held_out_is_by_crc(spark):
     df = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long").withColumn("h", language_id.is_held_out())
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in df.collect())
