@@ -9,13 +9,15 @@ from labeltrail.llm.html_text import op9_html_text
 from labeltrail.llm.language_id import op2_language_id
 from labeltrail.llm.secret_scan import op4_secret_scan
 from labeltrail.llm.simhash import op10_simhash
+from labeltrail.llm.source_audit import op11_source_audit
 from labeltrail.llm.substring_dedup import op5_substring_dedup
 from labeltrail.llm.token_counts import op6_token_counts
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash)
+_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash, op11_source_audit)
 
 QUERIES = {query.__name__: query for query in _ALL}
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 #: SQL has no hash, tokenizer, network or parser of the others; tests compare those with one-by-one versions.
@@ -45,4 +47,20 @@ ORACLES: dict[str, str] = {
   FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
  FROM docs LEFT JOIN kept USING (doc_id)""",
+    "op11_source_audit": f"""WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({_LOWER.replace('{text}', "coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ tok AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+ kept AS (SELECT lang, term, count(*) AS cl FROM tok GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+ cnt AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+ ls AS (SELECT lang, count(*) AS v, sum(cl) AS nl FROM kept GROUP BY lang),
+ gs AS (SELECT DISTINCT lang, source FROM docs),
+ g AS (SELECT lang, source, v, nl, coalesce(n, 0) AS n FROM gs LEFT JOIN ls USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL) USING (lang, source)),
+ p AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n + 5 * v) AS p,
+  1 + (1000000000::HUGEINT * (cl + 5)) // (nl + 5 * v) AS q FROM g JOIN kept USING (lang) LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = kept.term),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s, 0) AS value FROM gs a JOIN gs b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) z
+  ON z.lang = a.lang AND z.source = a.source AND z.other = b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50""",
 }
