@@ -7,6 +7,7 @@ from labeltrail.llm.decontaminate import op1_decontaminate
 from labeltrail.llm.embedding_dedup import op3_embedding_dedup
 from labeltrail.llm.html_text import op9_html_text
 from labeltrail.llm.language_id import op2_language_id
+from labeltrail.llm.lexical_search import op13_lexical_search
 from labeltrail.llm.secret_scan import op4_secret_scan
 from labeltrail.llm.simhash import op10_simhash
 from labeltrail.llm.source_audit import op11_source_audit
@@ -14,10 +15,11 @@ from labeltrail.llm.substring_dedup import op5_substring_dedup
 from labeltrail.llm.token_counts import op6_token_counts
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash, op11_source_audit)
+_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash, op11_source_audit, op13_lexical_search)
 
 QUERIES = {query.__name__: query for query in _ALL}
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 #: SQL has no hash, tokenizer, network or parser of the others; tests compare those with one-by-one versions.
@@ -63,4 +65,15 @@ ORACLES: dict[str, str] = {
  terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50""",
+    "op13_lexical_search": f"""WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER.replace('{text}', "coalesce(text, '')")}, {_TERM}) AS w FROM documents),
+ tok AS (SELECT d, unnest(w) AS term FROM docs),
+ tfs AS (SELECT d, term, count(*) AS tf FROM tok GROUP BY ALL),
+ tot AS (SELECT count(DISTINCT d) AS n, count(*) AS l FROM tok),
+ dfs AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, tot GROUP BY term, n),
+ ms AS (SELECT d, doc_id, CASE WHEN l = 0 THEN 75 ELSE 75 + (25 * len(w) * n) // l END AS m FROM docs, tot),
+ items AS (SELECT row_number() OVER () AS i, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ asked AS (SELECT i, term, count(*) AS q FROM (SELECT i, unnest(regexp_extract_all({_LOWER.replace('{text}', "coalesce(text, '')")}, {_TERM})) AS term FROM items) GROUP BY ALL),
+ scored AS (SELECT i, d, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score FROM asked JOIN dfs USING (term) JOIN tfs USING (term) JOIN ms USING (d) GROUP BY ALL),
+ ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored JOIN items USING (i) JOIN (SELECT d, doc_id FROM docs) USING (d) WHERE score > 0)
+ SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE r <= 20""",
 }
