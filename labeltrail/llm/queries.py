@@ -12,10 +12,11 @@ from labeltrail.llm.secret_scan import op4_secret_scan
 from labeltrail.llm.simhash import op10_simhash
 from labeltrail.llm.source_audit import op11_source_audit
 from labeltrail.llm.substring_dedup import op5_substring_dedup
+from labeltrail.llm.suffix_dedup import op12_suffix_dedup
 from labeltrail.llm.token_counts import op6_token_counts
 from labeltrail.llm.token_files import op7_token_files
 
-_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash, op11_source_audit, op13_lexical_search)
+_ALL = (op1_decontaminate, op2_language_id, op3_embedding_dedup, op4_secret_scan, op5_substring_dedup, op6_token_counts, op7_token_files, op8_bpe_codec, op9_html_text, op10_simhash, op11_source_audit, op12_suffix_dedup, op13_lexical_search)
 
 QUERIES = {query.__name__: query for query in _ALL}
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,4 +77,16 @@ ORACLES: dict[str, str] = {
  scored AS (SELECT i, d, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS score FROM asked JOIN dfs USING (term) JOIN tfs USING (term) JOIN ms USING (d) GROUP BY ALL),
  ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS r FROM scored JOIN items USING (i) JOIN (SELECT d, doc_id FROM docs) USING (d) WHERE score > 0)
  SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE r <= 20""",
+    "op12_suffix_dedup": """WITH docs AS (SELECT row_number() OVER () AS d, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ sized AS (SELECT *, CAST(len(h) // 2 AS BIGINT) AS n FROM docs),
+ starts AS (SELECT d, i, md5(substr(h, 2 * i + 1, 800)) AS s FROM (SELECT d, h, unnest(range(0, n - 399)) AS i FROM sized WHERE n >= 400)),
+ again AS (SELECT d, i FROM (SELECT d, i, count(*) OVER (PARTITION BY s) AS c FROM starts) WHERE c > 1),
+ steps AS (SELECT d, i, CASE WHEN i - lag(i) OVER (PARTITION BY d ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM again),
+ runs AS (SELECT d, i, sum(new) OVER (PARTITION BY d ORDER BY i) AS g FROM steps),
+ spans AS (SELECT d, g, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY d, g),
+ gaps AS (SELECT d, coalesce(lag(b) OVER (PARTITION BY d ORDER BY a), 0) AS f, a AS t FROM spans UNION ALL SELECT d, max(b), NULL FROM spans GROUP BY d),
+ kept AS (SELECT d, string_agg(substr(h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (coalesce(t, n) - f) AS BIGINT)), '' ORDER BY f) AS k FROM gaps JOIN sized USING (d) GROUP BY d),
+ gone AS (SELECT d, CAST(sum(b - a) AS BIGINT) AS r, count(*) AS m FROM spans GROUP BY d)
+ SELECT doc_id, n AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(m, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+ FROM sized LEFT JOIN gone USING (d) LEFT JOIN kept USING (d)""",
 }
