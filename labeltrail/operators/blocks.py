@@ -1,11 +1,13 @@
-"""Distance work between two sets of vectors, cell by cell and block by block.
-
-Vectors are assigned to the nearest of a bounded number of pivots. A cell of any
-size is cut into blocks of bounded size, so a crowded cell is spread over many
-tasks. A query meets only the cells that the triangle inequality cannot rule out
-(the partition-based kNN join of Lu et al., VLDB 2012). A pair of blocks meets in
-one Arrow row, and a kernel reduces it there to a few numbers per query: pairs
-themselves are never written out.
+"""Distance work between two sets of vectors, cell by cell, on grids of strips.
+
+Vectors are assigned to the nearest of a number of pivots that grows with the root
+of the rows. A query meets only the cells that the triangle inequality cannot rule
+out (the partition-based kNN join of Lu et al., VLDB 2012). The pairs of a cell are
+cut into a grid: its queries into some strips, its vectors into others, and each pair
+of strips is one group of rows. With g groups a vector is copied to about the root of
+g of them, however large the cell. Inside its group a task walks over pairs of blocks,
+and a kernel reduces each to a few numbers per query: pairs themselves are never
+written out.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltrail.scratch import cut
 
-MAX_PIVOTS = 1024
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 8 << 20
+STRIP_BLOCKS = 16  # most blocks on one side of a group
+GROUP_PAIRS = 1 << 22  # a group has as many pairs at least, if there are as many
+GROUPS_PER_TASK = 4
 NEAR_LIST = 64
 _SLACK = 1e-9  # relative room for rounding in pruning bounds
 
@@ -34,17 +38,16 @@ Reach = Callable[[np.ndarray, np.ndarray, "Cells", pa.RecordBatch], np.ndarray]
 
 @dataclass(frozen=True)
 class Cells:
-    """Base vectors packed as ``blocks(block, members)`` with per-cell bounds.
+    """Base vectors with their ``cell``, and bounds of each cell.
 
     ``radius`` is the largest member distance to the pivot, ``near`` the smallest
-    few, ``count`` the members and ``subs`` the blocks of each cell.
+    few, ``count`` the members of each cell.
     """
 
-    blocks: DataFrame | None
+    rows: DataFrame | None
     pivots: np.ndarray
     radius: np.ndarray
     count: np.ndarray
-    subs: np.ndarray
     near: np.ndarray
     block_rows: int
 
@@ -57,11 +60,11 @@ class Cells:
 class Block:
     """One side of a block pair inside a kernel."""
 
-    data: pa.StructArray
+    data: pa.Table
     vec: np.ndarray
 
     def __getitem__(self, name: str) -> np.ndarray:
-        return self.data.field(name).to_numpy(zero_copy_only=False)
+        return self.data.column(name).to_numpy()
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -146,8 +149,8 @@ def _to_pivots(vec: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def pick_pivots(points: DataFrame, rows: int, block_rows: int) -> np.ndarray:
-    """Up to ``MAX_PIVOTS`` member vectors in hash order; all other rows stay in play."""
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(rows / block_rows)))
+    """Member vectors in hash order, one for each block but at most the root of the rows; all other rows stay in play."""
+    wanted = max(1, min(math.ceil(rows / block_rows), math.ceil(math.sqrt(rows))))
     if wanted == 1:
         return np.zeros((1, 0))
     chosen = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()
@@ -160,7 +163,7 @@ def make_cells(
     block_rows: int | None = None,
     pivots: np.ndarray | None = None,
 ) -> Cells:
-    """Pack ``points(id BIGINT, vec ARRAY<DOUBLE>, ...)`` into cells.
+    """Cells of ``points(id BIGINT, vec ARRAY<DOUBLE>, ...)``.
 
     Further columns travel with their row into the kernels.
     """
@@ -175,25 +178,16 @@ def make_cells(
     near = np.full((size, min(near_k, NEAR_LIST)), np.inf)
     if size == 1:
         # All queries meet the only cell, so it needs no bounds.
-        assigned = points.withColumn("cell", F.lit(0))
         count[0] = shape.n
-    else:
-        assigned = cut(_assign(points, pivots), "cells")
-        for row in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("r")).collect():
-            radius[row.cell], count[row.cell] = row.r, row.n
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy("pd"))
-        closest = assigned.select("cell", "pd", rank.alias("r")).filter(F.col("r") <= near.shape[1])
-        for row in closest.collect():
-            near[row.cell, row.r - 1] = row.pd
-    subs = np.maximum(1, np.ceil(count / block_rows)).astype(int)
-
-    place = F.pmod(F.xxhash64("id", F.lit("sub")), _per_cell(subs)).cast("int")
-    blocks = (
-        assigned.withColumn("block", _per_cell(subs.cumsum() - subs) + place)
-        .groupBy("block")
-        .agg(F.collect_list(F.struct(*points.columns)).alias("members"))
-    )
-    return Cells(blocks, pivots, radius, count, subs, near, block_rows)
+        return Cells(points.withColumn("cell", F.lit(0)), pivots, radius, count, near, block_rows)
+    assigned = cut(_assign(points, pivots), "cells")
+    for row in assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("pd").alias("r")).collect():
+        radius[row.cell], count[row.cell] = row.r, row.n
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("pd"))
+    closest = assigned.select("cell", "pd", rank.alias("r")).filter(F.col("r") <= near.shape[1])
+    for row in closest.collect():
+        near[row.cell, row.r - 1] = row.pd
+    return Cells(assigned.drop("pd"), pivots, radius, count, near, block_rows)
 
 
 def reach_all(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
@@ -260,61 +254,80 @@ def reach_probes(n: int) -> Reach:
 def _reached(batch: pa.RecordBatch, bounds: Cells, reach: Reach) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of a batch and the cells they have to meet, some rows at a time."""
     vec = matrix(batch.column("vec"))
-    for start in range(0, len(vec), 1024):
-        part = vec[start : start + 1024]
+    step = max(1, min(1024, (1 << 22) // len(bounds.pivots)))
+    for start in range(0, len(vec), step):
+        part = vec[start : start + step]
         far = _to_pivots(part, bounds.pivots)
         mask = reach(part, far, bounds, batch.slice(start, len(part))) & (bounds.count > 0)[None, :]
         row, cell = np.nonzero(mask)
         yield row + start, cell.astype(np.int32)
 
 
-def _query_packs(queries: DataFrame, cells: Cells, reach: Reach) -> tuple[DataFrame, int]:
-    """Queries packed for the blocks they have to meet: ``block, asking``, and the pairs.
+@dataclass(frozen=True)
+class Grid:
+    """How the pairs of each cell are cut: strips of queries and of vectors, and the number of its first group."""
+
+    asking: np.ndarray
+    held: np.ndarray
+    first: np.ndarray
+
+    @property
+    def groups(self) -> int:
+        return int((self.asking * self.held).sum())
+
 
-    Which cells a query meets is worked out twice, once for the counts that size the
-    packs, as that costs less than keeping a copy of the query for each cell.
+def make_grid(asked: np.ndarray, count: np.ndarray, block_rows: int, tasks: int) -> Grid:
+    """Groups of about equal numbers of pairs, a few for each task and as many as bounded strips need.
+
+    ``asked`` and ``count`` are the queries and vectors of each cell. The strips of a cell are such that a
+    query and a vector are copied about equally often.
     """
-    if reach is reach_all or len(cells.pivots) == 1:
-        packs = max(1, math.ceil(queries.count() / cells.block_rows))
-        packed = _pack(queries, ["pack"], F.lit(packs))
-        every = F.sequence(F.lit(0), F.lit(int(cells.subs.sum()) - 1))
-        return packed.select(F.explode(every).alias("block"), "asking"), packs * int(cells.subs.sum())
+    pairs = asked.astype(float) * count
+    share = max(float(GROUP_PAIRS), pairs.sum() / max(1, GROUPS_PER_TASK * tasks))
+    wanted = np.maximum(1.0, pairs / share)
+    side = np.sqrt(wanted * np.maximum(asked, 1) / np.maximum(count, 1))
+    strip = STRIP_BLOCKS * block_rows
+    asking = np.ceil(np.clip(side, asked / strip, np.maximum(1, asked)) - 1e-9).astype(np.int64)
+    held = np.ceil(np.clip(wanted / np.maximum(side, 1), count / strip, np.maximum(1, count)) - 1e-9).astype(np.int64)
+    asking, held = np.maximum(1, asking), np.maximum(1, held)
+    sizes = asking * held
+    return Grid(asking, held, np.cumsum(sizes) - sizes)
 
-    bounds = replace(cells, blocks=None)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, cell in _reached(batch, bounds, reach):
-                found, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["cell", "n"])
+def _strip_of(ids: np.ndarray, strips: np.ndarray, odd: int) -> np.ndarray:
+    """A strip for each row by a mix of its id."""
+    mixed = (ids.astype(np.uint64) + np.uint64(odd)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % strips.astype(np.uint64)).astype(np.int64)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, cell in _reached(batch, bounds, reach):
-                taken = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [*taken.columns, pa.array(cell)], names=[*taken.schema.names, "cell"]
-                )
 
-    asked = np.zeros(len(cells.pivots), dtype=np.int64)
-    for row in queries.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        asked[row.cell] = row.n
-    packs = np.maximum(1, np.ceil(asked / cells.block_rows)).astype(int)
-    schema = T.StructType(queries.schema.fields + [T.StructField("cell", T.IntegerType())])
-    packed = _pack(queries.mapInArrow(spread, schema), ["cell", "pack"], _per_cell(packs), queries.columns)
-    first = _per_cell(cells.subs.cumsum() - cells.subs)
-    blocks = F.sequence(first, first + _per_cell(cells.subs) - 1)
-    pairs = int((packs * cells.subs)[asked > 0].sum())
-    return packed.select(F.explode(blocks).alias("block"), "asking"), pairs
+def _copied(batch: pa.RecordBatch, row: np.ndarray, group: np.ndarray, name: str) -> pa.RecordBatch:
+    taken = batch.take(pa.array(row))
+    return pa.RecordBatch.from_arrays([*taken.columns, pa.array(group)], names=[*taken.schema.names, name])
+
 
+_COPIES = 1 << 14  # rows copied to their groups at a time
 
-def _per_cell(values: np.ndarray) -> Column:
-    return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("cell"))
 
+def _deal(rows: DataFrame, name: str, places: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], strips: Callable) -> DataFrame:
+    """Each row once for every group that it belongs to, with the group in column ``name``.
+
+    ``places`` gives row numbers and cells, ``strips(ids, cells)`` the first group, the step and the number of groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for row, cell in places(batch):
+                first, step, times = strips(ids[row], cell)
+                ends = np.cumsum(times)
+                for a in range(0, int(ends[-1]) if len(ends) else 0, _COPIES):
+                    at = np.arange(a, min(a + _COPIES, int(ends[-1])))
+                    k = np.searchsorted(ends, at, side="right")
+                    nth = at - (ends[k] - times[k])
+                    yield _copied(batch, row[k], first[k] + nth * step[k], name)
 
-def _pack(rows: DataFrame, keys: list[str], packs: Column, columns: list[str] | None = None) -> DataFrame:
-    numbered = rows.withColumn("pack", F.pmod(F.xxhash64("id", F.lit("pack")), packs))
-    return numbered.groupBy(*keys).agg(F.collect_list(F.struct(*(columns or rows.columns))).alias("asking"))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + [T.StructField(name, T.LongType())]))
 
 
 def meet(
@@ -323,37 +336,71 @@ def meet(
     reach: Reach,
     kernel: Callable[[Block, Block], dict[str, np.ndarray] | None],
     schema: str,
+    fold: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None = None,
 ) -> DataFrame:
     """Run ``kernel(query block, base block)`` wherever ``reach`` says they may meet.
 
     ``queries`` has ``id, vec`` and further columns; the kernel returns columns of
-    ``schema`` or None.
+    ``schema`` or None. ``fold`` reduces what a block of queries got from the blocks of its group.
     """
     spark = queries.sparkSession
-    packed, pairs = _query_packs(queries, cells, reach)
-    # A fixed number of tasks: the work grows with pairs, not with the bytes that
-    # adaptive coalescing would go by.
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs))
-    joined = (
-        packed.repartition(tasks, "block")
-        .join(cells.blocks.repartition(tasks, "block"), "block")
-        .select("asking", "members")
-    )
-
-    arrow_schema = _arrow_schema(spark, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = replace(cells, rows=None)
+    everywhere = reach is reach_all or len(cells.pivots) == 1
+    if everywhere:
+        grid = make_grid(np.array([queries.count()]), np.array([cells.total]), cells.block_rows, tasks)
+    else:
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asking, members = batch.column("asking"), batch.column("members")
-            for i in range(batch.num_rows):
-                left, right = asking[i].values, members[i].values
-                result = kernel(
-                    Block(left, matrix(left.field("vec"))), Block(right, matrix(right.field("vec")))
-                )
-                if result is not None:
-                    yield pa.RecordBatch.from_pydict(result, schema=arrow_schema)
-
-    return joined.mapInArrow(run, schema)
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, cell in _reached(batch, bounds, reach):
+                    found, n = np.unique(cell, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["cell", "n"])
+
+        # Which cells a query meets is worked out twice, as that costs less than keeping a copy of it for each cell.
+        asked = np.zeros(len(cells.pivots), dtype=np.int64)
+        for row in queries.mapInArrow(tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+            asked[row.cell] = row.n
+        grid = make_grid(asked, np.where(asked > 0, cells.count, 0), cells.block_rows, tasks)
+
+    def all_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int32)
+
+    def reached(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from _reached(batch, bounds, reach)
+
+    def own_cell(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.arange(batch.num_rows), batch.column("cell").to_numpy(zero_copy_only=False)
+
+    def ask(ids: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = grid.held[cell]
+        return grid.first[cell] + _strip_of(ids, grid.asking[cell], 1) * held, np.ones(len(ids), dtype=np.int64), held
+
+    def hold(ids: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return grid.first[cell] + _strip_of(ids, grid.held[cell], 2), grid.held[cell], grid.asking[cell]
+
+    left = _deal(queries, "_asks", all_rows if everywhere else reached, ask)
+    right = _deal(cells.rows, "_holds", all_rows if everywhere else own_cell, hold)
+    arrow_schema, block_rows = _arrow_schema(spark, schema), cells.block_rows
+
+    def run(asking: pa.Table, members: pa.Table) -> pa.Table:
+        if not asking.num_rows or not members.num_rows:
+            return arrow_schema.empty_table()
+        found = []
+        base = [Block(part, matrix(part.column("vec"))) for part in _blocks(members, block_rows)]
+        for part in _blocks(asking, block_rows):
+            query = Block(part, matrix(part.column("vec")))
+            results = [r for r in (kernel(query, block) for block in base) if r is not None]
+            if results and fold is not None and len(results) > 1:
+                results = [fold({c: np.concatenate([r[c] for r in results]) for c in results[0]})]
+            found += [pa.Table.from_pydict(r, schema=arrow_schema) for r in results]
+        return pa.concat_tables(found) if found else arrow_schema.empty_table()
+
+    return left.groupBy("_asks").cogroup(right.groupBy("_holds")).applyInArrow(run, schema)
+
+
+def _blocks(rows: pa.Table, size: int) -> list[pa.Table]:
+    return [rows.slice(a, size) for a in range(0, rows.num_rows, size)]
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:

@@ -59,6 +59,19 @@ def nearest_kernel(k: int, carry: str | None = None):
     return kernel
 
 
+def nearest_fold(k: int):
+    """The ``k`` best of what a block of queries found in several blocks."""
+
+    def fold(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.lexsort((found["bid"], found["d2"], found["qid"]))
+        qid = found["qid"][order]
+        start = np.searchsorted(qid, qid)
+        keep = order[np.arange(len(qid)) - start < k]
+        return {c: v[keep] for c, v in found.items()}
+
+    return fold
+
+
 def _best(hits: DataFrame, k: int) -> DataFrame:
     """The ``k`` best hits per query; ties go to the smaller base id."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "bid"))
@@ -68,7 +81,7 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, cells: Cells, k: int, carry: str | None = None) -> DataFrame:
     """``qid, bid, d2, rank`` of the ``k`` nearest base vectors of ``queries(id, vec)``."""
     schema = "qid bigint, bid bigint, d2 double" + (f", {carry} bigint" if carry else "")
-    return _best(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema), k)
+    return _best(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema, nearest_fold(k)), k)
 
 
 def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:
@@ -131,7 +144,7 @@ def search(
     if metric == "ivf":
         cells = make_cells(points, block_rows=block_rows, pivots=ivf_centers(points, seed) if centers is None else centers)
         hits = meet(
-            distinct, cells, reach_probes(nprobe), nearest_kernel(wanted), "qid bigint, bid bigint, d2 double"
+            distinct, cells, reach_probes(nprobe), nearest_kernel(wanted), "qid bigint, bid bigint, d2 double", nearest_fold(wanted)
         )
         best = _best(hits, wanted)
     else:
