@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -273,6 +274,29 @@ def test_secret_values_of_other_forms(text, values):
     assert [text[s:e] for s, _, e, _ in secret_scan.lexed_spans(text)] == values
 
 
+@pytest.mark.parametrize("text, values", [
+    ('pwd = x or "Xy7kQ92mZ"', ["Xy7kQ92mZ"]), ('pwd = process.env.DB || "Xy7kQ92mZ"', ["Xy7kQ92mZ"]), ('pwd = a if b else "Xy7kQ92mZ"', ["Xy7kQ92mZ"]),
+    ('pwd = b ? "Xy7kQ92mZ" : c', ["Xy7kQ92mZ"]), ('pwd = getenv("DB_PASSWORD", "Xy7kQ92mZ")', ["Xy7kQ92mZ"]), ('conf.set("pwd", "Xy7kQ92mZ")', ["Xy7kQ92mZ"]),
+    ('pwd = new String("Xy7kQ92mZ")', ["Xy7kQ92mZ"]), ('pwd += "Xy7kQ92mZ"', ["Xy7kQ92mZ"]), ('pwd ||= "Xy7kQ92mZ"', ["Xy7kQ92mZ"]), ("pwd ?= Xy7kQ92mZ", ["Xy7kQ92mZ"]),
+    ('pwd = "Xy7k" "Q92mZ1"', ["Xy7k", "Q92mZ1"]), ("<password>Xy7kQ92mZ</password>", ["Xy7kQ92mZ"]), ('pwd = getenv("DB_PASSWORD")', []),
+    ('pwd = os.environ["DB_PASSWORD"]', []), ('pwd = a == "hT9xkQ2mfe81" or b', []), ('conf.set("name", "Xy7kQ92mZ")', []),
+    ('- token:\n- other: "Xy7kQ92mZ"', []), ('a = b + "Xy7k"\nb = a + "Q92mZ1"\npwd = b', ["Xy7k", "Q92mZ1"]),
+])
+def test_secret_values_of_expressions(text, values):
+    assert [text[s:e] for s, _, e, _ in secret_scan.lexed_spans(text)] == values
+
+
+@pytest.mark.parametrize("lines", [
+    "token = token\n", "token = name\nname = token\n", 'token = token + "Xy7k1"\n', '"token": "Xy7kQ92mZ", ', "a = [", "- token:\n", 'token = "\n',
+    "token = '''\n", "token = f(", '{"token": ', "token = (x = (", "token = x or ", 'set("token", ', "<token>", "token:\n  - a\n",
+])
+def test_secret_scan_is_linear(lines):
+    """2 MB of lines that refer to each other, stay open or nest."""
+    start = time.perf_counter()
+    secret_scan.spans_of(lines * (2_000_000 // len(lines)))
+    assert time.perf_counter() - start < 30
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = awkward(spark)
     found = secret_scan.redact(df)
