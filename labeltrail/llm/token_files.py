@@ -49,6 +49,9 @@ _HEAD = struct.Struct("<IBB")
 _READ_BLOCKS = 8_192
 _TIGHT_SPACES = re.compile(r"(?<=\S) (?=\S)")
 _SIGNS = ".,;:!?%$&#*|()"
+_SPACE = re.compile(r"\s")
+_SPACE_SIGN = "\u0120"  # fixed value: how byte-level vocabularies write a space
+_JOINED = 2_000  # new words encoded in one text
 _WIDE_SPACE = re.compile(r"\s\s")
 
 
@@ -84,6 +87,9 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.begins[[k for token, k in vocabulary.items() if token.startswith(_SPACE_SIGN)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -95,25 +101,38 @@ class WordEncoder:
         return _TIGHT_SPACES.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
 
     def _learn(self, words: set[str]) -> None:
-        """Make the ids of these words, with a space before each, known."""
+        """Make the ids of these words, with a space before each, known.
+
+        New words are joined by spaces and encoded together; a token that begins with a space begins a word,
+        as no word has a space in it. Words with white space of other kinds are encoded alone.
+        """
         known, before = self.known, self.before
         new = words.difference(known)
         again = new.intersection(before)
         for w in again:
             known[w] = before[w]
-        alone, parted = [], []
+        alone, joined, parted = [], [], []
         for w in new.difference(again):
-            body = w.rstrip(_SIGNS)
-            if len(body) < len(w) and body.isalpha():  # the pre-tokenizer cuts between letters and signs
+            if w.isalpha():
+                joined.append(w)
+            elif (body := w.rstrip(_SIGNS)).isalpha():  # the pre-tokenizer cuts between letters and signs
                 parted.append((w, body, w[len(body) :]))
             else:
-                alone.append(w)
+                (alone if not w or _SPACE.search(w) else joined).append(w)
         if parted:
             self._learn({body for _, body, _ in parted})
             signs = list({s for _, _, s in parted}.difference(self.signs))
             self.signs.update(zip(signs, self._encode(signs)))
             for w, body, s in parted:
                 known[w] = known[body] + self.signs[s]
+        lines = [joined[k : k + _JOINED] for k in range(0, len(joined), _JOINED)]
+        for line, ids in zip(lines, self._encode([" " + " ".join(line) for line in lines])):
+            starts = np.flatnonzero(self.begins[np.frombuffer(ids, np.uint32)]) * 4
+            if len(starts) != len(line):
+                alone += line
+                continue
+            ends = [*starts[1:].tolist(), len(ids)]
+            known.update(zip(line, [ids[i:j] for i, j in zip(starts.tolist(), ends)]))
         known.update(zip(alone, self._encode([" " + w for w in alone])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -124,9 +143,13 @@ class WordEncoder:
             self.before, self.known, self.signs = self.known, {}, {}
         words = [self._words(t) for t in texts]
         firsts = self._encode([w.pop(0) for w in words])
-        self._learn(set(itertools.chain.from_iterable(words)))
-        ids = self.known.__getitem__
-        return [first + b"".join(map(ids, w)) for first, w in zip(firsts, words)]
+        found = [list(map(self.known.get, w)) for w in words]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        if lacking:
+            self._learn(set(itertools.chain.from_iterable(words[k] for k in lacking)))
+            for k in lacking:
+                found[k] = map(self.known.__getitem__, words[k])
+        return [first + b"".join(ids) for first, ids in zip(firsts, found)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -215,6 +238,13 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Hadoop has it on the driver: tasks find the same place by it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def _open(path: str):
     store, name = _store(path)
     return store.open_input_file(name)
@@ -376,13 +406,16 @@ def write_tokens(
     its own, and the manifest lists the files of the tasks that succeeded, so a repeated
     task leaves nothing behind that is read. ``start`` of the manifest is the number of
     ids before a file. A null text is empty, a null ``doc_id`` comes first, rows with
-    equal ids are ordered by text, an empty table gives no file.
+    equal ids are ordered by a hash of the text, an empty table gives no file. A path without a scheme is in
+    the file system that Spark takes by default.
     """
+    path = _qualified(docs.sparkSession, path)
 
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    by_text = F.xxhash64("text")  # many rows of one id, or of none, are more than a task's share
+    ordered = own.repartitionByRange(F.col("doc_id"), by_text).sortWithinPartitions(F.col("doc_id"), by_text, F.col("text"))
     files = cut(map_arrow(ordered, _write_part, _MANIFEST, path, tokenizer, end_id), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
