@@ -6,7 +6,8 @@ is smoothed by a Gaussian over its neighbours, and a two-means threshold parts l
 from lines of markup. The element that holds the content lines is the article, and where the page names one by its
 tag, the outermost such element, widened until all lines are in it that are content by their own ratio or inside an article; its text are all its
 lines, short ones too, but for those inside elements that are menus, notices and the like by their tag, role, class or id.
-A class or id, and a form, count only for an element that is no heading, holds no article or main and a minor share of the content.
+A class or id, and a form, count only for a block that is no heading, holds no article or main and a minor share of the content;
+blocks with the names of reader comments always go, also where they are articles. Lists of short links outside of articles are menus.
 """
 
 from __future__ import annotations
@@ -53,24 +54,41 @@ _BOILERPLATE_NAMES = _WORDS(
     " related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond reply replies"
     " login search toolbar widget copyright disclaimer skip"
 )
+_COMMENT_NAMES = _WORDS("comment comments commentlist disqus respond reply replies")
+_ABOUT_COMMENTS = _WORDS("with no has open closed enabled disabled on off count")
+_LISTS = _WORDS("ul ol dl")
+_SHORT = 40  # characters of an entry of a menu
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "sure", "named", "boilerplate", "in_article", "holds_article", "content", "chars")
+    __slots__ = ("tag", "parent", "depth", "dropped", "sure", "named", "boilerplate", "in_article", "is_article", "holds_article", "content", "chars", "linked", "lines", "longest", "held", "inside")
 
     def __init__(self, tag: str, parent: _Element | None, attrs: dict[str, str | None]):
         self.tag, self.parent = tag, parent
-        self.content = self.chars = 0
-        self.in_article = tag in _ARTICLES or bool(parent and parent.in_article)
-        self.holds_article = False
+        self.depth = parent.depth + 1 if parent else 0
+        self.content = self.chars = self.linked = self.lines = self.longest = self.held = 0
+        self.holds_article = self.inside = False
         self.dropped = tag in _DROPPED or bool(parent and parent.dropped)
-        self.sure = bool(parent and parent.sure) or tag not in ("html", "body") and _is_boilerplate(tag, attrs, self.in_article)
+        above = bool(parent and parent.in_article)
+        self.sure = bool(parent and parent.sure) or tag not in ("html", "body") and (
+            _is_boilerplate(tag, attrs, above or tag in _ARTICLES) or _is_comment(tag, attrs)
+        )
+        self.is_article = tag in _ARTICLES and not self.sure
+        self.in_article = above or self.is_article
         self.named = tag not in ("html", "body") and _is_named(tag, attrs, self.in_article)
         self.boilerplate = self.sure
-        if tag in _ARTICLES and not self.sure:
-            for e in _above(parent):
-                e.holds_article = True
+
+
+def _is_comment(tag: str, attrs: dict[str, str | None]) -> bool:
+    """Named as reader comments, also where it is an article; a name that says whether there are any is none."""
+    if not attrs or tag == "main" or tag in _HEADINGS:
+        return False
+    for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = {token.lower()} if tag in _PROSE else {n.lower() for n in _NAME.findall(token)}
+        if words & _COMMENT_NAMES and not words & _ABOUT_COMMENTS:
+            return True
+    return False
 
 
 def _is_boilerplate(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
@@ -97,61 +115,107 @@ def _is_named(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: ``(element, text, tags)``."""
+    """Lines of a page: ``(element, text, tags)``, and all block elements, parents first.
+
+    An inline element that is hidden or has no text of its own is muted: what is in it goes, the line goes on.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.at = _Element("", None, {})
+        self.elements = [self.at]
+        self.open: Counter[str] = Counter()
+        self.muted: list[str] = []
+        self.in_mute: Counter[str] = Counter()
+        self.links = 0
         self.parts: list[str] = []
+        self.linked = 0
         self.tags = 0
         self.lines: list[tuple[_Element, str, int]] = []
-        self.inline: list[tuple[str, _Element]] = []
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
             self.lines.append((self.at, text, self.tags))
+            self.at.lines += 1
+            self.at.longest = max(self.at.longest, len(text))
+            self.at.linked += min(self.linked, len(text))
+            self.at.held += len(text)
             self.tags = 0
+        self.linked = 0
+
+    def _leave(self) -> None:
+        self.open[self.at.tag] -= 1
+        self.at = self.at.parent
 
     def _open(self, tag: str, attrs) -> None:
         self._end_line()
+        self.links = 0
         closed = _CLOSED_BY.get(tag, ())
         while self.at.tag in closed:
-            self.at = self.at.parent
+            self._leave()
         self.at = _Element(tag, self.at, dict(attrs))
+        self.elements.append(self.at)
+        self.open[tag] += 1
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag == "br":
+        if self.muted:
+            if tag not in _VOID:
+                self.muted.append(tag)
+                self.in_mute[tag] += 1
+        elif tag == "br":
             self.parts.append(" ")
-        elif tag in _VOID and tag != "hr":
-            pass
         elif tag == "hr":
             self._end_line()
-        elif tag in _BLOCKS or tag in _DROPPED or _is_boilerplate(tag, dict(attrs), True) or _is_named(tag, dict(attrs), True):
+        elif tag in _VOID:
+            pass
+        elif tag in _BLOCKS or tag in ("head", "title"):
             self._open(tag, attrs)
+        elif tag in _DROPPED or _is_boilerplate(tag, dict(attrs), True):
+            self.muted.append(tag)
+            self.in_mute[tag] += 1
+        elif tag == "a":
+            self.links = 1
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.at.tag == tag and tag in _DROPPED:
-            self.handle_endtag(tag)
+        if tag in _DROPPED:
+            self.tags += 1
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if self.muted:
+            if self.in_mute[tag]:
+                while self.muted[-1] != tag:
+                    self.in_mute[self.muted.pop()] -= 1
+                self.in_mute[self.muted.pop()] -= 1
+                return
+            if tag not in _SECTIONS or not self.open[tag]:
+                return
+            self.muted.clear()
+            self.in_mute.clear()
+        if tag == "a":
+            self.links = 0
+        if not self.open[tag]:
+            return
         found = self.at
-        while found.tag and found.tag != tag:
+        while found.tag != tag:
             found = found.parent
-        if not found.tag:
-            return
         if self.at.dropped and not found.dropped and tag not in _SECTIONS:
             return
         self._end_line()
-        self.at = found.parent
+        while self.at is not found:
+            self._leave()
+        self._leave()
 
     def handle_data(self, data):
-        if not self.at.dropped:
+        if not self.muted and not self.at.dropped:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
     def close(self):
         super().close()
@@ -177,31 +241,37 @@ def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
         low, high = means
 
 
-def _above(element: _Element) -> Iterator[_Element]:
-    while element is not None:
-        yield element
-        element = element.parent
+def _sum_up(elements: list[_Element], *names: str) -> None:
+    """Each element's numbers with those of all below it."""
+    for e in reversed(elements):
+        if e.parent is not None:
+            for name in names:
+                setattr(e.parent, name, getattr(e.parent, name) + getattr(e, name))
+
 
+def _judge_names(page: _Lines, core: np.ndarray) -> None:
+    """Mark what is in elements with the names of menus and notices, but for those with an article or much of the content.
 
-def _judge_names(lines: list[tuple[_Element, str, int]], core: np.ndarray) -> None:
-    """Mark what is in elements with the names of menus and notices, but for those with an article or much of the content."""
+    So are lists outside of articles whose entries are all short and links.
+    """
+    lines, elements = page.lines, page.elements
     free = [k for k, (e, _, _) in enumerate(lines) if not e.sure]
     if not core[free].any():
         core = np.ones(len(lines), bool)
-    held: dict[int, int] = {}
     total = 0
     for k in free:
         size = len(lines[k][1]) * bool(core[k])
         total += size
-        for e in _above(lines[k][0]):
-            held[id(e)] = held.get(id(e), 0) + size
-    gone: dict[int, bool] = {}
-    for line in lines:
-        path = list(_above(line[0]))
-        for e in reversed(path):
-            if id(e) not in gone:
-                own = e.named and not e.holds_article and held.get(id(e), 0) <= _MINOR * total
-                gone[id(e)] = e.boilerplate = e.sure or own or e.parent is not None and gone[id(e.parent)]
+        lines[k][0].content += size
+    _sum_up(elements, "content", "linked", "held", "lines")
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.holds_article |= e.holds_article or e.is_article
+            e.parent.longest = max(e.parent.longest, e.longest)
+    for e in elements:
+        menu = e.tag in _LISTS and not e.in_article and e.lines > 1 and e.linked >= 0.9 * e.held and e.longest <= _SHORT
+        own = (e.named or menu) and not e.holds_article and e.content <= _MINOR * total
+        e.boilerplate = e.sure or own or e.parent is not None and e.parent.boilerplate
     if free and all(lines[k][0].boilerplate for k in free):  # nothing but such elements: the ratios decide
         for k in free:
             lines[k][0].boilerplate = False
@@ -209,42 +279,46 @@ def _judge_names(lines: list[tuple[_Element, str, int]], core: np.ndarray) -> No
 
 def main_text(html: str) -> str:
     """Blocks of the article, joined by newlines; empty if there is none."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    lines = parser.lines
+    page = _Lines()
+    page.feed(html)
+    page.close()
+    lines, elements = page.lines, page.elements
     ratios = np.array([len(t) / max(1, n) for _, t, n in lines])
     core = content_lines(ratios)
-    _judge_names(lines, core)
+    _judge_names(page, core)
     open_ = [k for k, (e, _, _) in enumerate(lines) if not e.boilerplate]
     if not open_:
         return ""
     if not core[open_].any():
         core[open_] = True
     total = 0
+    for e in elements:
+        e.content = e.chars = e.held = 0
     for k in open_:
         element, text, _ = lines[k]
         total += len(text) * bool(core[k])
-        for e in _above(element):
-            e.chars += len(text)
-            e.content += len(text) * bool(core[k])
-    inner = {id(e): e for k in open_ for e in _above(lines[k][0]) if e.tag in _SECTIONS and e.content > _SHARE * total}
-    depth = lambda e: sum(1 for _ in _above(e))
+        element.chars += len(text)
+        element.content += len(text) * bool(core[k])
+    _sum_up(elements, "chars", "content")
+    inner = [e for e in elements if e.tag in _SECTIONS and e.content > _SHARE * total]
     if not inner:
-        chosen = None
-    else:
-        named = [e for e in inner.values() if e.tag in _ARTICLES]
-        chosen = min(named, key=depth) if named else max(inner.values(), key=depth)
-        # content by its own ratio or inside an article, not only by a neighbour's ratio
-        own = sorted((k for k in open_ if core[k]), key=lambda k: ratios[k])
-        middle = own[int(np.searchsorted(np.cumsum([len(lines[k][1]) for k in own]), total / 2))]
-        needed = [lines[k][0] for k in own if lines[k][0].in_article or ratios[k] >= ratios[middle] / 4]
-        held = Counter(id(e) for x in needed for e in _above(x))
-        while chosen.parent is not None and (
-            named and held[id(chosen)] < len(needed) or chosen.parent.chars <= (1 + _MORE) * chosen.chars and not (named and chosen.parent.tag == "body")
-        ):
-            chosen = chosen.parent
-    return "\n".join(lines[k][1] for k in open_ if chosen is None or any(e is chosen for e in _above(lines[k][0])))
+        return "\n".join(lines[k][1] for k in open_)
+    named = [e for e in inner if e.is_article]
+    chosen = min(named, key=lambda e: e.depth) if named else max(inner, key=lambda e: e.depth)
+    # content by its own ratio or inside an article, not only by a neighbour's ratio
+    own = sorted((k for k in open_ if core[k]), key=lambda k: ratios[k])
+    middle = own[int(np.searchsorted(np.cumsum([len(lines[k][1]) for k in own]), total / 2))]
+    needed = [lines[k][0] for k in own if lines[k][0].in_article or ratios[k] >= ratios[middle] / 4]
+    for e in needed:
+        e.held += 1
+    _sum_up(elements, "held")
+    while chosen.parent is not None and (
+        named and chosen.held < len(needed) or chosen.parent.chars <= (1 + _MORE) * chosen.chars and not (named and chosen.parent.tag == "body")
+    ):
+        chosen = chosen.parent
+    for e in elements:
+        e.inside = e is chosen or e.parent is not None and e.parent.inside
+    return "\n".join(lines[k][1] for k in open_ if lines[k][0].inside)
 
 
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
