@@ -26,7 +26,7 @@ UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-_MOST_LANGUAGES = 1_000
+MOST_LANGUAGES = 1_000
 _CHUNK = 64  # windows computed at once
 _HELD = 4_096  # windows cut at once
 
@@ -188,20 +188,18 @@ def _gradients(net: Network, codes: np.ndarray, target: np.ndarray, weight: np.n
 
 def fit(
     docs: DataFrame, docs_per_language: int = 800, windows_per_doc: int = 3,
-    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+    doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most_languages: int = MOST_LANGUAGES,
 ) -> Network:
     """Train on labelled rows: those with a text, a language and a document id.
 
     The sample is bounded by ``docs_per_language`` documents of each language, chosen by a hash
     of their id, with ``windows_per_doc`` windows each, at places chosen by a hash; only
-    windows come to the driver. At most 1,000 languages are taken, more raise.
+    windows come to the driver. Of more than ``most_languages`` languages, those with the most documents are learnt.
     """
     own = docs.select(
         F.col(doc_id).cast("string").alias("d"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l")
     ).filter("d is not null and l is not null and t rlike '\\\\p{L}'")
-    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(_MOST_LANGUAGES + 1).collect()}
-    if len(counts) > _MOST_LANGUAGES:
-        raise ValueError(f"more than {_MOST_LANGUAGES} languages")
+    counts = {r["l"]: r["n"] for r in own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()}
     if not counts:
         return Network([])
     shares = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, docs_per_language / n))])
@@ -267,16 +265,25 @@ def predict(docs: DataFrame, net: Network, keep: list[str], text: str = "text")
     return map_arrow(lettered, _predict_part, columns, net, arrow).toDF(*keep, "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language the network can tell, with their columns.
+def keep_known(
+    docs: DataFrame, net: Network, text: str = "text", lang: str = "lang", languages: tuple[str, ...] | None = None, least_score: float = 0.0,
+) -> DataFrame:
+    """The rows of ``docs`` whose language the network can tell, with their columns; a null ``lang`` gets that language.
 
-    These are the rows whose text has a letter; so they stay too if the network has learnt no language.
+    ``languages`` keeps only rows predicted as one of these, ``least_score`` only those with that score or more. By default
+    neither rejects a row, so all rows whose text has a letter stay; so they do if the network has learnt no
+    language, and then null languages stay null. A table without the column ``lang`` is fine.
     """
     own = numbered(docs)
     if not net.languages:
         return own.filter(whole_text(place(docs, text)).rlike("\\p{L}")).toDF(*docs.columns)
-    found = predict(own, net, own.columns, place(docs, text))
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*own.columns).toDF(*docs.columns)
+    found = predict(own, net, own.columns, place(docs, text)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    if languages is not None:
+        found = found.filter(F.col("lang_pred").isin(*languages))
+    if lang in docs.columns:
+        where = place(docs, lang)
+        found = found.withColumn(where, F.coalesce(F.col(where), F.col("lang_pred")))
+    return found.select(*own.columns).toDF(*docs.columns)
 
 
 def is_held_out(doc_id: str = "doc_id"):

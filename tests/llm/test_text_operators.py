@@ -199,6 +199,32 @@ def test_texts_with_letters_stay_if_nothing_was_learnt(spark):
     assert none.languages == [] and kept.columns == docs.columns and rows_of(kept, "doc_id") == [(None,), (1,)]
 
 
+def test_the_answer_fills_and_rejects(spark):
+    rng = random.Random(3)
+    rows = [(k, prose(rng, 60, lang), lang if k % 4 else None, "s", 1) for k, lang in enumerate(["en", "de"] * 40)]
+    docs = awkward(spark, rows + [(200, "12 34", None, "s", 1), (201, None, "en", "s", 1)])
+    net = language_id.fit(docs)
+    kept = language_id.keep_known(docs, net)
+    assert kept.columns == docs.columns and kept.count() == 80
+    told = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert all(told[k] == lang for k, lang in enumerate(["en", "de"] * 40))
+    assert {r["lang"] for r in language_id.keep_known(docs, net, languages=("de",)).collect()} == {"de"}
+    assert language_id.keep_known(docs, net, least_score=1.01).count() == 0
+
+
+def test_the_most_frequent_languages_are_learnt(spark):
+    rows = [(k, f"text of {'abc'[k % 3] * 9}", ["x", "y", "z"][min(2, k // 8)], "s", 1) for k in range(20)]
+    assert language_id.fit(awkward(spark, rows), most_languages=2).languages == ["x", "y"]
+
+
+def test_held_out_accuracy_of_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = language_id.fit(docs.filter(~language_id.is_held_out()))
+    found = language_id.predict(docs.filter(language_id.is_held_out()), net, ["lang"]).filter("lang is not null and lang_pred <> 'und'")
+    right = {r["lang"]: (r["n"], r["ok"]) for r in found.selectExpr("lang", "lang = lang_pred AS ok").groupBy("lang").agg({"*": "count", "ok": "count_if"}).toDF("lang", "n", "ok").collect()}
+    assert len(right) == 4 and all(ok >= 0.95 * n for n, ok in right.values()), right
+
+
 def test_held_out_is_by_crc(spark):
     df = spark.createDataFrame([(i,) for i in [*range(50), None]], "doc_id long").withColumn("h", language_id.is_held_out())
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in df.collect())
