@@ -21,10 +21,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network can tell; those without text or letters are rejected.
+    """Documents whose language the network can tell, with null languages filled in; those without text or letters are rejected.
 
-    The network gives each text with a letter one of its languages, so neither language nor score rejects any.
-    If no labelled row is outside the held-out third, nothing is learnt, and the texts with a letter stay all the same.
+    No language and no score is rejected here, so that clean documents stay; ``keep_known`` takes both as arguments.
+    If no labelled row is outside the held-out third, nothing is learnt, and the texts with a letter stay as they are.
     """
     net = language_id.fit(docs.filter(~language_id.is_held_out()))
     return language_id.keep_known(docs, net)
