@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -10,7 +9,9 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import fixtures as fx
@@ -20,7 +21,7 @@ from labeltrail.functions import embed as em
 from labeltrail.functions import text as tx
 from labeltrail.functions.vectors import as_double, l2_normalize, norm
 from labeltrail.operators import bloom, detect, ngrams, position, search, sequence, trace
-from labeltrail.operators.cluster import common, dbscan, fit, quality
+from labeltrail.operators.cluster import common, dbscan, fit, kmeans, quality
 from labeltrail.plans import runs
 from labeltrail.scratch import cut, new_path
 from labeltrail.sources import collection, events, store
@@ -135,11 +136,11 @@ def match_truncate(spark, sf):
     return sequence.match_shorter(log, labels)
 
 
-def match_gapped(spark, sf):
-    """Events without the purchases against the statuses of every third order: both sequences have gaps."""
+def match_gaps(spark, sf):
+    """Events without the purchases against the statuses of all orders, three places apart: both sequences have gaps."""
     log = fx.event_log(spark, sf).filter("get_json_object(raw, '$.eventName') <> 'purchase'")
-    orders = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(
-        F.col("o_orderkey").alias("idx"), F.expr("instr('FOP', o_orderstatus) - 1").cast("int").alias("cluster_id")
+    orders = table(spark, sf, "orders").select(
+        (F.col("o_orderkey") * 3 + 1).alias("idx"), F.expr("instr('FOP', o_orderstatus) - 1").cast("int").alias("cluster_id")
     )
     return sequence.match_shorter(log, orders)
 
@@ -223,6 +224,21 @@ def shuffle_keeps_rows(spark, sf):
     )
 
 
+def shuffle_order(spark, sf):
+    """Whether a shuffle moves most rows, a seed repeats its order and another seed gives another one."""
+    log = cut(fx.event_log(spark, sf).select("idx"), "log")
+
+    def placed(seed, name):
+        return cut(position.shuffle_rows(log, seed).withColumn(name, F.monotonically_increasing_id()), "shuffled")
+
+    both = placed(7, "one").join(placed(7, "again"), "idx").join(placed(8, "other"), "idx")
+    before = F.lag("idx").over(Window.partitionBy((F.col("idx") / 1000).cast("long")).orderBy("one"))
+    return both.withColumn("before", before).agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.count_if(F.col("before") + 1 == F.col("idx")) * 2 < F.count(F.lit(1))).alias("moved"),
+        F.every(F.col("one") == F.col("again")).alias("repeats"), F.some(F.col("one") != F.col("other")).alias("other_seed_differs"),
+    )
+
+
 def embed_hashed(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return _components(em.embed(docs, "text", dim=16), "doc_id")
@@ -298,6 +314,24 @@ def vec_ivf(spark, sf):
     return _self_search(spark, sf, k=3, metric="ivf").select("qid", "rank", "idx", _r("distance"))
 
 
+_RECALLS = ((1, 0.3), (4, 0.5), (16, 0.75), (search.IVF_LISTS, 1.0))  # random vectors: measured are 0.46, 0.60, 0.80 and 1 at least
+
+
+def vec_ivf_recall(spark, sf):
+    """How much of the exact top 3 trained inverted lists find, by lists probed; ``reached`` is a bound for each number."""
+    exact = cut(_self_search(spark, sf, k=3, metric="flat").select("qid", "idx"), "exact")
+    rows = fx.vectors(spark, sf).select(F.col("idx").alias("id"), as_double("embedding").alias("vec"))
+    centers = search.ivf_centers(cut(rows, "rows"))
+    found = None
+    for probes, least in _RECALLS:
+        hits = _self_search(spark, sf, k=3, metric="ivf", nprobe=probes, centers=centers).select("qid", "idx", F.lit(True).alias("hit"))
+        one = exact.join(hits, ["qid", "idx"], "left").agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_hit")).select(
+            F.lit(probes).alias("nprobe"), "n_exact", (F.col("n_hit") >= F.ceil(F.col("n_exact") * least)).alias("reached")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def vec_ivf_all_lists(spark, sf):
     """Inverted lists with every list probed: exact."""
     hits = _self_search(spark, sf, k=3, metric="ivf", nprobe=search.IVF_LISTS)
@@ -418,6 +452,19 @@ def kmeans_labels(spark, sf):
     return fit.cluster(fx.folded_vectors(spark, sf), "kmeans", 1.0, score="none").labels
 
 
+def kmeans_settled(spark, sf):
+    """Rows and clusters of k-means, and the rows that another cluster's mean is nearer to than their own: none at a fixed point."""
+    labels = cut(fit.cluster(fx.folded_vectors(spark, sf), "kmeans", 1.0, score="none").labels, "labels")
+    rows = common.as_points(fx.folded_vectors(spark, sf)).join(labels, F.col("id") == F.col("idx")).withColumn("w", F.lit(1).cast("long"))
+    rows = cut(rows.select("id", "vec", "w", "cluster_id"), "rows")
+    means = rows.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("mean"))
+    centers = np.array([r["mean"] for r in means.orderBy("cluster_id").collect()])  # one row per cluster
+    again = kmeans.assign(rows, centers).withColumnRenamed("cluster_id", "nearest")
+    return rows.join(again, "id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster_id").alias("n_clusters"), F.count_if(F.col("nearest") != F.col("cluster_id")).alias("n_wrong")
+    )
+
+
 def ward_labels(spark, sf):
     return fit.cluster(fx.folded_vectors(spark, sf), "agglomerative", 1.0, score="none").labels
 
@@ -578,13 +625,13 @@ def study_sizes(spark, sf):
 
 _QUERIES: tuple[Query, ...] = (
     ngram_per_user, ngram_global, ngram_topk, ngram_multi_n, bloom_check, bloom_large, exact_unseen,
-    bloom_quality, seq_anomalies, seq_summary, match_sequence, match_truncate, match_gapped, split_offset, labels_from_mapping,
+    bloom_quality, seq_anomalies, seq_summary, match_sequence, match_truncate, match_gaps, split_offset, labels_from_mapping,
     train_sequence, text_filter, text_exact, field_extract, metadata_scalar, log_scan, log_rejects,
-    log_raw_scan, sample_head, shuffle_keeps_rows, embed_hashed, embed_mean_pool, embed_new_only,
+    log_raw_scan, sample_head, shuffle_keeps_rows, shuffle_order, embed_hashed, embed_mean_pool, embed_new_only,
     vec_top1_cosine, vec_topk_cosine, vec_topk_l2, vec_topk_blocks, vec_topk_where_pre,
-    vec_topk_where_post, vec_ivf, vec_ivf_all_lists, vec_ivf_centers, vec_normalize, vec_info, collection_roundtrip,
+    vec_topk_where_post, vec_ivf, vec_ivf_recall, vec_ivf_all_lists, vec_ivf_centers, vec_normalize, vec_info, collection_roundtrip,
     collection_search, cluster_radius, cluster_radius_l2, knn_eps, nearest_other, pair_median,
-    dbscan_labels, cluster_collection, silhouette_exact, silhouette_squared, kmeans_labels, ward_labels,
+    dbscan_labels, cluster_collection, silhouette_exact, silhouette_squared, kmeans_labels, kmeans_settled, ward_labels,
     meanshift_labels, hdbscan_labels, sweep_alpha, trace_rows, cluster_counts, cluster_summary, cluster_indices,
     cluster_topn, largest_cluster_head, cluster_stats, refine_mapping, refine_stats, refine_flatten,
     mapping_roundtrip, mapping_json_roundtrip, classify, classify_counts, classify_summary,
@@ -594,14 +641,18 @@ _QUERIES: tuple[Query, ...] = (
 
 def _llm() -> tuple[dict[str, Query], dict[str, str]]:
     """Queries and SQL of the training-data operators; none if that subpackage is not there."""
-    if importlib.util.find_spec("labeltrail.llm") is None:
-        return {}, {}
-    from labeltrail.llm.queries import ORACLES, QUERIES
-
-    if importlib.util.find_spec("corpus_pipeline") is None:
-        return QUERIES, ORACLES
-    import corpus_pipeline
-
+    try:
+        from labeltrail.llm.queries import ORACLES, QUERIES
+    except ImportError as e:
+        if e.name and e.name.startswith("labeltrail.llm"):
+            return {}, {}
+        raise
+    try:
+        import corpus_pipeline
+    except ImportError as e:
+        if e.name == "corpus_pipeline":
+            return QUERIES, ORACLES
+        raise
     own = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
     return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | own
 

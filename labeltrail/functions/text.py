@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,6 +66,17 @@ def _rewrite_json(lines: pd.Series) -> pd.Series:
     return lines.map(written)
 
 
+@F.pandas_udf(T.StringType())
+def _rewrite_doubtful(lines: pd.Series) -> pd.Series:
+    """Null for null, empty for a line that does not parse."""
+
+    def written(line: str | None) -> str | None:
+        value = None if line is None else _parsed(line)
+        return None if line is None else "" if value is None else json.dumps(value, ensure_ascii=False)
+
+    return lines.map(written)
+
+
 @F.pandas_udf(T.StringType())
 def _python_kind(lines: pd.Series) -> pd.Series:
     def kind(line: str | None) -> str | None:
@@ -79,21 +91,23 @@ def _python_kind(lines: pd.Series) -> pd.Series:
 
 
 OBJECT, NOT_OBJECT, MALFORMED = "object", "not an object", "malformed"
+_MARK = "labeltrail: end of the line"
 
 
 def line_kind(line: str | Column) -> Column:
     """Whether a line is a JSON object, as Python's parser sees it.
 
-    Spark's parser takes text after the value, so a line counts as an object only if it parses inside
-    an array of one element and inside an object. Python decides on the lines that are refused there, such
-    as those with doubled keys or ``NaN``; all others stay inside the JVM.
+    Spark's parser takes text after the value. So the line is parsed once, as the first element of an array with a
+    mark behind it: a line that opens an object, and without the mark in it, is one if the mark comes second.
+    Python decides on the lines that are refused there, such as those with doubled keys or ``NaN``; of all
+    others it gets a null, which is their verdict too, so that the parser's result is needed once.
     """
     line = _col(line)
-    element = F.schema_of_variant(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))))
-    alone = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))), "$[1]", "variant").isNull()
-    value = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()
-    plain = F.coalesce(element.startswith("ARRAY<OBJECT") & alone & value, F.lit(False))
-    return F.when(plain, F.lit(OBJECT)).otherwise(_python_kind(F.when(~plain, line)))
+    parsed = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_MARK}"]')))
+    opens = F.substring(F.ltrim(line, F.lit(" \t\r\n")), 1, 1) == "{"
+    plain = opens & ~F.contains(line, F.lit(_MARK)) & (F.try_variant_get(parsed, "$[1]", "string") == _MARK)
+    doubtful = F.when(F.coalesce(plain, F.lit(False)), F.lit(None).cast("string")).otherwise(line)
+    return F.when(line.isNotNull(), F.coalesce(_python_kind(doubtful), F.lit(OBJECT)))
 
 
 def rewrite_json(line: str | Column) -> Column:
@@ -121,7 +135,8 @@ def event_text(
     if keep_prefixes is None:
         return rewrite_json(line)
     needs = line.rlike(_TWO_SPELLINGS) | F.try_parse_json(line).isNull()
-    return text_filter(F.when(needs, rewrite_json(F.when(needs, line))).otherwise(line), keep_prefixes)
+    written = F.coalesce(_rewrite_doubtful(F.when(needs, line)), line)
+    return text_filter(F.nullif(written, F.lit("")), keep_prefixes)
 
 
 def _spaced(value: Column) -> Column:
@@ -132,26 +147,50 @@ def _spaced(value: Column) -> Column:
     return F.replace(marked, F.lit("\u0001"), F.lit(""))
 
 
-def fields(line: str | Column) -> Column:
+#: How a value begins that may be nested, or a number that Spark puts in quotes; a string may begin so too.
+_DOUBTFUL_VALUE = r'^[\[{"]'
+
+
+def fields(line: str | Column, keep_prefixes: tuple[str, ...] | None = None, names: tuple[str, ...] | None = None) -> Column:
     """Top-level fields in document order; nested values as the text of Python's JSON writer.
 
-    Of a doubled key the last value counts.
+    Of a doubled key the last value counts. ``keep_prefixes`` or ``names`` leave out other fields before their values
+    are written. Only lines with a value that looks nested are parsed a second time, for the kinds of their values.
     """
     line = _col(line)
-    texts = F.map_entries(F.from_json(line, _FIELD_MAP))
-    kinds = F.map_values(F.from_json(line, "map<string,variant>"))
-    names = F.transform(kinds, F.schema_of_variant)
 
-    def entry(pair: Column) -> Column:
-        text, kind = pair["e"]["value"], pair["n"]
-        written = F.when(kind.rlike("^(OBJECT|ARRAY)"), _spaced(text)).when(kind == "DOUBLE", F.trim(text, F.lit('"'))).otherwise(text)
-        return F.struct(pair["e"]["key"].alias("key"), written.alias("value"))  # Spark quotes NaN
+    def chosen(every: Column) -> Column:
+        keys = F.transform(every, lambda e: e["key"])
+        kept = F.transform(every, lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), i.alias("at")))
+        if names is not None:
+            kept = F.filter(kept, lambda e: e["key"].isin(*names))
+        elif keep_prefixes is not None:
+            kept = F.filter(kept, lambda e: _any_prefix(e["key"], tuple(keep_prefixes)))
+        doubled = F.size(F.array_distinct(keys)) < F.size(keys)
+        later = lambda e: F.slice(keys, e["at"] + 2, F.size(keys))
+        return F.filter(kept, lambda e: ~(doubled & F.array_contains(later(e), e["key"])))
+
+    def kinds() -> Column:
+        return F.transform(F.map_values(F.from_json(line, "map<string,variant>")), F.schema_of_variant)
+
+    def one(kind: Column, e: Column) -> Column:
+        text = e["value"]
+        value = F.when(kind.rlike("^(OBJECT|ARRAY)"), _spaced(text)).when(kind == "DOUBLE", F.trim(text, F.lit('"'))).otherwise(text)
+        return F.struct(e["key"].alias("key"), value.alias("value"))  # Spark quotes NaN
+
+    def written(own: Column) -> Column:
+        doubtful = F.exists(own, lambda e: F.coalesce(e["value"].rlike(_DOUBTFUL_VALUE), F.lit(False)))
+        nested = _with(kinds(), lambda k: F.transform(own, lambda e: one(F.get(k, e["at"]), e)))
+        plain = F.transform(own, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        return F.when(doubtful, nested).otherwise(plain)
+
+    every = F.map_entries(F.from_json(line, _FIELD_MAP))
+    return F.map_from_entries(_with(_with(every, chosen), written))
 
-    entries = F.transform(F.arrays_zip(texts.alias("e"), names.alias("n")), entry)
-    keys = F.transform(texts, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    doubled = F.size(F.array_distinct(keys)) < F.size(keys)
-    return F.map_from_entries(F.when(doubled, last).otherwise(entries))
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def field_or_default(field_map: str | Column, name: str, default: str = MISSING) -> Column:
@@ -170,9 +209,11 @@ def event_metadata(
     idx: str | Column, text: str | Column, field_map: str | Column, data_type: str
 ) -> Column:
     """Metadata of one event as a string map of scalars; nested values as JSON text."""
-    field_map = _col(field_map)
-    entries = [F.lit("index"), _col(idx).cast("string"), F.lit("text"), _col(text)]
-    for name in (*EVENT_FIELDS, "eventId"):
-        entries += [F.lit(name), field_or_default(field_map, name)]
-    entries += [F.lit("data_type"), F.lit(data_type)]
-    return F.create_map(*entries)
+
+    def entries(own: Column) -> Column:
+        named = [part for name in (*EVENT_FIELDS, "eventId") for part in (F.lit(name), field_or_default(own, name))]
+        return F.create_map(
+            F.lit("index"), _col(idx).cast("string"), F.lit("text"), _col(text), *named, F.lit("data_type"), F.lit(data_type)
+        )
+
+    return _with(_col(field_map), entries)

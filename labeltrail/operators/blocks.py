@@ -27,7 +27,7 @@ from labeltrail.scratch import cut
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 8 << 20
 STRIP_BLOCKS = 16  # most blocks on one side of a group
-GROUP_PAIRS = 1 << 22  # a group has as many pairs at least, if there are as many
+GROUP_PAIRS = 1 << 21  # a group has as many pairs at least, if there are as many
 GROUPS_PER_TASK = 4
 NEAR_LIST = 64
 _SLACK = 1e-9  # relative room for rounding in pruning bounds
@@ -363,9 +363,6 @@ def meet(
             asked[row.cell] = row.n
         grid = make_grid(asked, np.where(asked > 0, cells.count, 0), cells.block_rows, tasks)
 
-    def all_rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int32)
-
     def reached(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from _reached(batch, bounds, reach)
 
@@ -379,8 +376,15 @@ def meet(
     def hold(ids: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return grid.first[cell] + _strip_of(ids, grid.held[cell], 2), grid.held[cell], grid.asking[cell]
 
-    left = _deal(queries, "_asks", all_rows if everywhere else reached, ask)
-    right = _deal(cells.rows, "_holds", all_rows if everywhere else own_cell, hold)
+    if everywhere:
+        asking, held = int(grid.asking[0]), int(grid.held[0])
+        strip = F.pmod(F.xxhash64("id", F.lit("asks")), F.lit(asking)) * held
+        left = queries.withColumn("_asks", F.explode(F.sequence(strip, strip + (held - 1))) if held > 1 else strip)
+        strip = F.pmod(F.xxhash64("id", F.lit("holds")), F.lit(held))
+        every = F.explode(F.sequence(strip, strip + (asking - 1) * held, F.lit(held).cast("long"))) if asking > 1 else strip
+        right = cells.rows.withColumn("_holds", every)
+    else:
+        left, right = _deal(queries, "_asks", reached, ask), _deal(cells.rows, "_holds", own_cell, hold)
     arrow_schema, block_rows = _arrow_schema(spark, schema), cells.block_rows
 
     def run(asking: pa.Table, members: pa.Table) -> pa.Table:

@@ -52,10 +52,15 @@ def total_weight(reps: DataFrame) -> int:
     return reps.agg(F.sum("w")).first()[0] or 0
 
 
-def rank_labels(members: DataFrame) -> DataFrame:
-    """``members(id, root)`` to labels 0, 1, ... by the smallest id of each group."""
+def rank_labels(members: DataFrame, further: DataFrame | None = None) -> DataFrame:
+    """``members(id, root)`` to labels 0, 1, ... by the smallest id of each group.
+
+    ``further(id, root)`` get the label of their root and don't count for its number.
+    """
     roots = members.groupBy("root").agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     numbered = with_position(roots, ["_first"], "_label").select("root", "_rows", "_label")
+    if further is not None:
+        members = members.unionByName(further)
     return lookup(members, numbered, "root", "_rows").select("id", F.col("_label").cast("int").alias("cluster_id"))
 
 

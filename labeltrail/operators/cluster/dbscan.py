@@ -32,36 +32,34 @@ def _count_kernel(eps: float):
     return kernel
 
 
-def _forest_kernel(eps: float):
-    """Links every row to the smallest id it reaches inside the block pair.
+def _reach_kernel(eps: float):
+    """Links of core rows and of border rows to the core rows of a block.
 
-    At most one link per row leaves the kernel, however many pairs are near.
+    Every core row is linked to the smallest id it reaches inside the block pair, so at most one link per row
+    leaves the kernel, however many pairs are near. A border row is linked to one row of each cluster of the
+    block pair that it touches.
     """
 
     def kernel(q: Block, b: Block):
         near = within(q.vec, b.vec, eps)
-        qid, bid = q["id"], b["id"]
+        core = q["core"].astype(bool)
+        between, qid, bid = near[core], q["id"][core], b["id"]
         q_root, b_root = qid.copy(), bid.copy()
         far = np.iinfo(np.int64).max
         while True:
-            q_next = np.minimum(q_root, np.where(near, b_root[None, :], far).min(axis=1))
-            b_next = np.minimum(b_root, np.where(near, q_next[:, None], far).min(axis=0))
+            q_next = np.minimum(q_root, np.where(between, b_root[None, :], far).min(axis=1))
+            b_next = np.minimum(b_root, np.where(between, q_next[:, None], far).min(axis=0, initial=far))
             if (q_next == q_root).all() and (b_next == b_root).all():
                 break
             q_root, b_root = q_next, b_next
         a, root = np.concatenate([qid, bid]), np.concatenate([q_root, b_root])
         links = np.unique(np.stack([a, root], axis=1)[a != root], axis=0)
-        return {"a": links[:, 0], "b": links[:, 1]}
-
-    return kernel
-
-
-def _border_kernel(eps: float):
-    def kernel(q: Block, b: Block):
-        near = within(q.vec, b.vec, eps)
-        label = np.where(near, b["cluster_id"].astype(np.int64)[None, :], np.iinfo(np.int64).max).min(axis=1)
-        hit = near.any(axis=1)
-        return {"id": q["id"][hit], "cluster_id": label[hit].astype(np.int32)}
+        row, col = np.nonzero(near[~core])
+        touched = np.unique(np.stack([q["id"][~core][row], b_root[col]], axis=1), axis=0)
+        return {
+            "a": np.concatenate([links[:, 0], touched[:, 0]]), "b": np.concatenate([links[:, 1], touched[:, 1]]),
+            "border": np.repeat([0, 1], [len(links), len(touched)]),
+        }
 
     return kernel
 
@@ -81,28 +79,23 @@ def dbscan(reps: DataFrame, eps: float, min_samples: int, block_rows: int | None
     core = marked.filter("core").select("id", "vec")
     if core.isEmpty():
         return marked.select("id", F.lit(NOISE).alias("cluster_id"))
-    links = meet(
-        core, make_cells(core, block_rows=block_rows), reach_within(eps), _forest_kernel(eps), "a bigint, b bigint"
+    # One meeting with the core rows gives the links of clusters and what border rows touch.
+    pivots = cells.pivots if len(cells.pivots) > 1 else None
+    asked = marked.select("id", "vec", F.col("core").cast("int").alias("core"))
+    found = cut(
+        meet(asked, make_cells(core, block_rows=block_rows, pivots=pivots), reach_within(eps), _reach_kernel(eps), "a bigint, b bigint, border bigint"),
+        "links",
     )
-    linked = components(links)
+    linked = components(found.filter("border = 0").select("a", "b"))
     alone = core.select("id").join(linked, "id", "left_anti").select("id", F.col("id").alias("root"))
-    core_labels = cut(rank_labels(linked.unionByName(alone)), "core-labels")
-
-    others = marked.filter("not core").select("id", "vec")
-    if others.isEmpty():
-        return core_labels
-    labeled = cut(core.join(core_labels, "id"), "labeled-cores")
-    reached = meet(
-        others,
-        make_cells(labeled, block_rows=block_rows),
-        reach_within(eps),
-        _border_kernel(eps),
-        "id bigint, cluster_id int",
-    ).groupBy("id").agg(F.min("cluster_id").alias("cluster_id"))
-    border = others.select("id").join(reached, "id", "left").select(
-        "id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id")
+    members = cut(linked.unionByName(alone), "members")
+    touched = (
+        found.filter("border = 1").select(F.col("a").alias("row"), F.col("b").alias("id")).join(members, "id")
+        .groupBy("row").agg(F.min("root").alias("root"))  # clusters are numbered by their root
     )
-    return core_labels.unionByName(border)
+    labels = rank_labels(members, touched.select(F.col("row").alias("id"), "root"))
+    noise = marked.filter("not core").select("id").join(touched.select(F.col("row").alias("id")), "id", "left_anti")
+    return labels.unionByName(noise.select("id", F.lit(NOISE).alias("cluster_id")))
 
 
 def parameters(reps: DataFrame, alpha: float, zero_eps: str = "raise") -> tuple[float, int]:

@@ -32,6 +32,13 @@ def _sums_kernel(q: Block, b: Block):
     }
 
 
+def _sums_fold(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One sum for each row and cluster of what the blocks of a group gave."""
+    keys, first, place = np.unique(np.stack([found["id"], found["other"]]), axis=1, return_index=True, return_inverse=True)
+    totals = np.bincount(place.ravel(), found["total"], keys.shape[1])
+    return {c: totals if c == "total" else v[first] for c, v in found.items()}
+
+
 def silhouette_exact(labeled: DataFrame) -> DataFrame:
     """Mean silhouette with Euclidean distances over ``labeled(id, vec, w, cluster_id)``.
 
@@ -50,7 +57,7 @@ def silhouette_exact(labeled: DataFrame) -> DataFrame:
 
     sums = meet(
         labeled, make_cells(labeled), reach_all, _sums_kernel,
-        "id bigint, own int, w bigint, other int, total double",
+        "id bigint, own int, w bigint, other int, total double", _sums_fold,
     ).groupBy("id", "own", "w", "other").agg(F.sum("total").alias("total"))
     joined = sums.join(sizes.withColumnRenamed("cluster_id", "other"), "other")
     own = F.col("own") == F.col("other")

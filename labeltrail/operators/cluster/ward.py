@@ -3,6 +3,8 @@
 Ward's distance is reducible: merging two mutual neighbours never brings a third
 cluster nearer to either. So the parallel merges give the partition of the
 one-by-one order, and a cluster with no partner below the threshold is finished.
+For the same reason a cluster keeps its nearest neighbour until that one merges, so a
+round searches only for new clusters and those whose neighbour is gone.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from labeltrail.operators.blocks import Block, exact_squares, make_cells, meet, squares
 from labeltrail.operators.cluster.common import rank_labels
 from labeltrail.operators.cluster.components import components
-from labeltrail.scratch import cut
+from labeltrail.scratch import Rounds, cut
 
 
 def _reach_merge(threshold: float):
@@ -64,26 +66,29 @@ def _partner_kernel(threshold: float):
 def ward(reps: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """Labels of distinct weighted vectors; merges stop at ``threshold``, excluded."""
     active = reps.select("id", "vec", "w")
+    stale, known = active, None
     links: DataFrame | None = None
+    rounds = Rounds(reps.sparkSession)
     while True:
         found = meet(
-            active,
+            stale,
             make_cells(active, block_rows=block_rows),
             _reach_merge(threshold),
             _partner_kernel(threshold),
             "id bigint, partner bigint, d2 double",
         )
         lo, hi = F.least("id", "partner"), F.greatest("id", "partner")
-        choice = cut(
-            found.groupBy("id").agg(F.min(F.struct("d2", lo.alias("lo"), hi.alias("hi"))).alias("c"))
-            .select("id", "c.lo", "c.hi"),
-            "partners",
-        )
+        fresh = found.groupBy("id").agg(F.min(F.struct("d2", lo.alias("lo"), hi.alias("hi"))).alias("c")).select("id", "c.lo", "c.hi")
+        choice = rounds.cut(fresh if known is None else fresh.unionByName(known), "partners")
         mutual = choice.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
-        pairs = mutual.select("lo", "hi")
+        pairs = rounds.cut(mutual.select("lo", "hi"), "pairs")
         if pairs.isEmpty():
-            break
-        links = pairs if links is None else links.unionByName(pairs)
+            if known is None:
+                break
+            stale, known = active, None  # equal distances may leave choices that no partner returns
+            continue
+        kept = cut(pairs, "merges")
+        links = kept if links is None else links.unionByName(kept)
         # Rows without a partner are finished and leave the search.
         living = active.join(choice.select("id"), "id", "left_semi")
         merged = living.join(pairs.select(F.col("hi").alias("id"), "lo"), "id", "left").withColumn(
@@ -97,12 +102,21 @@ def ward(reps: DataFrame, threshold: float, block_rows: int | None = None) -> Da
             F.transform(F.get("parts", F.lit(0))["vec"], lambda _: F.lit(0.0)),
             lambda acc, p: F.zip_with(acc, p["vec"], lambda x, y: x + y * p["w"]),
         )
-        active = cut(
+        active = rounds.cut(
             halves.select(
                 F.col("into").alias("id"), F.transform(total, lambda x: x / F.col("w")).alias("vec"), "w"
             ),
             "active",
         )
+        gone = pairs.select(F.explode(F.array("lo", "hi")).alias("partner"))
+        partner = (F.col("lo") + F.col("hi") - F.col("id")).alias("partner")
+        known = rounds.cut(
+            choice.select("id", "lo", "hi", partner).join(gone, "partner", "left_anti")
+            .join(gone.withColumnRenamed("partner", "id"), "id", "left_anti").select("id", "lo", "hi"),
+            "known",
+        )
+        stale = rounds.cut(active.join(known.select("id"), "id", "left_anti").select("id", "vec", "w"), "stale")
+        rounds.end()
     if links is None:
         return rank_labels(reps.select("id", F.col("id").alias("root")))
     linked = components(links.select(F.col("lo").alias("a"), F.col("hi").alias("b")))

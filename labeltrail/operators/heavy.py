@@ -34,8 +34,10 @@ def lookup(
     """
     right = cut(right, "lookup")
     size = _written_bytes(right)
-    total, longest = right.agg(F.sum(weight), F.max(size)).first()
+    keys, total, longest = right.agg(F.count(F.lit(1)), F.sum(weight), F.max(size)).first()
     total = total or 0
+    if keys < limit and (longest or 0) * keys <= BROADCAST_BYTES:  # all of them are few
+        return left.join(F.broadcast(right.drop(weight)), key, "left")
     heavy = right.filter(F.col(weight) * limit > total)
     light = right.filter(F.col(weight) * limit <= total)
     payload = [c for c in right.columns if c not in (key, weight)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from labeltrail.operators.blocks import (
     reach_probes,
     squares,
 )
+from labeltrail.operators.cluster.kmeans import trained
 from labeltrail.operators.heavy import lookup
 from labeltrail.scratch import cut
 
@@ -97,12 +99,17 @@ def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:
     return F.concat(unit, F.array(extra))
 
 
-def ivf_centers(points: DataFrame, seed: int = 42, rounds: int = IVF_ROUNDS) -> np.ndarray:
-    """Centres of up to 100 inverted lists by k-means."""
-    k = min(IVF_LISTS, points.count())
-    trainer = KMeans(k=k, seed=seed, featuresCol="features", maxIter=rounds)
-    model = trainer.fit(points.select(array_to_vector("vec").alias("features")))
-    return np.array(model.clusterCenters())
+def ivf_centers(points: DataFrame, seed: int = 42, rounds: int = IVF_ROUNDS, lists: int | None = IVF_LISTS) -> np.ndarray:
+    """Centres of up to ``lists`` inverted lists by k-means; None takes as many as the root of the rows.
+
+    A warning tells if they still moved after ``rounds``.
+    """
+    rows = points.count()
+    k = min(lists or math.ceil(math.sqrt(rows)), rows)
+    centers, _, settled = trained(points.select("id", "vec", F.lit(1).cast("long").alias("w")), k, seed, 1, rounds)
+    if not settled:
+        warnings.warn(f"centres of the inverted lists still moved after {rounds} rounds", stacklevel=2)
+    return centers
 
 
 def search(
@@ -116,13 +123,15 @@ def search(
     seed: int = 42,
     block_rows: int | None = None,
     centers: np.ndarray | None = None,
+    lists: int | None = IVF_LISTS,
 ) -> DataFrame:
     """Top-k of ``base(idx, embedding[, metadata])`` for each of ``queries(qid, embedding)``.
 
     Returns ``qid, rank, idx`` with ``similarity`` and ``distance`` for cosine
     (1 - similarity), or squared ``distance`` and ``l2`` otherwise. ``where`` tests
     metadata entries for equality: ``pre`` before the search, ``post`` among the 3k
-    nearest, which may leave fewer than k. ``centers`` sets the inverted lists of ``ivf``. An empty base raises.
+    nearest, which may leave fewer than k. ``centers`` sets the inverted lists of ``ivf``,
+    ``lists`` the number that is trained, None for the root of the rows. An empty base raises.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
@@ -142,7 +151,7 @@ def search(
     distinct = cut(collapse(asked), "queries")
 
     if metric == "ivf":
-        cells = make_cells(points, block_rows=block_rows, pivots=ivf_centers(points, seed) if centers is None else centers)
+        cells = make_cells(points, block_rows=block_rows, pivots=ivf_centers(points, seed, lists=lists) if centers is None else centers)
         hits = meet(
             distinct, cells, reach_probes(nprobe), nearest_kernel(wanted), "qid bigint, bid bigint, d2 double", nearest_fold(wanted)
         )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.functions.text import EVENT_FIELDS, MISSING, fields, field_or_default, keep_fields
+from labeltrail.functions.text import EVENT_FIELDS, MISSING, field_or_default, fields
+from labeltrail.scratch import cut
 
 # Column names of the three field statistics.
 STAT_NAMES = {"processName": "process", "eventName": "event", "syscall": "syscall"}
@@ -94,7 +95,7 @@ def _statistics(traced: DataFrame, field_values: DataFrame) -> DataFrame:
 
 def cluster_statistics(traced: DataFrame, data: str = "raw") -> DataFrame:
     """Field statistics per cluster; an absent field counts as ``N/A``."""
-    with_fields = traced.select("cluster_id", fields(data).alias("_f"))
+    with_fields = traced.select("cluster_id", fields(data, names=EVENT_FIELDS).alias("_f"))
     values = {name: field_or_default("_f", name, MISSING) for name in EVENT_FIELDS}
     present = {name: F.lit(True) for name in EVENT_FIELDS}
     return _statistics(traced, _field_values(with_fields, values, present))
@@ -102,7 +103,7 @@ def cluster_statistics(traced: DataFrame, data: str = "raw") -> DataFrame:
 
 def refine(traced: DataFrame, keep_prefixes: tuple[str, ...], data: str = "raw") -> DataFrame:
     """``cluster_id, idx, filtered``: the top-level fields with a kept prefix."""
-    return traced.select("cluster_id", "idx", keep_fields(fields(data), keep_prefixes).alias("filtered"))
+    return traced.select("cluster_id", "idx", fields(data, keep_prefixes=tuple(keep_prefixes)).alias("filtered"))
 
 
 def refined_statistics(refined: DataFrame) -> DataFrame:
@@ -131,7 +132,9 @@ def flatten_long(refined: DataFrame) -> DataFrame:
 
 def flatten(refined: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Wide table: cluster, position, then one column for each of ``names``, or of all names found."""
-    names = field_names(refined) if names is None else names
+    if names is None:
+        refined = cut(refined, "refined")  # read twice
+        names = field_names(refined)
     return refined.select(
         "cluster_id",
         F.col("idx").alias("index"),

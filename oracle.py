@@ -207,9 +207,9 @@ ORACLES = {
     "match_truncate": f"""WITH {LOG}, states AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx,
   CAST(instr('FOP', o_orderstatus) - 1 AS INT) AS cluster_id FROM orders)
  SELECT log.idx, states.cluster_id, log.raw AS data FROM log JOIN states ON log.idx = states.idx""",
-    "match_gapped": f"""WITH {LOG}, rows AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS place, raw FROM log WHERE event_type <> 'purchase'),
+    "match_gaps": f"""WITH {LOG}, rows AS (SELECT row_number() OVER (ORDER BY idx) - 1 AS place, raw FROM log WHERE event_type <> 'purchase'),
  states AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS place, CAST(instr('FOP', o_orderstatus) - 1 AS INT) AS cluster_id
-  FROM orders WHERE o_orderkey % 3 = 0)
+  FROM orders)
  SELECT place AS idx, cluster_id, raw AS data FROM rows JOIN states USING (place)""",
     "split_offset": f"""WITH {SEQ}, per AS (SELECT * FROM (SELECT idx AS start_idx, user_id, {gram(3)} AS ngram FROM seq
   WINDOW w AS (PARTITION BY user_id ORDER BY idx)) WHERE ngram IS NOT NULL),
@@ -259,6 +259,11 @@ ORACLES = {
     "vec_topk_where_post": SELF_L2.replace("{where}", "") + """, kept AS (SELECT qid, idx, d2,
   row_number() OVER (PARTITION BY qid ORDER BY rank)::INT AS rank FROM hits WHERE rank <= 30 AND label = 3)
  SELECT qid, rank, idx, round(d2, 6) AS distance FROM kept WHERE rank <= 10""",
+    "vec_ivf_recall": """SELECT CAST(nprobe AS INT) AS nprobe, (SELECT 3 * count(*) FROM embeddings) AS n_exact, true AS reached
+ FROM (VALUES (1), (4), (16), (100)) AS probes(nprobe)""",
+    "kmeans_settled": """SELECT count(*) AS n_rows, CAST(greatest(2, floor(sqrt(count(*)))) AS BIGINT) AS n_clusters,
+ CAST(0 AS BIGINT) AS n_wrong FROM embeddings""",
+    "shuffle_order": "SELECT count(*) AS n_rows, true AS moved, true AS repeats, true AS other_seed_differs FROM events",
     "vec_ivf_all_lists": SELF_L2.replace("{where}", "")
     + " SELECT qid, rank, idx, round(d2, 6) AS distance FROM hits WHERE rank <= 3",
     "vec_ivf_centers": f"""WITH {EMB}, {RADIUS.replace('{src}', 'emb')},

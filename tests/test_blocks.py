@@ -84,3 +84,71 @@ def test_fold_reduces_what_the_blocks_of_a_group_gave(points):
     rows = [blocks.meet(df, cells, blocks.reach_all, kernel, "id bigint, n bigint", f).collect() for f in (None, fold)]
     assert len(rows[1]) == len(vec) < len(rows[0]) and {r.n for r in rows[1]} == {len(vec)}
     assert sum(r.n for r in rows[0]) == len(vec) ** 2
+
+
+def test_ward_searches_fewer_rows_each_round(spark, monkeypatch):
+    from labeltrail.operators.cluster import ward as module
+
+    rng = np.random.default_rng(1)
+    vec = np.concatenate([rng.normal(size=(30, 3)), rng.normal(size=(30, 3)) + 6])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vec)], "id long, vec array<double>, w long")
+    asked, meet = [], module.meet
+    monkeypatch.setattr(module, "meet", lambda q, *a, **k: asked.append(q.count()) or meet(q, *a, **k))
+    found = {r.id: r.cluster_id for r in module.ward(df, 3.0).collect()}
+    groups = [([k], v, 1) for k, v in enumerate(vec)]
+    while True:
+        gaps = [
+            (math.sqrt(2 * a[2] * b[2] / (a[2] + b[2])) * np.linalg.norm(a[1] - b[1]), i, j)
+            for i, a in enumerate(groups) for j, b in enumerate(groups[:i])
+        ]
+        d, i, j = min(gaps)
+        if d >= 3.0:
+            break
+        a, b = groups[i], groups[j]
+        groups = [g for k, g in enumerate(groups) if k not in (i, j)]
+        groups.append((a[0] + b[0], (a[1] * a[2] + b[1] * b[2]) / (a[2] + b[2]), a[2] + b[2]))
+    assert {frozenset(g[0]) for g in groups} == {frozenset(k for k in found if found[k] == c) for c in set(found.values())}
+    assert asked[0] == 60 and sum(asked[1:]) < 60 * (len(asked) - 1) / 2  # whole searches would be at least half of all rows
+
+
+def test_dbscan_border_rows_take_the_first_cluster_in_reach(spark):
+    from labeltrail.operators.cluster.dbscan import dbscan
+
+    rng = np.random.default_rng(4)
+    vec = rng.normal(size=(120, 2))
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(vec)], "id long, vec array<double>, w long")
+    near = np.linalg.norm(vec[:, None] - vec[None], axis=2) <= 0.25
+    core = near.sum(1) >= 4
+    label, number = {}, 0
+    for k in np.flatnonzero(core).tolist():
+        if k in label:
+            continue
+        open_ = [k]
+        label[k] = number
+        while open_:
+            for y in np.flatnonzero(near[open_.pop()] & core).tolist():
+                if y not in label:
+                    label[y] = number
+                    open_.append(y)
+        number += 1
+    for k in np.flatnonzero(~core).tolist():
+        label[k] = min((label[y] for y in np.flatnonzero(near[k] & core).tolist()), default=-1)
+    assert number > 2 and any(label[k] >= 0 for k in np.flatnonzero(~core).tolist())
+    assert {r.id: r.cluster_id for r in dbscan(df, 0.25, 4, block_rows=16).collect()} == label
+
+
+def test_kmeans_starts_share_a_pass_and_settle(spark, monkeypatch):
+    from labeltrail.operators.cluster import kmeans
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, 3)) * 10
+    vec = np.concatenate([c + rng.normal(size=(20, 3)) * 0.1 for c in centers])
+    df = spark.createDataFrame([(k, v.tolist(), 1 + k % 2) for k, v in enumerate(vec)], "id long, vec array<double>, w long")
+    passes, gathered = [], kmeans._gathered
+    monkeypatch.setattr(kmeans, "_gathered", lambda reps, c: passes.append(len(c)) or gathered(reps, c))
+    labels, facts = kmeans.kmeans(df, 6, starts=4)
+    found = {r.id: r.cluster_id for r in labels.collect()}
+    assert passes[0] == passes[1] == 4 and passes == sorted(passes, reverse=True)
+    assert all(len({found[20 * g + k] for k in range(20)}) == 1 for g in range(6)) and len(set(found.values())) == 6
+    cost = sum((1 + k % 2) * ((vec[k] - np.array(facts["centers"][found[k]])) ** 2).sum() for k in range(len(vec)))
+    assert facts["inertia"] == pytest.approx(cost) and "note" not in facts
