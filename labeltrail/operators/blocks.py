@@ -383,6 +383,7 @@ def meet(
         strip = F.pmod(F.xxhash64("id", F.lit("holds")), F.lit(held))
         every = F.explode(F.sequence(strip, strip + (asking - 1) * held, F.lit(held).cast("long"))) if asking > 1 else strip
         right = cells.rows.withColumn("_holds", every)
+        right = right.toDF(*right.columns)  # columns of its own, where both sides are one table
     else:
         left, right = _deal(queries, "_asks", reached, ask), _deal(cells.rows, "_holds", own_cell, hold)
     arrow_schema, block_rows = _arrow_schema(spark, schema), cells.block_rows
