@@ -169,23 +169,24 @@ def _suspect_part(batches: Batches, window: int) -> Iterator[pa.RecordBatch]:
 # --- matching -------------------------------------------------------------------------
 
 _PASSAGES = pa.schema([
-    ("ref_doc", pa.int64()), ("ref_alt", pa.int32()), ("shard", pa.int32()), ("streamed", pa.bool_()),
+    ("ref_doc", pa.int64()), ("ref_alt", pa.int32()), ("shard", pa.int32()), ("copies", pa.int32()), ("streamed", pa.bool_()),
     ("doc_id", pa.int64()), ("alt", pa.int32()), ("at", pa.int32()), ("words", pa.string()),
 ])
-_PASSAGES_DDL = "ref_doc long, ref_alt int, shard int, streamed boolean, doc_id long, alt int, at int, words string"
+_PASSAGES_DDL = "ref_doc long, ref_alt int, shard int, copies int, streamed boolean, doc_id long, alt int, at int, words string"
 
 
 def _reference_part(batches: Batches, window: int, shard_windows: int) -> Iterator[pa.RecordBatch]:
-    """Passages of the reference: ``doc_id, alt, text, places of its windows``."""
+    """Passages of the reference: ``doc_id, alt, text, places of its windows, copies of its shards``."""
     for batch in slices(batches, 2, 500_000):
         rows = []
-        for doc, alt, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, alt, text, places, shards in zip(*(c.to_pylist() for c in batch.columns)):
             words = text.encode("utf-8").split()
             places = np.unique(np.array(places))
+            copies = {x["shard"]: x["copies"] for x in shards}
             for shard in np.unique(places // shard_windows).tolist():
                 for a, b in _runs(places[places // shard_windows == shard]):
-                    rows.append((doc, alt, shard, False, doc, alt, a, b" ".join(words[a : b + window]).decode()))
-        yield record_batch(_PASSAGES, [list(c) for c in zip(*rows)] if rows else [[]] * 8)
+                    rows.append((doc, alt, shard, copies.get(shard, 1), False, doc, alt, a, b" ".join(words[a : b + window]).decode()))
+        yield record_batch(_PASSAGES, [list(c) for c in zip(*rows)] if rows else [[]] * 9)
 
 
 def _stream_part(batches: Batches, window: int) -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,8 @@ def _stream_part(batches: Batches, window: int) -> Iterator[pa.RecordBatch]:
                 own = np.unique(group[np.array(ask["places"])])  # all places of equal windows
                 places = np.sort(np.concatenate([order[begin[g] : begin[g] + size[g]] for g in own.tolist()]))
                 for a, b in _runs(places):
-                    rows.append((ask["ref_doc"], ask["ref_alt"], ask["shard"], True, doc, alt, a, b" ".join(words[a : b + window]).decode()))
-        yield record_batch(_PASSAGES, [list(c) for c in zip(*rows)] if rows else [[]] * 8)
+                    rows.append((ask["ref_doc"], ask["ref_alt"], ask["shard"], ask["copies"], True, doc, alt, a, b" ".join(words[a : b + window]).decode()))
+        yield record_batch(_PASSAGES, [list(c) for c in zip(*rows)] if rows else [[]] * 9)
 
 
 _MATCHED = pa.schema([("doc_id", pa.int64()), ("alt", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
@@ -297,25 +298,26 @@ def repeated_spans(
         .groupBy("doc_id", "alt", "ref_doc", "ref_alt", shard).agg(F.collect_set("place").alias("places")),
         "asks",
     )
-    salts = (
-        asks.groupBy("ref_doc", "ref_alt", "shard").agg(F.sum(F.size("places")).alias("n"))
-        .select("ref_doc", "ref_alt", "shard", F.ceil(F.col("n") / task_windows).cast("int").alias("salts")).filter("salts > 1")
-    )  # fewer than one for every task_windows windows
+    # A shard is copied to one task for every task_windows windows that are asked of it. The rows here hold no text.
+    shards = cut(
+        asks.groupBy("ref_doc", "ref_alt", "shard").agg(F.ceil(F.sum(F.size("places")) / task_windows).cast("int").alias("copies")), "shards"
+    )
     texts = suspects.select("doc_id", "alt", "text")
-    wanted = references.groupBy(F.col("ref_doc").alias("doc_id"), F.col("ref_alt").alias("alt")).agg(F.collect_list("ref_place").alias("places"))
+    places = references.groupBy("ref_doc", "ref_alt").agg(F.collect_list("ref_place").alias("places"))
+    of_text = shards.groupBy("ref_doc", "ref_alt").agg(F.collect_list(F.struct("shard", "copies")).alias("shards"))
+    wanted = places.join(of_text, ["ref_doc", "ref_alt"]).withColumnsRenamed({"ref_doc": "doc_id", "ref_alt": "alt"})
     reference = map_arrow(
-        texts.join(wanted, ["doc_id", "alt"]).select("doc_id", "alt", "text", "places"), _reference_part, _PASSAGES_DDL, window, shard_windows
+        texts.join(wanted, ["doc_id", "alt"]).select("doc_id", "alt", "text", "places", "shards"), _reference_part, _PASSAGES_DDL, window, shard_windows
     )
-    by_text = asks.groupBy("doc_id", "alt").agg(F.collect_list(F.struct("ref_doc", "ref_alt", "shard", "places")).alias("asks"))
+    asked_of = asks.join(shards, ["ref_doc", "ref_alt", "shard"])
+    by_text = asked_of.groupBy("doc_id", "alt").agg(F.collect_list(F.struct("ref_doc", "ref_alt", "shard", "copies", "places")).alias("asks"))
     streamed = map_arrow(
         texts.join(by_text, ["doc_id", "alt"]).select("doc_id", "alt", "text", "asks"), _stream_part, _PASSAGES_DDL, window
     )
-    copies = F.when(F.col("streamed"), F.array(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))).otherwise(
-        F.sequence(F.lit(0), F.col("salts") - 1)
-    )
+    one = F.array(F.pmod(F.xxhash64("doc_id", "alt", "at"), F.col("copies")).cast("int"))
     dealt = (
-        reference.unionByName(streamed).join(F.broadcast(salts), ["ref_doc", "ref_alt", "shard"], "left")
-        .withColumn("salt", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(copies)))
+        reference.unionByName(streamed)
+        .withColumn("salt", F.explode(F.when(F.col("streamed"), one).otherwise(F.sequence(F.lit(0), F.col("copies") - 1))))
         .select("ref_doc", "ref_alt", "shard", "salt", "streamed", "doc_id", "alt", "at", "words")
         .repartition("ref_doc", "ref_alt", "shard", "salt")
         .sortWithinPartitions("ref_doc", "ref_alt", "shard", "salt", "streamed")
