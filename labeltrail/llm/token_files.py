@@ -383,7 +383,7 @@ def write_tokens(
     its own, and the manifest lists the files of the tasks that succeeded, so a repeated
     task leaves nothing behind that is read. ``start`` of the manifest is the number of
     ids before a file. A null text is empty, a null ``doc_id`` comes first, rows with
-    equal ids are ordered by a hash of the text, an empty table gives no file. A path without a scheme is in
+    equal ids are ordered by text, an empty table gives no file. A path without a scheme is in
     the file system that Spark takes by default.
     """
     path = _qualified(docs.sparkSession, path)
@@ -391,8 +391,8 @@ def write_tokens(
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
-    by_text = F.xxhash64("text")  # many rows of one id, or of none, are more than a task's share
-    ordered = own.repartitionByRange(F.col("doc_id"), by_text).sortWithinPartitions(F.col("doc_id"), by_text, F.col("text"))
+    begins = F.substring("text", 1, 64)  # in the order of the texts: many rows of one id, or of none, are more than a task's share
+    ordered = own.repartitionByRange(F.col("doc_id"), begins).sortWithinPartitions("doc_id", "text")
     files = cut(map_arrow(ordered, _write_part, _MANIFEST, path, tokenizer, end_id), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
