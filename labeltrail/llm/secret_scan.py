@@ -71,7 +71,7 @@ _CHOICE = ("or", "and", "if", "else", "||", "&&", "??", "?")  # what joins the o
 _PASSED = re.compile(r"""\(\s*(["'])([\w.-]{1,100})\1\s*,\s*(["'])([^"'\n]{1,1000})\3\s*\)""")  # set("name", "value")
 _ELEMENT = re.compile(r"<([A-Za-z][\w.:-]{0,100})>([^<>\n]{1,1000})</\1>")
 _LOOKUP = re.compile(r"env|get|read|load|prompt|input", re.IGNORECASE)
-MOST_PARTS = 64  # a value made of more literals is a text: then only those at its own place count
+MOST_PARTS = 64  # a value made of more literals is not joined with all behind it: each of them is scored by itself
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -357,6 +357,8 @@ class Constants:
     """The assignments of a text by name, to follow a name to the literals behind it.
 
     Each assignment is settled once: those that refer to each other in a circle share what any of them reaches.
+    The literals of a value are held together up to ``MOST_PARTS``. Of a larger one, ``large``, those at its own place
+    are, so that the work is linear, and ``scored`` hands each literal that it reaches the best name above it.
     """
 
     def __init__(self, made: list[Assignment]):
@@ -365,6 +367,9 @@ class Constants:
         for k, a in enumerate(made):
             self.by_name.setdefault(a.name, []).append(k)
         self.settled: list[frozenset | None] = [None] * len(made)
+        self.parts: list[tuple[list[int], set[int], list[tuple[int, int]]]] = []  # members, what they use, own literals
+        self.part_of = [0] * len(made)
+        self.large: set[int] = set()  # parts that reach more literals than are held together
         for k in range(len(made)):
             if self.settled[k] is None:
                 self._settle(k)
@@ -418,14 +423,42 @@ class Constants:
     def _share(self, part: list[int], behind: dict[int, list[int]]) -> None:
         inside = set(part)
         outer = {b for k in part for b in behind[k] if b not in inside}
-        sets = {self.settled[b] for b in outer}
         own = [x for k in part for x in self._own(k, behind[k])]
-        one = next(iter(sets)) if len(sets) == 1 and not own else frozenset(own).union(*sets)
+        number = len(self.parts)
+        self.parts.append((part, {self.part_of[b] for b in outer}, own))
         for k in part:
-            self.settled[k] = one if len(one) <= MOST_PARTS else frozenset(self._own(k, behind[k])[:MOST_PARTS])
-
-    def literals(self, k: int) -> list[tuple[int, int]]:
-        return sorted(self.settled[k])
+            self.part_of[k] = number
+        sets = {self.settled[b] for b in outer}
+        if len(sets) == 1 and not own:
+            one = next(iter(sets))
+        elif any(len(s) > MOST_PARTS for s in sets):
+            one = None
+        else:
+            one = frozenset(own).union(*sets)
+            one = one if len(one) <= MOST_PARTS else None
+        if one is None or any(p in self.large for p in self.parts[number][1]):
+            self.large.add(number)
+        for k in part:
+            self.settled[k] = frozenset(self._own(k, behind[k])) if one is None else one
+
+    def scored(self, scores: list[float]) -> dict[tuple[int, int], float]:
+        """Every literal that a large value reaches, with the best of the scores of the large values it ends up in.
+
+        Parts come after all that they use, so one pass from the last to the first hands the scores down.
+        """
+        best = [-math.inf] * len(self.parts)
+        found: dict[tuple[int, int], float] = {}
+        for number in range(len(self.parts) - 1, -1, -1):
+            members, used, own = self.parts[number]
+            if number in self.large:
+                best[number] = max(best[number], *(scores[k] for k in members))
+            if best[number] == -math.inf:
+                continue
+            for p in used:
+                best[p] = max(best[p], best[number])
+            for x in own:
+                found[x] = max(found.get(x, -math.inf), best[number])
+        return found
 
 
 def name_score(name: str) -> float:
@@ -455,12 +488,20 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
     lines = assigning_lines(text)
     made = list(assignments(text, lines)) if any(_SENSITIVE.search(text, *line) for line in lines) else []
     constants = Constants(made)
-    for k, a in enumerate(made):
-        by_name = name_score(a.name)
-        if by_name < 2:
+    scores = [name_score(a.name) for a in made]
+    for (s, e), by_name in constants.scored(scores).items() if constants.large else ():
+        if by_name >= 2 and by_name + literal_score(text[s:e]) >= threshold:
+            found.add((s, e))
+    looks: dict[frozenset, float] = {}
+    told: set[frozenset] = set()
+    for k, by_name in enumerate(scores):
+        parts = constants.settled[k]
+        if by_name < 2 or not parts:
             continue
-        parts = constants.literals(k)
-        if parts and by_name + literal_score("".join(text[s:e] for s, e in parts)) >= threshold:
+        if parts not in looks:
+            looks[parts] = literal_score("".join(text[s:e] for s, e in sorted(parts)))
+        if by_name + looks[parts] >= threshold and parts not in told:
+            told.add(parts)
             found.update(parts)
     return sorted((s, 3, e, s) for s, e in found if e > s)
 

@@ -312,6 +312,23 @@ def test_secret_values_of_expressions(text, values):
     assert [text[s:e] for s, _, e, _ in secret_scan.lexed_spans(text)] == values
 
 
+def test_secret_values_of_very_many_literals():
+    """More literals than are joined: each one behind a name counts, at its own place and through other names."""
+    listed = "pwds = [" + ", ".join(f'"Xy7kQ{k:03d}mZ"' for k in range(100)) + "]\n"
+    assert len(secret_scan.lexed_spans(listed)) == 100
+    words = "".join(f'p{k} = "word {k}"\n' for k in range(70))
+    joined = words + 'last = "Xy7kQ92mZ"\nall = ' + " + ".join(f"p{k}" for k in range(70)) + " + last\nalias = all\npwd = alias\n"
+    assert [joined[s:e] for s, _, e, _ in secret_scan.lexed_spans(joined)] == ["Xy7kQ92mZ"]
+    assert secret_scan.lexed_spans(joined.replace("pwd = ", "name = ")) == []
+
+
+def test_secrets_of_many_names_for_one_list_take_linear_time():
+    text = "a = [" + ", ".join(f'"Xy7k{k}"' for k in range(20_000)) + "]\n" + "".join(f"token{k} = a\n" for k in range(100_000))
+    start = time.perf_counter()
+    assert len(secret_scan.lexed_spans(text)) == 20_000
+    assert time.perf_counter() - start < 30
+
+
 @pytest.mark.parametrize("lines", [
     "token = token\n", "token = name\nname = token\n", 'token = token + "Xy7k1"\n', '"token": "Xy7kQ92mZ", ', "a = [", "- token:\n", 'token = "\n',
     "token = '''\n", "token = f(", '{"token": ', "token = (x = (", "token = x or ", 'set("token", ', "<token>", "token:\n  - a\n",
