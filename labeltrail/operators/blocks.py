@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ STRIP_BLOCKS = 16  # most blocks on one side of a group
 GROUP_PAIRS = 1 << 21  # a group has as many pairs at least, if there are as many
 GROUPS_PER_TASK = 4
 NEAR_LIST = 64
+WIDEN = 0.5  # share of all pairs
 _SLACK = 1e-9  # relative room for rounding in pruning bounds
 
 # reach(vectors, their distances to the pivots, cells, further query columns) -> mask
@@ -98,7 +100,8 @@ def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """
     na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
     scale = float(na.max() + nb.max())
-    out = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+    out = np.add.outer(na, nb)
+    out -= a @ (2.0 * b).T
     rows, cols = np.nonzero(out <= 1e-6 * scale)
     out[rows, cols] = exact_squares(a, b, rows, cols)
     return out, 1e-12 * scale
@@ -338,12 +341,15 @@ def meet(
     schema: str,
     fold: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None = None,
     place: str | None = None,
+    widen: bool = True,
 ) -> DataFrame:
     """Run ``kernel(query block, base block)`` wherever ``reach`` says they may meet.
 
     ``queries`` has ``id, vec`` and further columns; the kernel returns columns of
     ``schema`` or None. ``fold`` reduces what a block of queries got from the blocks of its group.
     ``place`` names a column that numbers the vectors from 0 on, where all meet all: strips and blocks then hold neighbours.
+    Where the cells to meet hold a share of ``WIDEN`` of all pairs, all meet all, as a copy of a query for each cell
+    would cost more than the pairs that are spared; ``widen`` is off where ``reach`` chooses what is found.
     """
     spark = queries.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -363,7 +369,13 @@ def meet(
         asked = np.zeros(len(cells.pivots), dtype=np.int64)
         for row in queries.mapInArrow(tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             asked[row.cell] = row.n
-        grid = make_grid(asked, np.where(asked > 0, cells.count, 0), cells.block_rows, tasks)
+        rows = queries.count() if widen else 0
+        everywhere = widen and float(asked @ cells.count) >= WIDEN * rows * cells.total
+        if everywhere:  # strips of small blocks would be short, and many
+            strip_rows = max(cells.block_rows, block_size(cells.pivots.shape[1]))
+            grid = make_grid(np.array([rows]), np.array([cells.total]), strip_rows, tasks)
+        else:
+            grid = make_grid(asked, np.where(asked > 0, cells.count, 0), cells.block_rows, tasks)
 
     def reached(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield from _reached(batch, bounds, reach)
@@ -410,6 +422,37 @@ def meet(
     return left.groupBy("_asks").cogroup(right.groupBy("_holds")).applyInArrow(run, schema)
 
 
+def meet_pairs(
+    points: DataFrame,
+    kernel: Callable[[Iterator[tuple[Block, Block, bool]]], dict[str, np.ndarray]],
+    schema: str,
+    block_rows: int,
+) -> DataFrame:
+    """Run ``kernel`` over pairs of blocks such that every pair of ``points(id, vec, ...)`` is met once, in one direction.
+
+    The third of what the kernel gets tells that both blocks are the same one. Rows are dealt to strips;
+    a pair of strips is a group, whose blocks go to one call, so a row is copied once for each strip.
+    """
+    spark = points.sparkSession
+    rows = points.count()
+    pairs = rows * rows / 2
+    wanted = pairs / max(float(GROUP_PAIRS), pairs / (GROUPS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    strips = max(1, math.ceil(math.sqrt(2 * wanted) - 1e-9), math.ceil(rows / (STRIP_BLOCKS * BLOCK_ROWS)))
+    strip, other = F.pmod(F.xxhash64("id", F.lit("pairs")), F.lit(strips)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long")))
+    dealt = points.withColumn("_strip", strip).withColumn("_other", other)
+    dealt = dealt.select(*points.columns, "_strip", F.least("_strip", "_other").alias("_lo"), F.greatest("_strip", "_other").alias("_hi"))
+    arrow_schema = _arrow_schema(spark, schema)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lo, hi = (k.as_py() for k in key)
+        strips = [table.filter(pc.equal(table["_strip"], side)) for side in dict.fromkeys((lo, hi))]
+        sides = [[Block(part, matrix(part.column("vec"))) for part in _blocks(strip, block_rows)] for strip in strips]
+        met = ((a, b, lo == hi and i == j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[-1]) if lo != hi or i <= j)
+        return pa.Table.from_pydict(kernel(met), schema=arrow_schema)
+
+    return dealt.groupBy("_lo", "_hi").applyInArrow(run, schema)
+
+
 def _blocks(rows: pa.Table, size: int) -> list[pa.Table]:
     return [rows.slice(a, size) for a in range(0, rows.num_rows, size)]
 

@@ -152,3 +152,40 @@ def test_kmeans_starts_share_a_pass_and_settle(spark, monkeypatch):
     assert all(len({found[20 * g + k] for k in range(20)}) == 1 for g in range(6)) and len(set(found.values())) == 6
     cost = sum((1 + k % 2) * ((vec[k] - np.array(facts["centers"][found[k]])) ** 2).sum() for k in range(len(vec)))
     assert facts["inertia"] == pytest.approx(cost) and "note" not in facts
+
+
+@pytest.mark.parametrize("pairs, block_rows", [(1 << 22, 512), (3_000, 16), (400, 7)])
+def test_meet_pairs_meets_each_pair_once(spark, monkeypatch, points, pairs, block_rows):
+    monkeypatch.setattr(blocks, "GROUP_PAIRS", pairs)
+    monkeypatch.setattr(blocks, "GROUPS_PER_TASK", 50)
+    vec, df = points
+
+    def kernel(met):
+        a, b = [], []
+        for q, base, same in met:
+            rows, cols = np.triu_indices(len(q.vec), 1) if same else np.indices((len(q.vec), len(base.vec))).reshape(2, -1)
+            a.append(q["id"][rows])
+            b.append(base["id"][cols])
+        return {"a": np.concatenate([*a, np.zeros(0, int)]), "b": np.concatenate([*b, np.zeros(0, int)])}
+
+    rows = blocks.meet_pairs(df, kernel, "a bigint, b bigint", block_rows)
+    found = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n = len(vec) * (len(vec) - 1) // 2
+    assert found.count() == found.distinct().count() == n and found.filter("a = b").isEmpty()
+
+
+def test_queries_that_meet_most_cells_are_not_copied_for_each(spark, monkeypatch):
+    """Vectors without a near place, many cells: one copy a strip, not one a cell."""
+    rng = np.random.default_rng(8)
+    vec = rng.normal(size=(600, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vec)], "id long, vec array<double>")
+    cells = blocks.make_cells(df, 3, 16)
+    assert len(cells.pivots) > 20
+    grids = []
+    real = blocks.make_grid
+    monkeypatch.setattr(blocks, "make_grid", lambda *args: grids.append(real(*args)) or grids[-1])
+    found = {(r.qid, r.rank): r.bid for r in nearest(df, cells, 3).collect()}
+    assert len(grids) == 1 and grids[0].groups == 1 and len(grids[0].asking) == 1
+    d2 = ((vec[:, None, :] - vec[None, :, :]) ** 2).sum(-1)
+    order = np.argsort(d2, axis=1)
+    assert len(found) == 3 * len(vec) and all(order[q, r - 1] == b for (q, r), b in found.items())
