@@ -23,27 +23,36 @@ def bin_width(lo: float, hi: float, bins: int) -> float:
 
 
 def exact_median(
-    histogram: Histogram, values: Values, lo: float, hi: float, room: float = 0.0
+    histogram: Histogram, values: Values, lo: float, hi: float, room: float = 0.0,
+    guess: tuple[float, float] | None = None, bins_wanted: int = BINS, fetch_rows: int = FETCH_ROWS,
 ) -> float | None:
     """Median by rank over ``[lo, hi]``, mean of the two middle values when even.
 
     Every pass counts again what lies below the interval, and the next interval runs
     between values that are there. ``room`` is how much a value may differ from pass
-    to pass by rounding.
+    to pass by rounding. ``guess`` is the interval of the first pass; if its counts show that
+    the median is not in it, the next pass takes ``[lo, hi]``.
     """
+    whole = (lo, hi)
+    lo, hi = guess or whole
     while True:
-        bins = histogram(lo, hi, BINS)
+        bins = histogram(lo, hi, bins_wanted)
         total = sum(count for count, _, _ in bins.values())
         if total == 0:
             return None
         ranks = ((total - 1) // 2, total // 2)
         below = bins[-1][0] if -1 in bins else 0
-        inside = {b: bins[b] for b in sorted(bins) if 0 <= b < BINS}
+        inside = {b: bins[b] for b in sorted(bins) if 0 <= b < bins_wanted}
+        if not below <= ranks[0] <= ranks[1] < below + sum(count for count, _, _ in inside.values()):
+            if (lo, hi) == whole:
+                raise ValueError(f"values outside of {whole}")
+            lo, hi = whole
+            continue
         first, last = _bins_of(inside, below, ranks)
         if max(first[2] - first[1], last[2] - last[1]) <= 4 * room:
             return (first[1] + last[1]) / 2.0
         lo, hi = first[1] - room, last[2] + room
-        if sum(count for count, low, high in inside.values() if high >= lo and low <= hi) <= FETCH_ROWS:
+        if sum(count for count, low, high in inside.values() if high >= lo and low <= hi) <= fetch_rows:
             return _pick(*values(lo, hi), ranks)
 
 

@@ -6,6 +6,7 @@ smallest position among ``w`` equal vectors, and returns ``labels(id, cluster_id
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from labeltrail.functions.quantile import bin_width, column_median, exact_median
 from labeltrail.functions.vectors import as_double, norm
-from labeltrail.operators.blocks import Block, distances, make_cells, meet, reach_all
+from labeltrail.operators.blocks import Block, block_size, distances, make_cells, meet_pairs
 from labeltrail.operators.heavy import lookup
 from labeltrail.operators.position import with_position
 from labeltrail.operators.search import collapse, nearest
@@ -101,39 +102,77 @@ def median_neighbor_distance(reps: DataFrame, zero_eps: str = "raise") -> float:
     return value
 
 
+_MEDIAN_BLOCK = 512  # the distances of two blocks stay in the cache
+_MEDIAN_BINS = 1 << 16
+_MEDIAN_FETCH = 400_000
+_GUESS_ROWS = 2_000
+
+
+def _guessed(reps: DataFrame) -> tuple[float, float] | None:
+    """An interval in which the median of the distances is likely to be, from those of some rows; counts over all pairs tell if it is."""
+    rows = reps.select("vec", "w").orderBy(F.xxhash64("vec"), "vec").limit(_GUESS_ROWS).collect()
+    if len(rows) < _GUESS_ROWS:
+        return None
+    vec = np.array([r.vec for r in rows], dtype=float)
+    w = np.array([r.w for r in rows], dtype=float)
+    d = distances(vec, vec)[np.triu_indices(len(vec), 1)]
+    weight = (w[:, None] * w[None, :])[np.triu_indices(len(vec), 1)]
+    order = np.argsort(d)
+    share = np.cumsum(weight[order]) / weight.sum()
+    lo, hi = d[order[np.searchsorted(share, (0.45, 0.55))]]
+    return (float(lo), float(hi)) if 0 < lo < hi else None
+
+
 def pair_distance_median(reps: DataFrame) -> float | None:
     """Median of the positive pairwise distances over all rows, exact.
 
     Block pairs are reduced to histograms until the interval around the median is
-    small enough to read.
+    small enough to read. Every pair is met once in a pass, and the first interval comes from
+    some rows, so two passes are enough for most tables.
     """
-    cells = make_cells(reps)
-    top = 2.0 * (reps.agg(F.max(norm("vec"))).first()[0] or 0.0)
+    top = 2.0 * (1.0 + 1e-9) * (reps.agg(F.max(norm("vec"))).first()[0] or 0.0)
+    some = reps.select("id", "vec", "w")
+    dim = reps.agg(F.max(F.size("vec"))).first()[0] or 1
 
     def run(kernel, schema: str) -> DataFrame:
-        return meet(reps, cells, reach_all, kernel, schema)
-
-    def halves(q: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and weights of the pairs that this block pair is to count."""
-        mask = q["id"][:, None] < b["id"][None, :]
-        d = distances(q.vec, b.vec)[mask]
-        weight = (q["w"][:, None] * b["w"][None, :])[mask]
-        return d[d > 0], weight[d > 0]
+        return meet_pairs(some, kernel, schema, block_size(dim, _MEDIAN_BLOCK))
+
+    def reduced(a: Block, b: Block, same: bool, lo: float, hi: float) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """Weights of the pairs below and above the interval, and distances and weights of those inside; distances of zero are left out."""
+        d = distances(a.vec, b.vec)
+        single = bool((a["w"] == 1).all() and (b["w"] == 1).all())
+        weight = None if single else a["w"][:, None] * b["w"][None, :]
+        if same:
+            upper = np.triu_indices(len(d), 1)
+            d, weight = d[upper], None if single else weight[upper]
+        else:
+            d, weight = d.ravel(), None if single else weight.ravel()
+
+        def sum_of(mask: np.ndarray) -> int:
+            return int(np.count_nonzero(mask)) if single else int(weight[mask].sum())
+
+        inside = (d >= lo) & (d <= hi) & (d > 0)
+        below = sum_of(d < lo) - sum_of(d <= 0) if lo > 0 else 0
+        above = sum_of(d > hi)
+        inside = np.flatnonzero(inside)
+        return below, above, d[inside], np.ones(len(inside), np.int64) if single else weight[inside]
 
     def histogram(lo: float, hi: float, bins: int) -> dict[int, tuple[int, float, float]]:
         width = bin_width(lo, hi, bins) or np.inf
 
-        def kernel(q: Block, b: Block):
-            d, weight = halves(q, b)
-            place = np.minimum(np.floor((d - lo) / width), bins - 1).astype(np.int64)
-            place[d < lo], place[d > hi] = -1, bins
-            keys, inverse = np.unique(place, return_inverse=True)
-            sums = np.zeros(len(keys), dtype=np.int64)
-            low, high = np.full(len(keys), np.inf), np.full(len(keys), -np.inf)
-            np.add.at(sums, inverse, weight)
-            np.minimum.at(low, inverse, d)
-            np.maximum.at(high, inverse, d)
-            return {"b": keys, "n": sums, "low": low, "high": high}
+        def kernel(met: Iterator[tuple[Block, Block, bool]]) -> dict[str, np.ndarray]:
+            sums = np.zeros(bins + 2, np.int64)  # the last two are above and below
+            low, high = np.full(bins + 2, np.inf), np.full(bins + 2, -np.inf)
+            for a, b, same in met:
+                below, above, d, weight = reduced(a, b, same, lo, hi)
+                place = np.minimum(np.floor((d - lo) / width), bins - 1).astype(np.int64)
+                np.add.at(sums, place, weight)
+                np.minimum.at(low, place, d)
+                np.maximum.at(high, place, d)
+                sums[bins] += above
+                sums[bins + 1] += below
+            own = np.flatnonzero(sums)
+            return {"b": np.where(own > bins, -1, own), "n": sums[own], "low": low[own], "high": high[own]}
 
         found = run(kernel, "b bigint, n bigint, low double, high double").groupBy("b").agg(
             F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
@@ -141,15 +180,18 @@ def pair_distance_median(reps: DataFrame) -> float | None:
         return {r.b: (r.n, r.low, r.high) for r in found.collect()}
 
     def values(lo: float, hi: float) -> tuple[int, list[tuple[float, int]]]:
-        def kernel(q: Block, b: Block):
-            d, weight = halves(q, b)
-            inside = (d >= lo) & (d <= hi)
+        def kernel(met: Iterator[tuple[Block, Block, bool]]) -> dict[str, np.ndarray]:
+            seen, counts, under = [], [], 0
+            for a, b, same in met:
+                below, _, d, weight = reduced(a, b, same, lo, hi)
+                seen.append(d)
+                counts.append(weight)
+                under += below
             # One row with value -1 holds the count below.
-            below = int(weight[d < lo].sum())
-            return {"v": np.append(d[inside], -1.0), "n": np.append(weight[inside], below)}
+            return {"v": np.concatenate([*seen, [-1.0]]), "n": np.concatenate([*counts, [under]]).astype(np.int64)}
 
         rows = run(kernel, "v double, n bigint").groupBy("v").agg(F.sum("n").alias("n")).collect()
         below = sum(r.n for r in rows if r.v < 0)
         return below, sorted((r.v, r.n) for r in rows if r.v >= 0)
 
-    return exact_median(histogram, values, 0.0, top, room=1e-12 * top)
+    return exact_median(histogram, values, 0.0, top, 1e-12 * top, _guessed(reps), _MEDIAN_BINS, _MEDIAN_FETCH)
