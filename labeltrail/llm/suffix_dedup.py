@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labeltrail.llm.common import Batches, list_array, map_arrow, record_batch, slices, table, whole_text
@@ -318,6 +318,13 @@ def _keep_part(batches: Batches, length: int) -> Iterator[pa.RecordBatch]:
         yield record_batch(_KEPT, [list(c) for c in zip(*rows)] if rows else [[]] * 4)
 
 
+def _joined(runs: Column) -> Column:
+    """Runs in order, those that follow each other without a gap as one."""
+    starts, ends = F.transform(runs, lambda r: r["start"]), F.transform(runs, lambda r: r["end"])
+    first, last = F.array_sort(F.array_except(starts, ends)), F.array_sort(F.array_except(ends, starts))
+    return F.arrays_zip(first.alias("start"), last.alias("end"))
+
+
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, kept_sha256, spans`` of every row.
 
@@ -366,14 +373,13 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     strings = map_arrow(dealt.filter("crowded").select("piece", "n", "bytes"), _crowded_part, "string binary, piece binary, start int", length)
     often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("string")
     more = strings.join(often, "string").select("piece", "start", (F.col("start") + 1).alias("end"))
-    marks = starts.unionByName(more).groupBy("piece").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    marks = starts.unionByName(more).groupBy("piece").agg(_joined(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("head.n").alias("end")))
     runs = heads.join(marks, "piece", "left").select("piece", F.when(F.col("many") > 1, whole).otherwise(F.col("runs")).alias("runs")).filter("runs is not null")
-    in_text = (
-        pieces.join(runs, "piece").select("sha256", F.explode("runs").alias("r"), "at")
-        .groupBy("sha256").agg(F.collect_list(F.struct((F.col("r.start") + F.col("at")).alias("start"), (F.col("r.end") + F.col("at")).alias("end"))).alias("runs"))
-    )
+    # The runs of a text stay arrays: a row for each would be as many as the bytes around a very common passage.
+    moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("at")).alias("start"), (r["end"] + F.col("at")).alias("end")))
+    in_text = pieces.join(runs, "piece").groupBy("sha256").agg(F.flatten(F.collect_list(moved)).alias("runs"))
     single_texts = texts.filter("copies = 1").select("sha256")
     changed = map_arrow(suspects.select("sha256", "text").join(in_text.join(single_texts, "sha256"), "sha256").select("sha256", "text", "runs"), _keep_part, _KEPT_DDL, length)
     copies = texts.filter("copies > 1").select(

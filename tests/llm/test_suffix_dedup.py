@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from fixtures_llm import awkward, awkward_rows, empty, prose
 
 from labeltrail.llm import suffix_dedup as sd
@@ -130,3 +131,11 @@ def test_sql(spark):
     order = [found.columns.index(c) for c in ("doc_id", "n_bytes", "n_removed", "kept_sha256", "n_spans")]
     want = [(*r[:4], len(r[4])) for r in _brute(rows, 400)]
     assert _sorted([tuple(r[k] for k in order) for r in found.fetchall()]) == _sorted(want)
+
+
+def test_runs_without_a_gap_are_joined(spark):
+    """The starts of a crowded piece come one by one and go on as runs."""
+    rows = [(1, k, k + 1) for k in (7, 3, 4, 5, 9, 8)] + [(2, 0, 4), (2, 6, 9)]
+    df = spark.createDataFrame(rows, "piece int, start int, end int")
+    found = df.groupBy("piece").agg(sd._joined(F.collect_list(F.struct("start", "end"))).alias("runs")).collect()
+    assert {r.piece: [tuple(x) for x in r.runs] for r in found} == {1: [(3, 6), (7, 10)], 2: [(0, 4), (6, 9)]}
