@@ -4,7 +4,8 @@ Ward's distance is reducible: merging two mutual neighbours never brings a third
 cluster nearer to either. So the parallel merges give the partition of the
 one-by-one order, and a cluster with no partner below the threshold is finished.
 For the same reason a cluster keeps its nearest neighbour until that one merges, so a
-round searches only for new clusters and those whose neighbour is gone.
+round searches only for new clusters and those whose neighbour is gone, first in the own
+cell and then in those cells that may hold a nearer one.
 """
 
 from __future__ import annotations
@@ -13,25 +14,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labeltrail.operators.blocks import Block, exact_squares, make_cells, meet, squares
+from labeltrail.operators.blocks import (
+    Block,
+    exact_squares,
+    make_cells,
+    meet,
+    reach_all,
+    reach_bound,
+    reach_probes,
+    squares,
+)
 from labeltrail.operators.cluster.common import rank_labels
 from labeltrail.operators.cluster.components import components
 from labeltrail.scratch import Rounds, cut
 
 
-def _reach_merge(threshold: float):
-    """Cells that may hold a partner below the threshold.
-
-    Ward's factor 2 n m / (n + m) is at least 1, so a partner is no farther than
-    the threshold in plain distance.
-    """
-
-    def run(vec, far, cells, rows):
-        return far - cells.radius[None, :] <= threshold + 1e-9 * (1.0 + far)
-
-    return run
-
-
 def _partner_kernel(threshold: float):
     limit = threshold * threshold
 
@@ -63,6 +60,23 @@ def _partner_kernel(threshold: float):
     return kernel
 
 
+def _partners(asked: DataFrame, active: DataFrame, threshold: float, block_rows: int | None) -> DataFrame:
+    """Candidates for the nearest partner of each of ``asked`` below the threshold, the nearest among them.
+
+    The partner in the own cell bounds the search in the others: Ward's factor 2 n m / (n + m) grows with
+    m, so a nearer one is no farther in plain distance than the bound over the factor at the smallest m.
+    """
+    cells, kernel, schema = make_cells(active, block_rows=block_rows), _partner_kernel(threshold), "id bigint, partner bigint, d2 double"
+    if len(cells.pivots) == 1:
+        return meet(asked, cells, reach_all, kernel, schema)
+    near = meet(asked, cells, reach_probes(1), kernel, schema, widen=False).groupBy("id").agg(F.min("d2").alias("d2"))
+    least = float(active.agg(F.min("w")).first()[0])
+    factor = 2.0 * F.col("w") * least / (F.col("w") + least)
+    bound = F.sqrt(F.coalesce("d2", F.lit(threshold * threshold)) / factor).alias("bound")
+    bounded = cut(asked.join(near, "id", "left").select("id", "vec", "w", bound), "bounded")
+    return meet(bounded, cells, reach_bound("bound"), kernel, schema)
+
+
 def ward(reps: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """Labels of distinct weighted vectors; merges stop at ``threshold``, excluded."""
     active = reps.select("id", "vec", "w")
@@ -70,13 +84,7 @@ def ward(reps: DataFrame, threshold: float, block_rows: int | None = None) -> Da
     links: DataFrame | None = None
     rounds = Rounds(reps.sparkSession)
     while True:
-        found = meet(
-            stale,
-            make_cells(active, block_rows=block_rows),
-            _reach_merge(threshold),
-            _partner_kernel(threshold),
-            "id bigint, partner bigint, d2 double",
-        )
+        found = _partners(stale, active, threshold, block_rows)
         lo, hi = F.least("id", "partner"), F.greatest("id", "partner")
         fresh = found.groupBy("id").agg(F.min(F.struct("d2", lo.alias("lo"), hi.alias("hi"))).alias("c")).select("id", "c.lo", "c.hi")
         choice = rounds.cut(fresh if known is None else fresh.unionByName(known), "partners")

@@ -1,5 +1,7 @@
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from labeltrail.operators.cluster import common, dbscan, fit, hdbscan, meanshift, quality, ward
@@ -173,3 +175,25 @@ def test_labels_of_one_giant_group(spark):
     members = spark.range(2_000).selectExpr("id", "if(id < 1900, 5, id) as root")
     labels = {r["id"]: r["cluster_id"] for r in common.rank_labels(members).collect()}
     assert len(labels) == 2_000 and {labels[i] for i in range(1900)} == {0} and labels[1999] == 100
+
+
+def test_ward_meets_near_cells_only(spark, monkeypatch):
+    """The partner in the own cell bounds the search in the others, whatever the threshold."""
+    rng = np.random.default_rng(11)
+    x, w = rng.uniform(-1, 1, (500, 2)), rng.integers(1, 9, 500)
+    active = spark.createDataFrame([(k, v.tolist(), int(m)) for k, (v, m) in enumerate(zip(x, w))], "id long, vec array<double>, w long")
+    pairs, real = [], ward.meet
+
+    def met(asked, cells, reach, *args, **options):
+        rows = asked.toPandas()
+        vec = np.array(rows["vec"].tolist())
+        far = np.sqrt(((vec[:, None] - cells.pivots[None]) ** 2).sum(-1))
+        pairs.append(int((reach(vec, far, cells, pa.RecordBatch.from_pandas(rows)) @ cells.count).sum()))
+        return real(asked, cells, reach, *args, **options)
+
+    monkeypatch.setattr(ward, "meet", met)
+    found = ward._partners(active, active, 3.0, 16).groupBy("id").agg(F.min(F.struct("d2", "partner")).alias("c")).collect()
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1) * 2.0 * w[:, None] * w[None, :] / (w[:, None] + w[None, :])
+    np.fill_diagonal(d2, np.inf)
+    assert {r.id: r.c.partner for r in found} == dict(enumerate(d2.argmin(axis=1).tolist()))
+    assert sum(pairs) < 0.5 * 500 * 500
