@@ -24,6 +24,7 @@ STARTS = 10  # fixed value: number of starts, best cost kept
 ROUNDS = 300  # fixed value: most rounds of one start
 _DRAWS = 5  # rounds of k-means||
 _ROWS = 4_096
+_CACHED = 1 << 17  # numbers held at a time when centres are compared
 
 
 def clusters_for(n: int, alpha: float) -> int:
@@ -32,8 +33,14 @@ def clusters_for(n: int, alpha: float) -> int:
 
 def _nearest(vec: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centre of each row, the first of equal ones, and its squared distance."""
-    out = (vec * vec).sum(1)[:, None] + (centers * centers).sum(1)[None, :] - 2.0 * vec @ centers.T
-    best = out.argmin(axis=1)
+    # The square of the row is left out, as it is the same for all centres; parts stay in the cache.
+    squares, turned = (centers * centers).sum(1), (-2.0 * centers).T
+    best = np.empty(len(vec), np.int64)
+    step = max(16, _CACHED // max(1, len(centers)))
+    for a in range(0, len(vec), step):
+        out = vec[a : a + step] @ turned
+        out += squares
+        best[a : a + step] = out.argmin(axis=1)
     gap = vec - centers[best]
     return best, (gap * gap).sum(axis=1)
 
