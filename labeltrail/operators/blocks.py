@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,13 @@ class Block:
     def __getitem__(self, name: str) -> np.ndarray:
         return self.data.column(name).to_numpy()
 
+    @cached_property
+    def ball(self) -> tuple[np.ndarray, float]:
+        """A centre, and the largest distance of a vector to it."""
+        center = self.vec.mean(axis=0)
+        gap = self.vec - center
+        return center, math.sqrt(float((gap * gap).sum(axis=1).max()))
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """List column to a matrix."""
@@ -102,11 +110,16 @@ def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     scale = float(na.max() + nb.max())
     out = np.add.outer(na, nb)
     out -= a @ (2.0 * b).T
-    rows, cols = np.nonzero(out <= 1e-6 * scale)
+    rows, cols = where(out <= 1e-6 * scale)
     out[rows, cols] = exact_squares(a, b, rows, cols)
     return out, 1e-12 * scale
 
 
+def where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a mask that holds for few: several times as fast as ``np.nonzero``."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(squares(a, b)[0])
 
@@ -116,7 +129,7 @@ def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     out, room = squares(a, b)
     limit = eps * eps
     mask = out <= limit
-    rows, cols = np.nonzero(np.abs(out - limit) <= room + 1e-12 * limit)
+    rows, cols = where(np.abs(out - limit) <= room + 1e-12 * limit)
     mask[rows, cols] = np.sqrt(exact_squares(a, b, rows, cols)) <= eps
     return mask
 
@@ -422,16 +435,62 @@ def meet(
     return left.groupBy("_asks").cogroup(right.groupBy("_holds")).applyInArrow(run, schema)
 
 
+_CODE_BITS, _MIX_BITS = 48, 14
+
+
+def with_place(points: DataFrame, name: str) -> DataFrame:
+    """A number in column ``name`` that neighbours among ``points(id, vec, ...)`` have in common: the bits of their coordinates in turn.
+
+    Its last bits are a mix of the id, so rows at one place can be told apart.
+    """
+    ends = points.select(F.posexplode("vec").alias("k", "x")).groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("k").collect()
+    lo = np.array([r.lo for r in ends], dtype=float)
+    width = np.array([r.hi for r in ends], dtype=float) - lo
+    bits = _CODE_BITS // max(1, len(ends))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = matrix(batch.column("vec"))
+            share = np.divide(vec - lo, width, out=np.zeros(vec.shape), where=width > 0) if len(vec) else vec
+            step = np.clip(np.nan_to_num(share) * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+            code = np.zeros(len(vec), dtype=np.int64)
+            for bit in range(bits - 1, -1, -1):
+                for k in range(step.shape[1]):
+                    code = (code << 1) | ((step[:, k] >> bit) & 1)
+            mixed = _strip_of(batch.column("id").to_numpy(zero_copy_only=False), np.array(1 << _MIX_BITS), 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((code << _MIX_BITS) | mixed)], names=[*batch.schema.names, name])
+
+    return points.mapInArrow(run, T.StructType(points.schema.fields + [T.StructField(name, T.LongType())]))
+
+
+def _near_order(vec: np.ndarray, size: int) -> np.ndarray:
+    """Row numbers such that ``size`` of them in a row are neighbours: halved along the widest side, again and again."""
+    order, todo = np.arange(len(vec)), [(0, len(vec))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= size:
+            continue
+        own = order[a:b]
+        part = vec[own]
+        half = size * math.ceil((b - a) / size / 2)
+        axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        order[a:b] = own[np.argpartition(part[:, axis], half - 1)]
+        todo += [(a, a + half), (a + half, b)]
+    return order
+
+
 def meet_pairs(
     points: DataFrame,
     kernel: Callable[[Iterator[tuple[Block, Block, bool]]], dict[str, np.ndarray]],
     schema: str,
     block_rows: int,
+    place: str | None = None,
 ) -> DataFrame:
     """Run ``kernel`` over pairs of blocks such that every pair of ``points(id, vec, ...)`` is met once, in one direction.
 
     The third of what the kernel gets tells that both blocks are the same one. Rows are dealt to strips;
     a pair of strips is a group, whose blocks go to one call, so a row is copied once for each strip.
+    ``place`` names a column of ``with_place``: strips and blocks then hold neighbours, so that their bounds tell much.
     """
     spark = points.sparkSession
     rows = points.count()
@@ -439,14 +498,21 @@ def meet_pairs(
     wanted = pairs / max(float(GROUP_PAIRS), pairs / (GROUPS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     strips = max(1, math.ceil(math.sqrt(2 * wanted) - 1e-9), math.ceil(rows / (STRIP_BLOCKS * BLOCK_ROWS)))
     strip, other = F.pmod(F.xxhash64("id", F.lit("pairs")), F.lit(strips)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long")))
+    if place is not None and strips > 1:
+        ends = points.agg(F.percentile_approx(place, [k / strips for k in range(1, strips)])).first()[0]
+        strip = F.size(F.filter(F.array(*map(F.lit, ends)), lambda end: end < F.col(place))).cast("long")
     dealt = points.withColumn("_strip", strip).withColumn("_other", other)
     dealt = dealt.select(*points.columns, "_strip", F.least("_strip", "_other").alias("_lo"), F.greatest("_strip", "_other").alias("_hi"))
     arrow_schema = _arrow_schema(spark, schema)
 
+    def cut_up(rows: pa.Table) -> list[Block]:
+        if place is not None and rows.num_rows:
+            rows = rows.take(pa.array(_near_order(matrix(rows.column("vec")), block_rows)))
+        return [Block(part, matrix(part.column("vec"))) for part in _blocks(rows, block_rows)]
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lo, hi = (k.as_py() for k in key)
-        strips = [table.filter(pc.equal(table["_strip"], side)) for side in dict.fromkeys((lo, hi))]
-        sides = [[Block(part, matrix(part.column("vec"))) for part in _blocks(strip, block_rows)] for strip in strips]
+        sides = [cut_up(table.filter(pc.equal(table["_strip"], side))) for side in dict.fromkeys((lo, hi))]
         met = ((a, b, lo == hi and i == j) for i, a in enumerate(sides[0]) for j, b in enumerate(sides[-1]) if lo != hi or i <= j)
         return pa.Table.from_pydict(kernel(met), schema=arrow_schema)
 

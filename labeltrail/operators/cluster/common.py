@@ -6,6 +6,7 @@ smallest position among ``w`` equal vectors, and returns ``labels(id, cluster_id
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from labeltrail.functions.quantile import bin_width, column_median, exact_median
 from labeltrail.functions.vectors import as_double, norm
-from labeltrail.operators.blocks import Block, block_size, distances, make_cells, meet_pairs
+from labeltrail.operators.blocks import Block, block_size, distances, make_cells, meet_pairs, squares, with_place
 from labeltrail.operators.heavy import lookup
 from labeltrail.operators.position import with_position
 from labeltrail.operators.search import collapse, nearest
@@ -106,6 +107,9 @@ _MEDIAN_BLOCK = 512  # the distances of two blocks stay in the cache
 _MEDIAN_BINS = 1 << 16
 _MEDIAN_FETCH = 400_000
 _GUESS_ROWS = 2_000
+_NEAR_DIM = 8  # up to so many components, blocks of neighbours are far smaller than the whole
+_NEAR_BLOCK = 128
+_NONE, _NO_WEIGHT = np.zeros(0), np.zeros(0, np.int64)
 
 
 def _guessed(reps: DataFrame) -> tuple[float, float] | None:
@@ -119,7 +123,11 @@ def _guessed(reps: DataFrame) -> tuple[float, float] | None:
     weight = (w[:, None] * w[None, :])[np.triu_indices(len(vec), 1)]
     order = np.argsort(d)
     share = np.cumsum(weight[order]) / weight.sum()
-    lo, hi = d[order[np.searchsorted(share, (0.45, 0.55))]]
+    # How much the share of a row's distances below the median differs from row to row tells how far off the median may be.
+    below = distances(vec, vec) < d[order[np.searchsorted(share, 0.5)]]
+    spread = float(np.std(below @ w / w.sum())) * math.sqrt(float((w * w).mean()) / float(w.mean()) ** 2 / len(vec))
+    room = min(0.05, 8.0 * spread + 2.0 / len(vec))
+    lo, hi = d[order[np.searchsorted(share, (0.5 - room, 0.5 + room))]]
     return (float(lo), float(hi)) if 0 < lo < hi else None
 
 
@@ -133,29 +141,41 @@ def pair_distance_median(reps: DataFrame) -> float | None:
     top = 2.0 * (1.0 + 1e-9) * (reps.agg(F.max(norm("vec"))).first()[0] or 0.0)
     some = reps.select("id", "vec", "w")
     dim = reps.agg(F.max(F.size("vec"))).first()[0] or 1
+    place, rows = (None, _MEDIAN_BLOCK) if dim > _NEAR_DIM else ("_place", min(_MEDIAN_BLOCK, _NEAR_BLOCK))
+    if place is not None:
+        some = cut(with_place(some, place), "places")
 
     def run(kernel, schema: str) -> DataFrame:
-        return meet_pairs(some, kernel, schema, block_size(dim, _MEDIAN_BLOCK))
+        return meet_pairs(some, kernel, schema, block_size(dim, rows), place)
 
     def reduced(a: Block, b: Block, same: bool, lo: float, hi: float) -> tuple[int, int, np.ndarray, np.ndarray]:
         """Weights of the pairs below and above the interval, and distances and weights of those inside; distances of zero are left out."""
-        d = distances(a.vec, b.vec)
+        if not same:
+            (one, far), (other, wide) = a.ball, b.ball
+            gap, reach = math.sqrt(float(((one - other) ** 2).sum())), far + wide + 1e-9 * top
+            if 0 < gap - reach and (gap + reach < lo or gap - reach > hi):  # no distance of zero, and all on one side
+                weight = int(a["w"].sum()) * int(b["w"].sum())
+                return (weight, 0, _NONE, _NO_WEIGHT) if gap + reach < lo else (0, weight, _NONE, _NO_WEIGHT)
+        d2 = squares(a.vec, b.vec)[0]
         single = bool((a["w"] == 1).all() and (b["w"] == 1).all())
         weight = None if single else a["w"][:, None] * b["w"][None, :]
         if same:
-            upper = np.triu_indices(len(d), 1)
-            d, weight = d[upper], None if single else weight[upper]
+            upper = np.triu_indices(len(d2), 1)
+            d2, weight = d2[upper], None if single else weight[upper]
         else:
-            d, weight = d.ravel(), None if single else weight.ravel()
+            d2, weight = d2.ravel(), None if single else weight.ravel()
 
         def sum_of(mask: np.ndarray) -> int:
             return int(np.count_nonzero(mask)) if single else int(weight[mask].sum())
 
+        # Roots are drawn only where the squares leave it open on which side of an end a distance is.
+        near_lo, near_hi = lo * lo * (1.0 - 1e-14), hi * hi * (1.0 + 1e-14)
+        at = np.flatnonzero((d2 >= near_lo) & (d2 <= near_hi))
+        d, told = np.sqrt(np.maximum(d2[at], 0.0)), np.ones(len(at), np.int64) if single else weight[at]
         inside = (d >= lo) & (d <= hi) & (d > 0)
-        below = sum_of(d < lo) - sum_of(d <= 0) if lo > 0 else 0
-        above = sum_of(d > hi)
-        inside = np.flatnonzero(inside)
-        return below, above, d[inside], np.ones(len(inside), np.int64) if single else weight[inside]
+        below = sum_of(d2 < near_lo) + int(told[d < lo].sum()) - sum_of(d2 <= 0) if lo > 0 else 0
+        above = sum_of(d2 > near_hi) + int(told[d > hi].sum())
+        return below, above, d[inside], told[inside]
 
     def histogram(lo: float, hi: float, bins: int) -> dict[int, tuple[int, float, float]]:
         width = bin_width(lo, hi, bins) or np.inf
@@ -165,12 +185,13 @@ def pair_distance_median(reps: DataFrame) -> float | None:
             low, high = np.full(bins + 2, np.inf), np.full(bins + 2, -np.inf)
             for a, b, same in met:
                 below, above, d, weight = reduced(a, b, same, lo, hi)
-                place = np.minimum(np.floor((d - lo) / width), bins - 1).astype(np.int64)
-                np.add.at(sums, place, weight)
-                np.minimum.at(low, place, d)
-                np.maximum.at(high, place, d)
                 sums[bins] += above
                 sums[bins + 1] += below
+                if len(d):
+                    place = np.minimum(np.floor((d - lo) / width), bins - 1).astype(np.int64)
+                    np.add.at(sums, place, weight)
+                    np.minimum.at(low, place, d)
+                    np.maximum.at(high, place, d)
             own = np.flatnonzero(sums)
             return {"b": np.where(own > bins, -1, own), "n": sums[own], "low": low[own], "high": high[own]}
 
