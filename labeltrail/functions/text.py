@@ -15,6 +15,7 @@ PAIR_PATTERN = r'"([^"]+)":\s*"([^"]*)"'
 
 MISSING = "N/A"
 EVENT_FIELDS = ("processName", "eventName", "syscall")
+METADATA_FIELDS = (*EVENT_FIELDS, "eventId")
 _FIELD_MAP = "map<string,string>"
 
 
@@ -208,10 +209,13 @@ def keep_fields(field_map: str | Column, keep_prefixes: tuple[str, ...]) -> Colu
 def event_metadata(
     idx: str | Column, text: str | Column, field_map: str | Column, data_type: str
 ) -> Column:
-    """Metadata of one event as a string map of scalars; nested values as JSON text."""
+    """Metadata of one event as a string map of scalars; nested values as JSON text.
+
+    Of ``field_map`` only the ``METADATA_FIELDS`` are read, so ``fields`` need not work out others.
+    """
 
     def entries(own: Column) -> Column:
-        named = [part for name in (*EVENT_FIELDS, "eventId") for part in (F.lit(name), field_or_default(own, name))]
+        named = [part for name in METADATA_FIELDS for part in (F.lit(name), field_or_default(own, name))]
         return F.create_map(
             F.lit("index"), _col(idx).cast("string"), F.lit("text"), _col(text), *named, F.lit("data_type"), F.lit(data_type)
         )

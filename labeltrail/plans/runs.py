@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from labeltrail.config import RunConfig
 from labeltrail.functions.embed import EmbedFunction, embed
-from labeltrail.functions.text import event_metadata, event_text, fields
+from labeltrail.functions.text import METADATA_FIELDS, event_metadata, event_text, fields
 from labeltrail.functions.vectors import l2_normalize
 from labeltrail.operators.bloom import build_filter, filter_quality
 from labeltrail.operators.cluster.fit import cluster
@@ -32,7 +32,7 @@ def event_vectors(
         "texts",
     )
     embedded = embed(texts, "text", fn, config.embedding_dim)
-    metadata = event_metadata("idx", "text", fields("raw"), data_type)
+    metadata = event_metadata("idx", "text", fields("raw", names=METADATA_FIELDS), data_type)
     return embedded.select("idx", l2_normalize("embedding").alias("embedding"), metadata.alias("metadata"))
 
 
