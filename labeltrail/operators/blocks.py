@@ -76,6 +76,11 @@ class Block:
         gap = self.vec - center
         return center, math.sqrt(float((gap * gap).sum(axis=1).max()))
 
+    @cached_property
+    def short(self) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors in single precision, and their squares in double."""
+        return self.vec.astype(np.float32), (self.vec * self.vec).sum(axis=1)
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """List column to a matrix."""
@@ -120,6 +125,28 @@ def where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
+_SHORT_DIM = 16  # from so many components on, products in single precision save more than their wider room costs
+_SHORT_SCALES = (1e-20, 1e30)
+
+
+def rough_squares(q: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float]:
+    """Squared distances of one block pair without the squares of the queries, these squares, and the rounding room.
+
+    Where there are many components the product is in single precision; the room holds for it.
+    """
+    if q.vec.shape[1] >= _SHORT_DIM:
+        (a, na), (c, nc) = q.short, b.short
+        scale = float(na.max() + nc.max())
+        if _SHORT_SCALES[0] < scale < _SHORT_SCALES[1]:
+            out = a @ (np.float32(-2.0) * c).T
+            out += nc.astype(np.float32)[None, :]
+            return out, na, 4.0 * (q.vec.shape[1] + 8) * 2.0**-24 * scale
+    na, nc = (q.vec * q.vec).sum(axis=1), (b.vec * b.vec).sum(axis=1)
+    out = q.vec @ (-2.0 * b.vec).T
+    out += nc[None, :]
+    return out, na, 1e-12 * float(na.max() + nc.max())
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(squares(a, b)[0])
 
@@ -350,16 +377,18 @@ def meet(
     queries: DataFrame,
     cells: Cells,
     reach: Reach,
-    kernel: Callable[[Block, Block], dict[str, np.ndarray] | None],
+    kernel: Callable[..., dict[str, np.ndarray] | None],
     schema: str,
     fold: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]] | None = None,
     place: str | None = None,
     widen: bool = True,
+    told: bool = False,
 ) -> DataFrame:
     """Run ``kernel(query block, base block)`` wherever ``reach`` says they may meet.
 
     ``queries`` has ``id, vec`` and further columns; the kernel returns columns of
     ``schema`` or None. ``fold`` reduces what a block of queries got from the blocks of its group.
+    With ``told`` the kernel gets as its third argument what ``fold`` made of the blocks before, None at first.
     ``place`` names a column that numbers the vectors from 0 on, where all meet all: strips and blocks then hold neighbours.
     Where the cells to meet hold a share of ``WIDEN`` of all pairs, all meet all, as a copy of a query for each cell
     would cost more than the pairs that are spared; ``widen`` is off where ``reach`` chooses what is found.
@@ -426,6 +455,15 @@ def meet(
         base = [Block(part, matrix(part.column("vec"))) for part in _blocks(members, block_rows)]
         for part in _blocks(asking, block_rows):
             query = Block(part, matrix(part.column("vec")))
+            if told:
+                seen = None
+                for block in base:
+                    r = kernel(query, block, seen)
+                    if len(next(iter(r.values()))):
+                        seen = fold(r if seen is None else {c: np.concatenate([seen[c], r[c]]) for c in r})
+                if seen is not None:
+                    found.append(pa.Table.from_pydict(seen, schema=arrow_schema))
+                continue
             results = [r for r in (kernel(query, block) for block in base) if r is not None]
             if results and fold is not None and len(results) > 1:
                 results = [fold({c: np.concatenate([r[c] for r in results]) for c in results[0]})]

@@ -19,7 +19,9 @@ from labeltrail.operators.blocks import (
     reach_all,
     reach_nearest,
     reach_probes,
+    rough_squares,
     squares,
+    where,
 )
 from labeltrail.operators.cluster.kmeans import trained
 from labeltrail.operators.heavy import lookup
@@ -37,18 +39,48 @@ def collapse(points: DataFrame) -> DataFrame:
     ).select("id", "vec", "w")
 
 
+def _bound(qid: np.ndarray, seen: dict[str, np.ndarray] | None, k: int) -> np.ndarray:
+    """Squared distance of the ``k``-th of the hits that ``nearest_fold`` left for each query, infinite if there are fewer."""
+    if seen is None:
+        return np.full(len(qid), np.inf)
+    first, end = np.searchsorted(seen["qid"], qid), np.searchsorted(seen["qid"], qid, side="right")
+    return np.where(end - first >= k, seen["d2"][np.minimum(first + k, len(seen["d2"])) - 1], np.inf)
+
+
+_CANDIDATES = 64  # more of them for a row and hit wanted, and rounding decides too little
+
+
 def nearest_kernel(k: int, carry: str | None = None):
-    """Kernel: the ``k`` nearest base rows of each query in a block pair.
+    """Kernel: base rows of a block pair that may be among the ``k`` nearest of each query, the ``k`` nearest here among them.
 
+    What the blocks before gave bounds the search, so most pairs of a later block are only compared with a number.
     ``carry`` names a base column to hand on with each hit.
     """
 
-    def kernel(q: Block, b: Block) -> dict[str, np.ndarray]:
-        out, room = squares(q.vec, b.vec)
-        width = min(k, out.shape[1])
-        kth = np.partition(out, width - 1, axis=1)[:, width - 1]
-        rows, cols = np.nonzero(out <= kth[:, None] + 2 * room)
+    def close(q: Block, b: Block, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, na, room = rough_squares(q, b)
+        limit = bound - na + 2 * room
+        open_ = np.flatnonzero(~np.isfinite(bound))
+        if len(open_):
+            width = min(k, out.shape[1])
+            limit[open_] = np.partition(out if len(open_) == len(out) else out[open_], width - 1, axis=1)[:, width - 1] + 2 * room
+        if out.dtype == np.float32:  # rounded up
+            limit = np.nextafter(limit.astype(np.float32), np.float32(np.inf))
+        rows, cols = where(out <= limit[:, None])
+        if out.dtype == np.float32 and len(rows) > _CANDIDATES * k * len(q.vec):
+            out, room = squares(q.vec, b.vec)
+            width = min(k, out.shape[1])
+            kth = np.minimum(bound, np.partition(out, width - 1, axis=1)[:, width - 1])
+            rows, cols = where(out <= kth[:, None] + 2 * room)
+        return rows, cols
+
+    def kernel(q: Block, b: Block, seen: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+        bound = _bound(q["id"], seen, k)
+        rows, cols = close(q, b, bound)
         exact = exact_squares(q.vec, b.vec, rows, cols)
+        if seen is not None:
+            near = exact <= bound[rows]
+            rows, cols, exact = rows[near], cols[near], exact[near]
         ids = b["id"][cols]
         order = np.lexsort((ids, exact, rows))
         rows, cols, ids, exact = rows[order], cols[order], ids[order], exact[order]
@@ -84,7 +116,7 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, cells: Cells, k: int, carry: str | None = None) -> DataFrame:
     """``qid, bid, d2, rank`` of the ``k`` nearest base vectors of ``queries(id, vec)``."""
     schema = "qid bigint, bid bigint, d2 double" + (f", {carry} bigint" if carry else "")
-    return _best(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema, nearest_fold(k)), k)
+    return _best(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema, nearest_fold(k), told=True), k)
 
 
 def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:
@@ -155,7 +187,7 @@ def search(
         cells = make_cells(points, block_rows=block_rows, pivots=ivf_centers(points, seed, lists=lists) if centers is None else centers)
         hits = meet(
             distinct, cells, reach_probes(nprobe) if nprobe < len(cells.pivots) else reach_all,
-            nearest_kernel(wanted), "qid bigint, bid bigint, d2 double", nearest_fold(wanted), widen=False,
+            nearest_kernel(wanted), "qid bigint, bid bigint, d2 double", nearest_fold(wanted), widen=False, told=True,
         )
         best = _best(hits, wanted)
     else:
