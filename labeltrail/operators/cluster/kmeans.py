@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labeltrail.operators.blocks import matrix
+from labeltrail.scratch import cut
 
 STARTS = 10  # fixed value: number of starts, best cost kept
 ROUNDS = 300  # fixed value: most rounds of one start
@@ -45,8 +46,32 @@ def _nearest(vec: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, (gap * gap).sum(axis=1)
 
 
+_PACKED = "ids binary, vecs binary, ws binary"
+
+
+def packed(reps: DataFrame) -> DataFrame:
+    """The rows in parts of up to ``_ROWS``, each the bytes of its ids, vectors and weights: a pass over them needs no conversion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, vec, w in _parts(batches):
+            if len(ids):
+                yield pa.RecordBatch.from_pydict({"ids": [ids.astype(np.int64).tobytes()], "vecs": [vec.tobytes()], "ws": [w.tobytes()]})
+
+    return reps.select("id", "vec", "w").mapInArrow(run, _PACKED)
+
+
+def _columns(reps: DataFrame) -> DataFrame:
+    return reps if "vecs" in reps.columns else reps.select("id", "vec", "w")
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and weights, of plain or of packed rows."""
     for batch in batches:
+        if "vecs" in batch.schema.names:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.int64)
+                yield ids, np.frombuffer(row["vecs"], float).reshape(len(ids), -1), np.frombuffer(row["ws"], float)
+            continue
         for a in range(0, batch.num_rows, _ROWS):
             part = batch.slice(a, _ROWS)
             ids, w = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "w"))
@@ -63,9 +88,10 @@ def _uniform(ids: np.ndarray, *salts: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 1.0) / float(1 << 53)
 
 
-def _seeds(reps: DataFrame, k: int, seed: int, starts: int) -> list[np.ndarray]:
-    """For each start, ``k`` centres at most: candidates drawn in a few passes, and k-means++ among them."""
+def _seeds(reps: DataFrame, k: int, seed: int, starts: int, parts: DataFrame) -> list[np.ndarray]:
+    """For each start, ``k`` centres at most: candidates drawn in a few passes over the packed ``parts``, and k-means++ among them."""
     firsts = [reps.orderBy(F.xxhash64("id", F.lit(seed), F.lit(s)), "id").select("vec").first() for s in range(starts)]
+    reps = parts
     drawn = [np.array([f.vec]) for f in firsts]
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +178,7 @@ def _gathered(reps: DataFrame, centers: list[np.ndarray]) -> dict[tuple[int, int
                 names=["start", "center", "w", "cost", "total"],
             )
 
-    parts = reps.select("id", "vec", "w").mapInArrow(run, "start long, center long, w double, cost double, total array<double>")
+    parts = _columns(reps).mapInArrow(run, "start long, center long, w double, cost double, total array<double>")
     sums = parts.groupBy("start", "center").agg(
         F.sum("w").alias("w"), F.sum("cost").alias("cost"), vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total")
     )
@@ -193,7 +219,8 @@ def assign(reps: DataFrame, centers: np.ndarray) -> DataFrame:
 
 def trained(reps: DataFrame, k: int, seed: int = 42, starts: int = STARTS, rounds: int = ROUNDS) -> tuple[np.ndarray, float, bool]:
     """Centres of the best start, its cost, and whether it settled within ``rounds``."""
-    centers, costs, settled = lloyd(reps, _seeds(reps, k, seed, starts), rounds)
+    parts = cut(packed(reps), "packed")
+    centers, costs, settled = lloyd(parts, _seeds(reps, k, seed, starts, parts), rounds)
     best = int(np.argmin(costs))
     return centers[best], costs[best], settled[best]
 
