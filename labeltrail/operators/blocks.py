@@ -58,6 +58,11 @@ class Cells:
     def total(self) -> int:
         return int(self.count.sum())
 
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """Distances between the pivots."""
+        return _to_pivots(self.pivots, self.pivots)
+
 
 @dataclass(frozen=True)
 class Block:
@@ -258,6 +263,36 @@ def reach_bound(column: str) -> Reach:
     return run
 
 
+def reach_own(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
+    """The cell that the query itself is in."""
+    return rows.column("cell").to_numpy(zero_copy_only=False)[:, None] == np.arange(len(cells.pivots))[None, :]
+
+
+def _least(vec: np.ndarray, far: np.ndarray, cells: Cells) -> np.ndarray:
+    """What the distance of a query to the vectors of a cell is at least.
+
+    These lie within the cell's radius, and beyond the plane half way between its pivot and the query's nearest one.
+    """
+    nearest = far.argmin(axis=1)
+    own = far[np.arange(len(far)), nearest]
+    room = 1e-12 * (1.0 + (vec * vec).sum(axis=1) + (cells.pivots * cells.pivots).sum(axis=1).max())
+    gap = cells.gaps[nearest]
+    plane = np.full(far.shape, -np.inf)
+    np.divide(far * far - (own * own + room)[:, None], 2.0 * gap, out=plane, where=gap > 1e-6)
+    return np.maximum(far - cells.radius[None, :], plane)
+
+
+def reach_beyond(column: str) -> Reach:
+    """Cells other than the query's own that may hold a vector no farther than the query's own bound."""
+
+    def run(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
+        bound = rows.column(column).to_numpy(zero_copy_only=False)
+        near = _least(vec, far, cells) <= bound[:, None] + _SLACK * (1.0 + far)
+        return near & ~reach_own(vec, far, cells, rows)
+
+    return run
+
+
 def reach_nearest(k: int) -> Reach:
     """Cells that may hold one of the ``k`` nearest vectors.
 
@@ -423,7 +458,9 @@ def meet(
         yield from _reached(batch, bounds, reach)
 
     def own_cell(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield np.arange(batch.num_rows), batch.column("cell").to_numpy(zero_copy_only=False)
+        cell = batch.column("cell").to_numpy(zero_copy_only=False)
+        row = np.flatnonzero(asked[cell] > 0)
+        yield row, cell[row]
 
     def ask(ids: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         held = grid.held[cell]

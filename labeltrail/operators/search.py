@@ -107,7 +107,7 @@ def nearest_fold(k: int):
     return fold
 
 
-def _best(hits: DataFrame, k: int) -> DataFrame:
+def best_hits(hits: DataFrame, k: int) -> DataFrame:
     """The ``k`` best hits per query; ties go to the smaller base id."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("d2", "bid"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -116,7 +116,7 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 def nearest(queries: DataFrame, cells: Cells, k: int, carry: str | None = None) -> DataFrame:
     """``qid, bid, d2, rank`` of the ``k`` nearest base vectors of ``queries(id, vec)``."""
     schema = "qid bigint, bid bigint, d2 double" + (f", {carry} bigint" if carry else "")
-    return _best(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema, nearest_fold(k), told=True), k)
+    return best_hits(meet(queries, cells, reach_nearest(k), nearest_kernel(k, carry), schema, nearest_fold(k), told=True), k)
 
 
 def _search_vector(vec: str | Column, metric: str, is_base: bool) -> Column:
@@ -189,7 +189,7 @@ def search(
             distinct, cells, reach_probes(nprobe) if nprobe < len(cells.pivots) else reach_all,
             nearest_kernel(wanted), "qid bigint, bid bigint, d2 double", nearest_fold(wanted), widen=False, told=True,
         )
-        best = _best(hits, wanted)
+        best = best_hits(hits, wanted)
     else:
         best = nearest(distinct, make_cells(points, wanted, block_rows), wanted)
 
@@ -231,7 +231,7 @@ def _matches(where: dict[str, str]) -> Column:
 def _filter_hits(best: DataFrame, base: DataFrame, where: dict[str, str], k: int) -> DataFrame:
     passing = base.filter(_matches(where)).select(F.col("idx").cast("bigint").alias("bid"))
     kept = best.join(passing, "bid", "left_semi")
-    return _best(kept.drop("rank"), k)
+    return best_hits(kept.drop("rank"), k)
 
 
 def top1(queries: DataFrame, base: DataFrame, **options) -> DataFrame:

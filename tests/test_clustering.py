@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import brute
 from labeltrail.operators.cluster import common, dbscan, fit, hdbscan, meanshift, quality, ward
 from labeltrail.operators.cluster.components import components
+from labeltrail.scratch import cut
 
 
 def table(spark, x):
@@ -157,6 +158,48 @@ def test_hdbscan_equals_thresholds(spark, data, block_rows, part_edges):
     assert np.allclose([g[1] for g in got], share, atol=1e-9)
 
 
+def test_hdbscan_meets_near_cells_only(spark, monkeypatch):
+    """The own cell bounds the search in the others, and a component does not meet cells that are its own as a whole."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.uniform(-1, 1, (300, 2)), rng.uniform(9, 11, (300, 2))])
+    points, reps = reps_of(spark, x)
+    pairs, real = [], hdbscan.meet
+
+    def met(asked, cells, reach, *args, **options):
+        rows = asked.toPandas()
+        vec = np.array(rows["vec"].tolist())
+        far = np.sqrt(((vec[:, None] - cells.pivots[None]) ** 2).sum(-1))
+        pairs.append(int((reach(vec, far, cells, pa.RecordBatch.from_pandas(rows)) @ cells.count).sum()))
+        return real(asked, cells, reach, *args, **options)
+
+    monkeypatch.setattr(hdbscan, "meet", met)
+    d = brute.pairwise(x)
+    core = np.sort(d, axis=1)[:, 5]
+    ready = cut(reps.join(hdbscan.core_distances(reps, 5, 16), "id"), "cores")
+    found = {r.id: r.core for r in ready.collect()}
+    at = {tuple(r.vec): r.id for r in reps.collect()}
+    assert np.allclose([found[at[tuple(v)]] for v in x.tolist()], core, rtol=1e-12, atol=0)
+    tree = hdbscan.spanning_tree(ready, 16)
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    inside, best, total = {0}, reach[0].copy(), 0.0
+    while len(inside) < len(x):
+        best[list(inside)] = np.inf
+        k = int(best.argmin())
+        total += best[k]
+        inside.add(k)
+        best = np.minimum(best, reach[k])
+    assert tree.count() == len(x) - 1
+    assert tree.agg(F.sum("m")).first()[0] == pytest.approx(total, rel=1e-12)
+    assert sum(pairs) < len(x) * len(x)
+
+
+@pytest.mark.parametrize("part_edges", [2, 100])
+def test_roots_of_few_and_many_edges(spark, part_edges):
+    edges = spark.createDataFrame([(5, 3), (3, 9), (8, 7), (7, 8), (1, 9)], "a long, b long")
+    found = {r.id: r.root for r in hdbscan._roots(edges, part_edges).collect()}
+    assert found == {1: 1, 3: 1, 5: 1, 9: 1, 7: 7, 8: 7}
+
+
 def test_components_keep_two_rounds_of_tables(spark):
     from pathlib import Path
 
