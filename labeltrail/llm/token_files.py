@@ -20,7 +20,6 @@ the documents end. Difference number 4 * j + lane of a block lies in bits
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import struct
@@ -35,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, list_array, map_arrow, record_batch, slices
+from labeltrail.llm.common import Batches, Cache, list_array, map_arrow, record_batch, slices
 from labeltrail.scratch import cut, new_path
 
 BLOCK = 128
@@ -50,6 +49,8 @@ _READ_BLOCKS = 8_192
 _TIGHT_SPACES = re.compile(r"(?<=\S) (?=\S)")
 _SIGNS = ".,;:!?%$&#*|()"
 _WIDE_SPACE = re.compile(r"\s\s")
+_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+_LAST_LETTER = "\u024f"  # up to here, all agree on what a letter is
 
 
 # --- encoding -------------------------------------------------------------------------
@@ -61,13 +62,14 @@ class WordEncoder:
     A text is cut before each single space between two non-spaces. The pre-tokenizer
     also cuts there whatever stands around, so the ids of the parts are those of
     the whole text. Holds only for byte-level tokenizers without a normalizer, which is checked.
+    A word of plain letters is one piece to the pre-tokenizer, so it goes to the model at once.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -77,13 +79,18 @@ class WordEncoder:
             and not pre["add_prefix_space"] and pre["use_regex"] and not spec["model"].get("dropout")
             and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
         )
+        self.by_letters = not any(t["content"].isalpha() for t in spec["added_tokens"])
+        self.by_lines = not any("\n" in t["content"] for t in spec["added_tokens"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelled = [(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]) for c in range(0x250)]
+        self.bytes = {b: letter for raw, letters in spelled for b, letter in zip(raw, letters)}  # as the model spells them
+        self.space = self.bytes[0x20]
+        self.known = Cache(self._after_space, limit)
+        self.inner = Cache(self._alone, max(1, limit // 8))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -94,37 +101,45 @@ class WordEncoder:
         """The parts of a text; all but the first are without the space before them."""
         return _TIGHT_SPACES.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
 
-    def _learn(self, words: set[str]) -> None:
-        """Make the ids of these words, with a space before each, known."""
-        known, before = self.known, self.before
-        new = words.difference(known)
-        again = new.intersection(before)
-        for w in again:
-            known[w] = before[w]
-        alone, parted = [], []
-        for w in new.difference(again):
-            body = w.rstrip(_SIGNS)
-            if len(body) < len(w) and body.isalpha():  # the pre-tokenizer cuts between letters and signs
-                parted.append((w, body, w[len(body) :]))
-            else:
-                alone.append(w)
-        if parted:
-            self._learn({body for _, body, _ in parted})
-            signs = list({s for _, _, s in parted}.difference(self.signs))
-            self.signs.update(zip(signs, self._encode(signs)))
-            for w, body, s in parted:
-                known[w] = known[body] + self.signs[s]
-        known.update(zip(alone, self._encode([" " + w for w in alone])))
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Ids of a word of letters with ``lead`` before it, a space or nothing."""
+        if not self.by_letters or not word.isascii() and max(word) > _LAST_LETTER:
+            return self._encode([lead + word])[0]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(self.space + word if lead else word)]).tobytes()
+
+    def _after_space(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if word.isalpha():
+            return self._letters(word, " ")
+        body = word.rstrip(_SIGNS)
+        if len(body) < len(word) and body.isalpha():  # the pre-tokenizer cuts between letters and signs
+            return self.known[body] + self.inner[word[len(body) :]]
+        first, *lines = self._lines(word)
+        if lines:
+            return b"".join([self.known[first], *map(self.inner.__getitem__, lines)])
+        return self._encode([" " + word])[0]
+
+    def _alone(self, part: str) -> bytes:
+        """Ids of a part that the pre-tokenizer cuts off whatever stands before it."""
+        if part.isalpha():
+            return self._letters(part, "")
+        body = part.rstrip(_SIGNS)
+        if len(body) < len(part) and body.isalpha():
+            return self.inner[body] + self.inner[part[len(body) :]]
+        return self._encode([part])[0]
+
+    def _lines(self, word: str) -> list[str]:
+        """The word cut around single line feeds, as the pre-tokenizer does, with these."""
+        return _LINE.split(word) if self.by_lines and "\n" in word else [word]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed ids, unsigned 32-bit little-endian, of each text."""
         if not self.by_words:
             return self._encode(texts)
-        if len(self.known) > self.limit:
-            self.before, self.known, self.signs = self.known, {}, {}
         words = [self._words(t) for t in texts]
         firsts = self._encode([w.pop(0) for w in words])
-        self._learn(set(itertools.chain.from_iterable(words)))
         ids = self.known.__getitem__
         return [first + b"".join(map(ids, w)) for first, w in zip(firsts, words)]
 
