@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labeltrail.llm.common import Batches, Cache, list_array, map_arrow, record_batch, slices
+from labeltrail.llm.common import Batches, list_array, map_arrow, record_batch, slices
 from labeltrail.scratch import cut, new_path
 
 BLOCK = 128
@@ -46,23 +46,32 @@ _MAGIC = b"PFORIDS1"
 _FOOTER = struct.Struct("<QQQ8s")
 _HEAD = struct.Struct("<IBB")
 _READ_BLOCKS = 8_192
-_TIGHT_SPACES = re.compile(r"(?<=\S) (?=\S)")
-_SIGNS = ".,;:!?%$&#*|()"
-_WIDE_SPACE = re.compile(r"\s\s")
-_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+_SIGNS = b".,;:!?%$&#*|()"
 _LAST_LETTER = "\u024f"  # up to here, all agree on what a letter is
+_LONGEST = 64  # characters of a part that is kept
+# Kinds of bytes; a letter and a sign have a sum of their own.
+_OTHER, _LATIN, _MAYBE_WHITE, _LETTER, _SIGN, _WHITE, _FEED, _SPACE = 0, 1, 2, 8, 16, 40, 41, 42
+_WHITE_SPACES = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[c for c in range(0x80) if chr(c).isspace()]] = _WHITE
+_KINDS[0x0A], _KINDS[0x20] = _FEED, _SPACE
+_KINDS[[c for c in range(0x80) if chr(c).isalpha()]] = _LETTER
+_KINDS[list(_SIGNS)] = _SIGN
+_KINDS[0xC3:0xC9] = _LATIN  # of two bytes up to U+023F, all of them letters but two
+_KINDS[sorted({raw[0] for raw in _WHITE_SPACES})] = _MAYBE_WHITE
 
 
 # --- encoding -------------------------------------------------------------------------
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, each distinct word encoded once while it is in the cache.
+    """Ids of texts by the tokenizers library, each distinct part of a text encoded once while it is in the cache.
 
-    A text is cut before each single space between two non-spaces. The pre-tokenizer
-    also cuts there whatever stands around, so the ids of the parts are those of
-    the whole text. Holds only for byte-level tokenizers without a normalizer, which is checked.
-    A word of plain letters is one piece to the pre-tokenizer, so it goes to the model at once.
+    Texts are cut where the pre-tokenizer cuts whatever stands around: before a single space and around a single
+    line feed between two non-spaces, and between letters and signs. So the ids of the parts are those of the whole
+    text. Holds only for byte-level tokenizers without a normalizer, which is checked, and for texts without
+    added tokens; others are encoded whole. A part of plain letters is one piece to the pre-tokenizer, so it
+    goes to the model at once. Of the cache, the last ``limit`` parts and those before them are held.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -74,13 +83,11 @@ class WordEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec["pre_tokenizer"] or {}
-        self.by_words = (
+        self.by_parts = (
             spec["normalizer"] is None and pre.get("type") == "ByteLevel"
             and not pre["add_prefix_space"] and pre["use_regex"] and not spec["model"].get("dropout")
-            and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
         )
-        self.by_letters = not any(t["content"].isalpha() for t in spec["added_tokens"])
-        self.by_lines = not any("\n" in t["content"] for t in spec["added_tokens"])
+        self.added = [t["content"] for t in spec["added_tokens"]]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -89,59 +96,116 @@ class WordEncoder:
         spelled = [(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]) for c in range(0x250)]
         self.bytes = {b: letter for raw, letters in spelled for b, letter in zip(raw, letters)}  # as the model spells them
         self.space = self.bytes[0x20]
-        self.known = Cache(self._after_space, limit)
-        self.inner = Cache(self._alone, max(1, limit // 8))
+        self.spaced = self.bytes | {0x20: " " + self.space}
+        self.at_spaces = Tokenizer(self.model)  # the model over strings that are spelled already
+        self.at_spaces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith(self.space)]] = True
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """The parts of a text; all but the first are without the space before them."""
-        return _TIGHT_SPACES.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
-
-    def _letters(self, word: str, lead: str) -> bytes:
-        """Ids of a word of letters with ``lead`` before it, a space or nothing."""
-        if not self.by_letters or not word.isascii() and max(word) > _LAST_LETTER:
-            return self._encode([lead + word])[0]
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.bytes)
-        return array("I", [t.id for t in self.model.tokenize(self.space + word if lead else word)]).tobytes()
-
-    def _after_space(self, word: str) -> bytes:
-        """Ids of a word with a space before it."""
-        if word.isalpha():
-            return self._letters(word, " ")
-        body = word.rstrip(_SIGNS)
-        if len(body) < len(word) and body.isalpha():  # the pre-tokenizer cuts between letters and signs
-            return self.known[body] + self.inner[word[len(body) :]]
-        first, *lines = self._lines(word)
-        if lines:
-            return b"".join([self.known[first], *map(self.inner.__getitem__, lines)])
-        return self._encode([" " + word])[0]
-
-    def _alone(self, part: str) -> bytes:
-        """Ids of a part that the pre-tokenizer cuts off whatever stands before it."""
-        if part.isalpha():
-            return self._letters(part, "")
-        body = part.rstrip(_SIGNS)
-        if len(body) < len(part) and body.isalpha():
-            return self.inner[body] + self.inner[part[len(body) :]]
-        return self._encode([part])[0]
-
-    def _lines(self, word: str) -> list[str]:
-        """The word cut around single line feeds, as the pre-tokenizer does, with these."""
-        return _LINE.split(word) if self.by_lines and "\n" in word else [word]
+    def _letters(self, word: str) -> bytes:
+        """Ids of plain letters, with a space before them or not."""
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def _spaced_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters with a space before each, in one call: only its first token begins with the space."""
+        text = "".join(words)
+        text = text.replace(" ", self.spaced[0x20]) if text.isascii() else text.encode().decode("latin-1").translate(self.spaced)
+        ids = np.array(self.at_spaces.encode_batch_fast([text[1:]], add_special_tokens=False)[0].ids, np.uint32)
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(words):
+            return [self._letters(w) for w in words]
+        ends, data = [*(4 * first[1:]).tolist(), 4 * len(ids)], ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * first).tolist(), ends)]
+
+    def _new(self, parts: list[str], places: list[int], found: list[bytes | None]) -> None:
+        """Puts the ids of new parts into their places."""
+        words, others = [], []
+        for k in places:
+            part = parts[k]
+            body = part[1:] if part[0] == " " else part
+            if not body.isalpha() or not body.isascii() and max(body) > _LAST_LETTER:
+                others.append(k)
+            elif body is part:
+                found[k] = self._letters(part)
+            else:
+                words.append(k)
+        for some, encode in (words, self._spaced_letters), (others, self._encode):
+            for k, ids in zip(some, encode([parts[k] for k in some]) if some else ()):
+                found[k] = ids
+
+    def _found(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts."""
+        found = list(map(self.known.get, parts))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        if self.before:
+            for k in places:
+                found[k] = self.before.get(parts[k])
+        self._new(parts, [k for k in places if found[k] is None], found)
+        if len(self.known) >= self.limit:
+            self.known, self.before = {}, self.known
+        for k in places:
+            if len(parts[k]) <= _LONGEST:
+                self.known[parts[k]] = found[k]
+        return found
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        _, offsets, body = column.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(texts) + 1]
+        if not ends[-1]:
+            return [b""] * len(texts)
+        data = body.to_pybytes()[: ends[-1]]
+        cuts = _cuts(data, ends)
+        parts = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), body).dictionary_encode()
+        ids = self._found(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes, which = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, parts.indices.to_numpy()
+        n = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        shift = (np.cumsum(sizes) - sizes)[which] - upto[:-1]
+        data = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(shift, n) + np.arange(upto[-1])].tobytes()
+        at = (4 * upto[np.searchsorted(cuts, ends)]).tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed ids, unsigned 32-bit little-endian, of each text."""
-        if not self.by_words:
-            return self._encode(texts)
-        words = [self._words(t) for t in texts]
-        firsts = self._encode([w.pop(0) for w in words])
-        ids = self.known.__getitem__
-        return [first + b"".join(map(ids, w)) for first, w in zip(firsts, words)]
+        whole = [not self.by_parts or any(a in t for a in self.added) for t in texts]
+        if not any(whole):
+            return self._by_parts(texts)
+        others = iter(self._by_parts([t for t, w in zip(texts, whole) if not w]))
+        return [self._encode([t])[0] if w else next(others) for t, w in zip(texts, whole)]
+
+
+def _cuts(text: bytes, ends: np.ndarray) -> np.ndarray:
+    """Where parts begin and end in UTF-8 texts one after the other, of which ``ends`` has the first byte and the ends."""
+    data = np.frombuffer(text, np.uint8)
+    kind = np.full(len(data) + 2, _WHITE, np.uint8)
+    own = kind[1:-1]
+    own[:] = np.frombuffer(text.translate(_KINDS.tobytes()), np.uint8)
+    lead = np.flatnonzero(own == _LATIN)
+    letter = lead[(data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]  # not the signs of times and division
+    own[letter] = own[letter + 1] = _LETTER
+    lead = np.flatnonzero(own == _MAYBE_WHITE)
+    if len(lead):
+        code = sum(data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) << (16 - 8 * k) for k in range(3))
+        for raw in _WHITE_SPACES:
+            at = lead[code >> (24 - 8 * len(raw)) == int.from_bytes(raw)]
+            for k in range(len(raw)):
+                own[at + k] = _WHITE
+    white = kind >= _WHITE
+    alone = (own > _WHITE) & ~(white[:-2] | white[2:])
+    begins = np.append(alone, False)
+    begins[1:] |= alone & (own == _FEED)
+    begins[:-1] |= kind[:-2] + own == _LETTER + _SIGN
+    begins[ends] = True
+    return np.flatnonzero(begins)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -171,23 +235,34 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     width = _bits(np.partition(rest, place, axis=1)[:, place]) if len(blocks) else np.zeros(0, np.int64)
     outlier = (rest >> np.minimum(width, 31).astype(np.uint32)[:, None] > 0) & (width < 32)[:, None]
     low = np.where(outlier, rest & ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None], rest)
-    pieces: list[bytes] = [b""] * len(blocks)
-    for w in np.unique(width).tolist():
+    n = outlier.sum(axis=1)
+    sizes = _HEAD.size + 4 * _LANES * width + 5 * n
+    begin = np.cumsum(sizes) - sizes
+    out = np.empty(sizes.sum(), np.uint8)
+    out[begin[:, None] + np.arange(4)] = base.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[begin + 4], out[begin + 5] = width, n
+    for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        lanes = low[own].reshape(-1, _ROWS, _LANES)
-        packed = np.zeros((len(own), w, _LANES), np.uint32)
-        for j in range(_ROWS if w else 0):
+        lanes = np.ascontiguousarray(low[own].reshape(-1, _ROWS, _LANES).transpose(1, 0, 2))
+        packed = np.zeros((w, len(own), _LANES), "<u4")
+        for j in range(_ROWS):
             word, shift = divmod(j * w, 32)
-            packed[:, word] |= lanes[:, j] << np.uint32(shift)
+            packed[word] |= lanes[j] << np.uint32(shift)
             if shift + w > 32:
-                packed[:, word + 1] |= lanes[:, j] >> np.uint32(32 - shift)
-        for k, body in zip(own.tolist(), packed):
-            at = np.flatnonzero(outlier[k])
-            high = (rest[k][at] >> np.uint32(w)) if len(at) else at
-            pieces[k] = b"".join((
-                _HEAD.pack(int(base[k]), w, len(at)), body.tobytes(), at.astype(np.uint8).tobytes(), high.astype("<u4").tobytes(),
-            ))
-    return b"".join(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+                packed[word + 1] |= lanes[j] >> np.uint32(32 - shift)
+        body = np.ascontiguousarray(packed.transpose(1, 0, 2)).view(np.uint8).reshape(len(own), -1)
+        out[begin[own, None] + _HEAD.size + np.arange(4 * w * _LANES)] = body
+    block, at = np.nonzero(outlier)
+    place, order = begin[block] + _HEAD.size + 4 * _LANES * width[block], _places(n)
+    out[place + order] = at
+    high = (rest[block, at] >> width[block].astype(np.uint32)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[(place + n[block] + 4 * order)[:, None] + np.arange(4)] = high
+    return out.tobytes(), sizes
+
+
+def _places(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``n``."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -202,22 +277,20 @@ def unpack(data: bytes, starts: np.ndarray) -> np.ndarray:
         own = np.flatnonzero(width == w)
         if w:
             spans = body[own, None] + np.arange(4 * w * _LANES)
-            packed = raw[spans].view("<u4").reshape(-1, w, _LANES)
+            packed = np.ascontiguousarray(raw[spans].view("<u4").reshape(-1, w, _LANES).transpose(1, 0, 2))
             mask = np.uint32((1 << w) - 1)
-            lanes = np.empty((len(own), _ROWS, _LANES), np.uint32)
+            lanes = np.empty((_ROWS, len(own), _LANES), np.uint32)
             for j in range(_ROWS):
                 word, shift = divmod(j * w, 32)
-                value = packed[:, word] >> np.uint32(shift)
+                value = packed[word] >> np.uint32(shift)
                 if shift + w > 32:
-                    value = value | (packed[:, word + 1] << np.uint32(32 - shift))
-                lanes[:, j] = value & mask
-            out[own] = lanes.reshape(-1, BLOCK)
-    for k in np.flatnonzero(outliers).tolist():
-        first = body[k] + 4 * width[k] * _LANES
-        n = outliers[k]
-        at = raw[first : first + n].astype(np.int64)
-        high = np.frombuffer(data, "<u4", int(n), int(first + n))
-        out[k, at] |= (high.astype(np.uint64) << np.uint64(width[k])).astype(np.uint32)
+                    value = value | (packed[word + 1] << np.uint32(32 - shift))
+                lanes[j] = value & mask
+            out[own] = lanes.transpose(1, 0, 2).reshape(-1, BLOCK)
+    block, order = np.repeat(np.arange(len(starts)), outliers), _places(outliers)
+    first = (body + 4 * _LANES * width)[block]
+    high = raw[(first + outliers[block] + 4 * order)[:, None] + np.arange(4)].view("<u4").ravel()
+    out[block, raw[first + order]] |= (high.astype(np.uint64) << width[block].astype(np.uint64)).astype(np.uint32)
     return (out + base[:, None]).reshape(-1)
 
 
@@ -343,7 +416,7 @@ def _write_part(batches: Batches, path: str, tokenizer: str, end_id: int | None)
     encode, writer = _encoder(tokenizer), None
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
     name = f"{path.rstrip('/')}/{uuid.uuid4().hex}.ids"
-    for batch in slices(batches, 1, 4_000_000):
+    for batch in slices(batches, 1, 8_000_000):
         if batch.num_rows:
             writer = writer or FileWriter(name)
             writer.add(batch.column(0).to_pylist(), [i + end for i in encode(batch.column(1).to_pylist())])
