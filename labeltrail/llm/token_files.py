@@ -39,7 +39,7 @@ from labeltrail.scratch import cut, new_path
 
 BLOCK = 128
 PERCENTILE = 90
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 _LANES = 4
 _ROWS = BLOCK // _LANES
 _MAGIC = b"PFORIDS1"
@@ -416,7 +416,7 @@ def _write_part(batches: Batches, path: str, tokenizer: str, end_id: int | None)
     encode, writer = _encoder(tokenizer), None
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
     name = f"{path.rstrip('/')}/{uuid.uuid4().hex}.ids"
-    for batch in slices(batches, 1, 8_000_000):
+    for batch in slices(batches, 1, 4_000_000):
         if batch.num_rows:
             writer = writer or FileWriter(name)
             writer.add(batch.column(0).to_pylist(), [i + end for i in encode(batch.column(1).to_pylist())])
