@@ -29,6 +29,7 @@ from labeltrail.scratch import cut
 BLOCK_ROWS = 2048
 BLOCK_BYTES = 8 << 20
 STRIP_BLOCKS = 16  # most blocks on one side of a group
+RUN_PAIRS = 1 << 19  # so many pairs are measured at a time where blocks are small: they stay in the cache
 GROUP_PAIRS = 1 << 21  # a group has as many pairs at least, if there are as many
 GROUPS_PER_TASK = 4
 NEAR_LIST = 64
@@ -82,9 +83,19 @@ class Block:
         return center, math.sqrt(float((gap * gap).sum(axis=1).max()))
 
     @cached_property
-    def short(self) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors in single precision, and their squares in double."""
-        return self.vec.astype(np.float32), (self.vec * self.vec).sum(axis=1)
+    def sizes(self) -> np.ndarray:
+        """Squares of the vectors."""
+        return (self.vec * self.vec).sum(axis=1)
+
+    @cached_property
+    def asking(self) -> np.ndarray:
+        """The vectors in single precision, with a one."""
+        return np.concatenate([self.vec, np.ones((len(self.vec), 1))], axis=1).astype(np.float32)
+
+    @cached_property
+    def held(self) -> np.ndarray:
+        """The vectors times -2 in single precision, with their squares: the product with ``asking`` lacks only the squares of the queries."""
+        return np.concatenate([-2.0 * self.vec, self.sizes[:, None]], axis=1).astype(np.float32)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -139,17 +150,13 @@ def rough_squares(q: Block, b: Block) -> tuple[np.ndarray, np.ndarray, float]:
 
     Where there are many components the product is in single precision; the room holds for it.
     """
-    if q.vec.shape[1] >= _SHORT_DIM:
-        (a, na), (c, nc) = q.short, b.short
-        scale = float(na.max() + nc.max())
-        if _SHORT_SCALES[0] < scale < _SHORT_SCALES[1]:
-            out = a @ (np.float32(-2.0) * c).T
-            out += nc.astype(np.float32)[None, :]
-            return out, na, 4.0 * (q.vec.shape[1] + 8) * 2.0**-24 * scale
-    na, nc = (q.vec * q.vec).sum(axis=1), (b.vec * b.vec).sum(axis=1)
-    out = q.vec @ (-2.0 * b.vec).T
+    na, nc = q.sizes, b.sizes
+    scale = float(na.max() + nc.max())
+    if q.vec.shape[1] >= _SHORT_DIM and _SHORT_SCALES[0] < scale < _SHORT_SCALES[1]:
+        return q.asking @ b.held.T, na, 4.0 * (q.vec.shape[1] + 8) * 2.0**-24 * scale
+    out = (-2.0 * q.vec) @ b.vec.T
     out += nc[None, :]
-    return out, na, 1e-12 * float(na.max() + nc.max())
+    return out, na, 1e-12 * scale
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -302,15 +309,18 @@ def reach_nearest(k: int) -> Reach:
     """
 
     def run(vec: np.ndarray, far: np.ndarray, cells: Cells, rows: pa.RecordBatch) -> np.ndarray:
-        width = cells.near.shape[1]
+        width, wanted = cells.near.shape[1], min(k, cells.total)
         tops = [far + cells.near[None, :, j] for j in range(width)]
+        if wanted <= width:  # the kept lists alone hold as many, none of them behind the radius of its cell
+            bound = np.partition(np.concatenate(tops, axis=1), wanted - 1, axis=1)[:, wanted - 1 : wanted]
+            return far - cells.radius[None, :] <= bound + _SLACK * (1.0 + far)
         weights = [np.ones_like(far)] * width
         rest = np.maximum(cells.count - width, 0)
         tops.append(np.where(rest > 0, far + cells.radius[None, :], np.inf))
         weights.append(np.broadcast_to(rest, far.shape))
         top, weight = np.concatenate(tops, axis=1), np.concatenate(weights, axis=1)
         order = np.argsort(top, axis=1, kind="stable")
-        reached = np.cumsum(np.take_along_axis(weight, order, 1), axis=1) >= min(k, cells.total)
+        reached = np.cumsum(np.take_along_axis(weight, order, 1), axis=1) >= wanted
         bound = np.take_along_axis(np.take_along_axis(top, order, 1), reached.argmax(1)[:, None], 1)
         return far - cells.radius[None, :] <= bound + _SLACK * (1.0 + far)
 
@@ -423,7 +433,8 @@ def meet(
 
     ``queries`` has ``id, vec`` and further columns; the kernel returns columns of
     ``schema`` or None. ``fold`` reduces what a block of queries got from the blocks of its group.
-    With ``told`` the kernel gets as its third argument what ``fold`` made of the blocks before, None at first.
+    With ``told`` the kernel gets as its third argument what ``fold`` made of the blocks before, None at first. It then
+    takes a run of small blocks of vectors at once, twice as many each time, so that the bound it is told keeps up with them.
     ``place`` names a column that numbers the vectors from 0 on, where all meet all: strips and blocks then hold neighbours.
     Where the cells to meet hold a share of ``WIDEN`` of all pairs, all meet all, as a copy of a query for each cell
     would cost more than the pairs that are spared; ``widen`` is off where ``reach`` chooses what is found.
@@ -489,7 +500,7 @@ def meet(
         found = []
         if place is not None:
             members = members.sort_by(place)
-        base = [Block(part, matrix(part.column("vec"))) for part in _blocks(members, block_rows)]
+        base = [Block(part, matrix(part.column("vec"))) for part in (_runs if told else _blocks)(members, block_rows)]
         for part in _blocks(asking, block_rows):
             query = Block(part, matrix(part.column("vec")))
             if told:
@@ -598,6 +609,16 @@ def _blocks(rows: pa.Table, size: int) -> list[pa.Table]:
     return [rows.slice(a, size) for a in range(0, rows.num_rows, size)]
 
 
+def _runs(rows: pa.Table, size: int) -> list[pa.Table]:
+    """Runs of 1, 2, 4, ... blocks, of ``RUN_PAIRS`` pairs with a block of queries at most; single blocks where one has as many."""
+    found, start, blocks = [], 0, 1
+    while start < rows.num_rows:
+        found.append(rows.slice(start, blocks * size))
+        start += blocks * size
+        blocks = max(1, min(2 * blocks, RUN_PAIRS // (size * size)))
+    return found
+
+
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
     # The types that kernels return.
     names = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(),
